@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from corpusloom.llm.decontaminate import op7_decontaminate
 from corpusloom.llm.minhash import op5_minhash
+from corpusloom.llm.mixing import op2_mixing
 from corpusloom.llm.token_orc import op10_token_orc
 
 
 def queries() -> dict:
     return {
+        "op2_mixing": op2_mixing,
         "op5_minhash": op5_minhash,
         "op7_decontaminate": op7_decontaminate,
         "op10_token_orc": op10_token_orc,
