@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm.decontaminate import op7_decontaminate
+from corpusloom.llm.langid import op1_langid
 from corpusloom.llm.minhash import op5_minhash
 from corpusloom.llm.mixing import op2_mixing
 from corpusloom.llm.token_orc import op10_token_orc
@@ -10,6 +11,7 @@ from corpusloom.llm.token_orc import op10_token_orc
 
 def queries() -> dict:
     return {
+        "op1_langid": op1_langid,
         "op2_mixing": op2_mixing,
         "op5_minhash": op5_minhash,
         "op7_decontaminate": op7_decontaminate,
