@@ -7,6 +7,7 @@ from corpusloom.llm.langid import op1_langid
 from corpusloom.llm.minhash import op5_minhash
 from corpusloom.llm.mixing import op2_mixing
 from corpusloom.llm.token_orc import op10_token_orc
+from corpusloom.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict:
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op5_minhash": op5_minhash,
         "op7_decontaminate": op7_decontaminate,
+        "op9_toxicity": op9_toxicity,
         "op10_token_orc": op10_token_orc,
     }
 
