@@ -6,6 +6,7 @@ from corpusloom.llm.decontaminate import op7_decontaminate
 from corpusloom.llm.langid import op1_langid
 from corpusloom.llm.minhash import op5_minhash
 from corpusloom.llm.mixing import op2_mixing
+from corpusloom.llm.onebit import op4_onebit_ann
 from corpusloom.llm.token_orc import op10_token_orc
 from corpusloom.llm.toxicity import op9_toxicity
 
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op1_langid": op1_langid,
         "op2_mixing": op2_mixing,
+        "op4_onebit_ann": op4_onebit_ann,
         "op5_minhash": op5_minhash,
         "op7_decontaminate": op7_decontaminate,
         "op9_toxicity": op9_toxicity,
