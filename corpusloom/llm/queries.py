@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm.decontaminate import op7_decontaminate
+from corpusloom.llm.html_extract import op8_html_extract
 from corpusloom.llm.langid import op1_langid
 from corpusloom.llm.minhash import op5_minhash
 from corpusloom.llm.mixing import op2_mixing
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op4_onebit_ann": op4_onebit_ann,
         "op5_minhash": op5_minhash,
         "op7_decontaminate": op7_decontaminate,
+        "op8_html_extract": op8_html_extract,
         "op9_toxicity": op9_toxicity,
         "op10_token_orc": op10_token_orc,
     }
