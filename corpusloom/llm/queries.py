@@ -8,6 +8,7 @@ from corpusloom.llm.langid import op1_langid
 from corpusloom.llm.minhash import op5_minhash
 from corpusloom.llm.mixing import op2_mixing
 from corpusloom.llm.onebit import op4_onebit_ann
+from corpusloom.llm.pii_lstm import op6_pii
 from corpusloom.llm.token_orc import op10_token_orc
 from corpusloom.llm.toxicity import op9_toxicity
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op4_onebit_ann": op4_onebit_ann,
         "op5_minhash": op5_minhash,
+        "op6_pii": op6_pii,
         "op7_decontaminate": op7_decontaminate,
         "op8_html_extract": op8_html_extract,
         "op9_toxicity": op9_toxicity,
