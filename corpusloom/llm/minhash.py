@@ -6,9 +6,10 @@ equal shingle sets form a class; class representatives that agree on a band are
 shingle sets of 64-bit hashes (a false match of one shingle pair has probability 2**-64).
 
 Candidates of a band's bucket are not multiplied out: everyone is compared with the bucket's least document, then with
-drawn members of other components, and at last only pairs that are still in different components and that the triangle
-inequality of the Jaccard distance (against the bucket's least document) and the set sizes do not rule out.  A pair left
-out this way is either in one component already or cannot be linked, so components are those of all verified links.
+a drawn member of another component.  Documents of buckets that are still of several components are then joined by
+prefix filtering: shingles in one order for all (rarest first, by a fixed-size table of counts), two sets at the
+similarity share a shingle of their prefixes, at places and with sizes that leave the overlap possible.  Pairs of one
+component are skipped there, so components are those of all verified links.
 
 With the defaults (42 bands of 6) a pair at similarity 0.8 shares no band with probability 3e-6, at 0.9 with 2e-14.
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,7 +135,53 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(_intersect, "a long, b long, common long, either long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, drawn_rounds: int = 2) -> DataFrame:
+def _counts(sets: DataFrame, cells: int, slices: int = 32) -> np.ndarray:
+    """How many sets have a shingle of each hash cell: each task counts its own, slices of the counts are added up."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.bincount((np.frombuffer(x, np.uint64) % np.uint64(cells)).astype(np.int64), minlength=cells)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in np.split(total, slices)], pa.binary())], names=["slice", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [sum(np.frombuffer(c, np.int64) for c in pdf["counts"]).tobytes()]})
+
+    parts = sets.select("shingles").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["slice"])]) if parts else np.zeros(cells, np.int64)
+
+
+def _prefix_pairs(apart: DataFrame, percent: int, cells: int = 1 << 16) -> DataFrame:
+    """Pairs a < b of ``apart(doc, label, shingles)`` with different labels that may be at the similarity (none is missed)."""
+    common = apart.sparkSession.sparkContext.broadcast(_counts(apart, cells))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, labels, shingles_, places, sizes = [], [], [], [], []
+            for doc, label, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                h = np.frombuffer(packed, np.uint64)
+                n = len(h)
+                k = n - -(-n * percent // 100) + 1
+                order = np.lexsort((h, common.value[(h % np.uint64(cells)).astype(np.int64)]))[:k]
+                docs.append(np.full(k, doc)), labels.append(np.full(k, label)), sizes.append(np.full(k, n))
+                shingles_.append(h[order].view(np.int64)), places.append(np.arange(k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, labels, shingles_, places, sizes)], names=["doc", "label", "s", "place", "n"])
+
+    rows = saved(apart.select("doc", "label", "shingles").mapInArrow(prefixes, "doc long, label long, s long, place long, n long"), "prefixes")
+    by_label = rows.groupBy("s", "label").count()
+    top = by_label.groupBy("s").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    rows = saved(rows.join(top, "s"), "prefixes")
+    # of two different labels one is not the shingle's most frequent, so that one's rows against all are enough
+    few = rows.where("label <> top").select("s", *(F.col(c).alias(f"{c}2") for c in ("doc", "label", "place", "n")))
+    overlap = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) - 1
+    possible = (F.col("label") != F.col("label2")) & (overlap * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
+    joined = rows.drop("top").join(few, (rows["s"] == few["s"]) & possible)
+    return joined.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, drawn_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``."""
     sketch = saved(sketches(docs.where("doc_id is not null"), size, bands, rows), "sketches")
     classes = sketch.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -150,27 +198,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     first = members.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     tested = saved(_verify(first, sets), "tested")
     links = tested.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # the distance of every member to its bucket's least document, for the triangle inequality
-    spread = (
-        members.join(tested.select(F.col("a").alias("centre"), F.col("b").alias("doc"), (1 - F.col("common") / F.col("either")).alias("far")), ["centre", "doc"], "left")
-        .select("key", "doc", "n", F.coalesce("far", F.lit(0.0)).alias("far"))
-    )
-    reach = 1 - percent / 100 + 1e-9
     for k in range(drawn_rounds + 1):
         labels = components(links)
-        now = spread.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("draw"), "doc", "n", "far", "label")).alias("x")).where("lo < hi and c > 2")
+        now = members.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("draw"), "doc", "n", "label")).alias("x")).where("lo < hi and c > 2")
         if k < drawn_rounds:  # everyone against one drawn member of the bucket
-            other = now.join(mixed.select("key", "x"), "key").select("doc", "n", "far", "label", F.col("x.doc").alias("doc2"), F.col("x.n").alias("n2"), F.col("x.far").alias("far2"), F.col("x.label").alias("label2"))
-            other = other.where("label <> label2")
-        else:  # what is still apart: every pair that sizes and distances leave possible
-            left = saved(now.join(mixed.select("key"), "key"), "apart")
-            right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "far", "label")))
-            other = left.join(right, "key").where("doc < doc2 and label <> label2")
-        possible = (F.abs(F.col("far") - F.col("far2")) <= reach) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-        pairs = other.where(possible).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-        done = tested.select("a", "b")
-        more = saved(_verify(pairs.join(done, ["a", "b"], "left_anti"), sets), "tested")
+            other = now.join(mixed.select("key", "x"), "key").where("label <> x.label and least(n, x.n) * 100 >= greatest(n, x.n) * " + str(percent))
+            pairs = other.select(F.least("doc", "x.doc").alias("a"), F.greatest("doc", "x.doc").alias("b")).distinct()
+        else:  # what is still apart
+            apart = now.join(mixed.select("key"), "key", "left_semi").select("doc", "label").distinct()
+            pairs = _prefix_pairs(saved(apart.join(sets, "doc"), "apart"), percent)
+        more = saved(_verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets), "tested")
         tested = tested.union(more)
         links = links.union(more.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = components(links)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from corpusloom.llm.decontaminate import op7_decontaminate
 from corpusloom.llm.html_extract import op8_html_extract
 from corpusloom.llm.langid import op1_langid
@@ -9,14 +10,17 @@ from corpusloom.llm.minhash import op5_minhash
 from corpusloom.llm.mixing import op2_mixing
 from corpusloom.llm.onebit import op4_onebit_ann
 from corpusloom.llm.pii_lstm import op6_pii
+from corpusloom.llm.token_count import op3_token_count
 from corpusloom.llm.token_orc import op10_token_orc
 from corpusloom.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_langid": op1_langid,
         "op2_mixing": op2_mixing,
+        "op3_token_count": op3_token_count,
         "op4_onebit_ann": op4_onebit_ann,
         "op5_minhash": op5_minhash,
         "op6_pii": op6_pii,

@@ -11,7 +11,6 @@ files without rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,9 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import saved, scratch_dir, table
 
-#: Texts with these are left to the tokenizer as a whole: runs of white space, white space at an end, markers in text.
-_ODD = re.compile(r"\s\s|\A\s|\s\Z|<\|")
-_PUNCT = frozenset(".,!?;:")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _TOKENIZERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -33,77 +30,96 @@ class PieceEncoder:
 
     The pre-tokenizer of byte-level vocabularies never joins characters across ``non-space, space``, so the ids of a
     text are those of its pieces in order.  Distinct pieces go through the tokenizers library once per worker (many in
-    one call, separated by line feeds); texts with runs of white space go through it whole.
+    one call, separated by line feeds) and are kept in two generations; texts with runs of white space, other white
+    space than single spaces and line feeds, or special tokens go through it whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, generation: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.max_pieces = max_pieces
+        self.generation = generation
         self.newline = self._whole("\n")
-        self.marks = {c: self._whole(c) for c in _PUNCT}
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        #: ids of " piece", of "piece", or None where a text with the piece must go through the tokenizer whole
+        self.inner: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes | None] = {}
+        self.old_inner: dict[str, bytes | None] = {}
+        self.old_first: dict[str, bytes | None] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        return self._ids(text).tobytes()
 
-    def _learn(self, words: list[str], known: dict[str, bytes], lead: str) -> None:
-        """Ids of ``lead + word`` for words without a line feed."""
+    def _learn(self, words: list[str], known: dict[str, bytes | None], lead: str) -> None:
+        """Ids of ``lead + word`` for words without white space."""
         cut = np.frombuffer(self.newline, dtype="<i4")
-        for i in range(0, len(words), 4000):
-            part = words[i : i + 4000]
-            ids = np.array(self.tok.encode("\n".join(lead + w for w in part), add_special_tokens=False).ids, dtype="<i4")
+        for i in range(0, len(words), 8000):
+            part = words[i : i + 8000]
+            ids = self._ids(lead + ("\n" + lead).join(part))
             ends = np.flatnonzero(ids == cut[0]) if len(cut) == 1 else np.empty(0, int)
             if len(ends) != len(part) - 1:  # a vocabulary without a lone line feed: one by one
                 known.update((w, self._whole(lead + w)) for w in part)
                 continue
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(part, [*ends.tolist(), len(ids)]):
-                known[w] = raw[4 * start : 4 * end]
-                start = end + 1
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)]))))
 
-    def _fill(self, pieces: set[str], known: dict[str, bytes], lead: str) -> None:
+    def _fill(self, pieces: set[str], known: dict[str, bytes | None], old: dict[str, bytes | None], lead: str) -> None:
+        """Learn pieces; letters before ASCII marks are two pre-tokens, so their ids are joined from both."""
         plain, composed = set(), []
         for p in pieces:
-            if p[-1:] in _PUNCT and p[:-1].isalpha():
-                composed.append(p)
-                if p[:-1] not in known:
-                    plain.add(p[:-1])
+            if p in old:
+                known[p] = old[p]
+            elif p.isalpha():
+                plain.add(p)
+            elif (base := p.rstrip(_MARKS)).isalpha():
+                composed.append((p, base))
+                if base not in known:
+                    plain.add(base)
+            elif p.split() != [p] or "<|" in p:
+                known[p] = None
             else:
                 plain.add(p)
         self._learn(list(plain), known, lead)
-        for p in composed:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
+        for p, base in composed:
+            tail = p[len(base) :]
+            if tail not in self.marks:
+                self.marks[tail] = self._whole(tail)
+            known[p] = None if "<|" in tail else known[base] + self.marks[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.inner) > self.max_pieces:
-            self.inner, self.first = {}, {}
-        split: list[list[str] | None] = []
+        if len(self.inner) > self.generation:
+            self.old_inner, self.inner, self.old_first, self.first, self.marks = self.inner, {}, self.first, {}, {"": b""}
+        split = [t.replace("\n", " \n").split(" ") if t else None for t in texts]
+        heads = {pieces[0] for pieces in split if pieces}
         seen: set[str] = set()
-        heads: set[str] = set()
-        for t in texts:
-            if not t or _ODD.search(t):
-                split.append(None)
-                continue
-            pieces = t.replace("\n", " \n").split(" ")
-            split.append(pieces)
-            seen.update(pieces[1:])
-            heads.add(pieces[0])
+        for pieces in split:
+            if pieces:
+                seen.update(pieces)
         missing = seen.difference(self.inner)
-        after = [p for p in missing if p[0] == "\n"]
+        after = [p for p in missing if p[:1] == "\n"]
         heads.update(p[1:] for p in after)
-        self._fill(heads.difference(self.first), self.first, "")
-        self._fill({p for p in missing if p[0] != "\n"}, self.inner, " ")
+        self._fill(heads.difference(self.first), self.first, self.old_first, "")
+        self._fill(missing.difference(after), self.inner, self.old_inner, " ")
         for p in after:
-            self.inner[p] = self.newline + self.first[p[1:]]
+            rest = self.first[p[1:]]
+            self.inner[p] = None if rest is None else self.newline + rest
         get = self.inner.__getitem__
-        return [
-            (self._whole(t) if t else b"") if pieces is None else self.first[pieces[0]] + b"".join(map(get, pieces[1:]))
-            for t, pieces in zip(texts, split)
-        ]
+        out = []
+        for t, pieces in zip(texts, split):
+            if not pieces:
+                out.append(b"")
+                continue
+            parts = [*map(get, pieces)]
+            parts[0] = self.first[pieces[0]]
+            try:
+                out.append(b"".join(parts))
+            except TypeError:  # a piece that needs its surroundings
+                out.append(self._whole(t))
+        return out
 
 
 def _encoder(path: str) -> PieceEncoder:
@@ -118,7 +134,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, step: int = 256) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, step: int = 1024) -> DataFrame:
     """doc_id, ids: the ids of each text and the end id."""
     end = np.array([end_id], dtype="<i4").tobytes()
 
