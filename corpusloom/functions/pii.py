@@ -101,7 +101,10 @@ SCANS = {
 
 def pii_scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, kind, value of personal data that is not plainly fictitious (``.example`` domains, ``-0000-`` numbers)."""
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, p in SCANS.items())))
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    found = F.flatten(F.array(*(of(k, p) for k, p in SCANS.items())))
     rows = docs.select(F.col(doc).alias("doc"), F.explode(found).alias("x")).select("doc", "x.kind", "x.value")
     fake = (F.col("kind") == "email") & F.col("value").rlike(r"\.example$") | F.col("kind").isin("mobile", "landline") & F.col("value").contains("-0000-")
     return rows.where(~fake)

@@ -81,7 +81,7 @@ def bad_status(pages: DataFrame) -> DataFrame:
 
 def stale_drafts(pages: DataFrame, today: str, days: int = 30) -> DataFrame:
     updated = _first("updated")
-    rows = _wiki(pages).where("not hub").where((F.lower(_first("status")) == "draft") & (F.try_to_date(updated, F.lit("yyyy-MM-dd")) < F.date_sub(F.to_date(F.lit(today)), days)))
+    rows = _wiki(pages).where("not hub").where((F.lower(_first("status")) == "draft") & (F.try_to_date(updated, "yyyy-MM-dd") < F.date_sub(F.to_date(F.lit(today)), days)))
     return _finding(rows, "W", "stale-draft", F.concat(F.lit("draft since "), updated))
 
 

@@ -151,7 +151,7 @@ def parse_articles(texts: DataFrame) -> DataFrame:
     title = F.trim(plain(scalar("title")))
     return texts.select(
         "path", F.when(title != "", title).otherwise(F.col("path")).alias("title"), F.regexp_replace(F.regexp_replace(tx.split_body("text"), r"\A# [^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"),
-        F.try_to_date(plain(scalar("updated")), F.lit("yyyy-MM-dd")).alias("updated"), F.filter(many("sources"), lambda s: s.startswith("raw/")).alias("sources"), F.filter(many("related"), lambda s: s.endswith(".md")).alias("related"),
+        F.try_to_date(plain(scalar("updated")), "yyyy-MM-dd").alias("updated"), F.filter(many("sources"), lambda s: s.startswith("raw/")).alias("sources"), F.filter(many("related"), lambda s: s.endswith(".md")).alias("related"),
     )
 
 

@@ -93,7 +93,7 @@ def stable_files(obs: DataFrame, min_age: float = 0.0, locked_max: int = 60) ->
     rows = obs.withColumn("same", F.coalesce(same, F.lit(False))).withColumn("run", run)
     rows = rows.withColumn("locks", F.count_if("locked").over(Window.partitionBy("path", "run").orderBy("scan_ts").rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("last", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("scan_ts")))).where("last = 1")
-    age = F.unix_micros("scan_ts") / 1e6 - F.col("mtime_ns") / 1e9
+    age = F.unix_micros(F.col("scan_ts").cast("timestamp")) / 1e6 - F.col("mtime_ns") / 1e9
     ready = F.lit(True) if min_age <= 0 else F.col("same") & (age >= min_age)
     status = F.when(F.col("locked") & (F.col("locks") >= locked_max), "given-up").when(F.col("locked"), "locked").when(ready, "ready").otherwise("waiting")
     return rows.select("path", status.alias("status"))
@@ -159,6 +159,7 @@ def coalesce_repeats_stream(audit: DataFrame, window: float = 60.0) -> DataFrame
 def sessionize(events: DataFrame, idle: int = 1800, absolute: int | None = 28800) -> DataFrame:
     """user, session, start, end, n of ``events(user_id, ts)``: a session ends after ``idle`` seconds without an event,
     or when an event comes more than ``absolute`` seconds after its start."""
+    events = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     order = Window.partitionBy("user_id").orderBy("ts")
     t = F.unix_micros("ts") / 1e6
     gap = F.coalesce((t - F.lag(t).over(order) > idle).cast("int"), F.lit(1))
