@@ -76,8 +76,8 @@ def mask_document(docs: DataFrame, flag: str = "mask", columns: tuple[str, ...]
             counts.append(F.when(F.col(flag), F.col(f"_m_{c}.counts")).otherwise(F.create_map().cast("map<string,int>")))
     if "metadata" in docs.columns:
         values = F.map_values("metadata")
-        out = out.withColumn("_flat", pii_normalize(F.array_join(values, "")))
-        masked = F.transform(F.split("_flat", ""), mask_normalized)
+        out = out.withColumn("_flat", pii_normalize(F.array_join(values, "\x01")))
+        masked = F.transform(F.split("_flat", "\x01"), mask_normalized)
         out = out.withColumn("_masked", masked)
         out = out.withColumn("metadata", F.when(F.col(flag) & (F.size("metadata") > 0), F.map_from_arrays(F.map_keys("metadata"), F.transform("_masked", lambda m: m["text"]))).otherwise(F.col("metadata")))
         empty = F.create_map().cast("map<string,int>")
