@@ -165,7 +165,8 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> Lexicon:
     seen, pos, neg = set(), [], []
     for t, y in zip(texts, labels):
         words = re.findall(r"[^\W\d_]+", t.lower())
-        key = tuple(min((zlib.crc32(f"{k}{w}".encode()) for w in set(words)), default=0) for k in range(2))
+        hashes = [zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))]
+        key = (min(hashes), min(h * 2654435761 % (1 << 32) for h in hashes))
         if key not in seen:
             seen.add(key)
             (pos if y else neg).append(t)
