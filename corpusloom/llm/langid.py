@@ -183,7 +183,7 @@ def identify(docs: DataFrame, model: Model | None, step: int = 512) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long, n_switched long")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, step: int = 512) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.35, step: int = 512) -> DataFrame:
     """The rows of ``docs`` whose text has one main language: not ``und``, and a score of ``least`` or more."""
     known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
