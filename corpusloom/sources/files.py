@@ -156,7 +156,7 @@ def parse_articles(texts: DataFrame) -> DataFrame:
 
 
 def read_articles(spark: SparkSession, root: str) -> DataFrame:
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return parse_articles(texts.select(_relative(root, F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")))
 
 
@@ -187,7 +187,7 @@ def parse_vault(texts: DataFrame) -> DataFrame:
 
 
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return parse_vault(texts.select(_relative(root, F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")))
 
 
