@@ -32,6 +32,22 @@ def saved(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(df.schema).load(path)
 
 
+_LIVE: dict = {}
+
+
+def worker_cache(name: str, key, make):
+    """An object that a Python worker keeps between tasks.  There is one a worker: asking for another drops it, so the
+    caches of a pipeline's stages do not add up in the workers that all stages share."""
+    if _LIVE.get("key") != (name, key):
+        _LIVE.clear()
+        _LIVE.update(key=(name, key), value=make())
+    return _LIVE["value"]
+
+
+def drop_worker_cache() -> None:
+    _LIVE.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

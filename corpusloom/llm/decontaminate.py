@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import table, worker_cache
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
@@ -59,15 +59,8 @@ class Matcher:
         return [(end - self.lengths[k] + 1, end, k) for end, k in self.automaton.iter(joined.decode("latin-1"))]
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(patterns) -> Matcher:
-    key = str(patterns.value[0])
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(patterns.value[1])
-    return _MATCHERS[key]
+    return worker_cache("matcher", str(patterns.value[0]), lambda: Matcher(patterns.value[1]))
 
 
 def pattern_blocks(benchmark: DataFrame, window: int, block_chars: int) -> list[dict[str, list]]:

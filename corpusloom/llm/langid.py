@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chain import fit_sparse, marginals
-from corpusloom.llm.common import crc_mod, table
+from corpusloom.llm.common import crc_mod, drop_worker_cache, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
@@ -96,7 +96,7 @@ class Model:
 
     def posteriors(self, docs: list[list[str]], pad: int = 60_000) -> list[np.ndarray]:
         """The label posteriors of each document's words."""
-        if len(self.rows) > 400_000:
+        if len(self.rows) > 300_000:
             self.rows, self.table = {}, np.zeros((1 << 16, len(self.languages)), np.float32)
         self._learn(list({w for d in docs for w in d}.difference(self.rows)))
         out: list[np.ndarray] = [np.zeros((0, len(self.languages)))] * len(docs)
@@ -164,6 +164,7 @@ def identify(docs: DataFrame, model: Model | None, step: int = 512) -> DataFrame
     known = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         m = known.value
         for batch in batches:
             for at in range(0, batch.num_rows, step):
@@ -188,6 +189,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.35, s
     known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         m = known.value
         for batch in batches:
             for i in range(0, batch.num_rows, step):

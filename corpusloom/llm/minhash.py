@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved, table
+from corpusloom.llm.common import drop_worker_cache, saved, table
 from corpusloom.llm.graph import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -85,11 +85,19 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of ``step`` rows, so that few rows exist as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (fingerprint of the whole set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        drop_worker_cache()
+        for batch in slices(batches):
             n, k1, k2, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
@@ -110,7 +118,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             packed = [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc", "shingles"])
 
@@ -118,7 +126,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         common, either = [], []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -158,7 +166,7 @@ def _prefix_pairs(apart: DataFrame, percent: int, cells: int = 1 << 16) -> DataF
     common = apart.sparkSession.sparkContext.broadcast(_counts(apart, cells))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             docs, labels, shingles_, places, sizes = [], [], [], [], []
             for doc, label, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 h = np.frombuffer(packed, np.uint64)

@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved, scratch_dir, table
+from corpusloom.llm.common import saved, scratch_dir, table, worker_cache
 
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-_TOKENIZERS: dict[str, "PieceEncoder"] = {}
 
 
 class PieceEncoder:
@@ -34,7 +33,7 @@ class PieceEncoder:
     space than single spaces and line feeds, or special tokens go through it whole.
     """
 
-    def __init__(self, path: str, generation: int = 450_000):
+    def __init__(self, path: str, generation: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -123,9 +122,7 @@ class PieceEncoder:
 
 
 def _encoder(path: str) -> PieceEncoder:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = PieceEncoder(path)
-    return _TOKENIZERS[path]
+    return worker_cache("pieces", path, lambda: PieceEncoder(path))
 
 
 def default_tokenizer() -> str:
