@@ -10,7 +10,7 @@ Raw-text elements (script, style, …), comments and the head give no blocks.  C
 space in a block becomes single spaces, and the kept blocks are joined by two line feeds in page order.
 
 Defined results: null and empty html give an empty text; text outside any tag is a block; unclosed and stray tags are
-tolerated; repeated rows give repeated rows; extra columns are ignored.
+tolerated, a tag cut off by the end of the page is dropped; repeated rows give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ _CLOSES_P = BLOCK - {"body", "html"}
 _ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol table dl div section article aside main nav body td th blockquote form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|<[/!?a-zA-Z][^<>]*\Z", re.S)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
