@@ -127,7 +127,7 @@ def mix_plan(docs: DataFrame, block: int = 128, share: float = 1.5, most: float
 
     info = spark.createDataFrame([(i, p[0], p[1], float(g)) for i, (p, g) in enumerate(zip(per, goal))], "src int, source string, source_size long, target double")
     # positions: a running sum inside chunks of a source (by hash, so that a hot source is spread), then over the chunks
-    parts = max(1, rows.count() // 20_000)
+    parts = max(1, rows.count() // 2_000)
     few = F.broadcast(info) if len(per) <= 100_000 else info
     rows = rows.join(few, rows["source"].eqNullSafe(info["source"])).drop(info["source"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "h"), F.lit(parts)))
     chunks = rows.groupBy("src", "chunk").agg(F.sum("size").alias("words"))
