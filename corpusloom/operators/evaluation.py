@@ -148,11 +148,14 @@ def detect_leaks(answers: DataFrame, hits: DataFrame, spaces: DataFrame, foreign
 
 # --- sweeps -------------------------------------------------------------------------------------------------------
 
+_BROADCAST_CONFIGS = 10_000
+
 
 def sweep_scores(questions: DataFrame, docs: DataFrame, readable: DataFrame, configs: DataFrame, digits: int | None = None) -> DataFrame:
     """hash, qid, path, score, rank: BM25 for every row of ``configs(hash, bm25_k1, bm25_b, top_k)`` in one job.
 
-    Term and document frequencies are gathered once; the few configurations meet them only before the sum.
+    Term and document frequencies are gathered once; the configurations meet them only before the sum.  Up to
+    ``_BROADCAST_CONFIGS`` of them are broadcast; of more, Spark picks the join.
     """
     postings, lengths = sx.postings_of(docs)
     asked = questions.select("qid", "acl_key", F.explode(F.array_distinct(tx.tokenize("text"))).alias("term"))
@@ -162,7 +165,9 @@ def sweep_scores(questions: DataFrame, docs: DataFrame, readable: DataFrame, con
     terms = terms.join(size, "acl_key").select("acl_key", "term", idf.alias("idf"), "avgdl")
     seen = few.join(lengths, "path").join(readable.select("acl_key", "path"), "path")
     hits = asked.join(terms, ["acl_key", "term"]).join(seen, ["acl_key", "term"]).groupBy("qid", "path", "dl", "avgdl").agg(F.array_sort(F.collect_list(F.struct("term", "idf", "tf"))).alias("parts"))
-    rows = hits.crossJoin(F.broadcast(configs.select("hash", "bm25_k1", "bm25_b", "top_k").limit(10_000)))
+    settings = configs.select("hash", "bm25_k1", "bm25_b", "top_k")
+    few_settings = settings.limit(_BROADCAST_CONFIGS + 1).count() <= _BROADCAST_CONFIGS
+    rows = hits.crossJoin(F.broadcast(settings) if few_settings else settings)
     k1, b = F.col("bm25_k1"), F.col("bm25_b")
     score = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["idf"] * x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
     order = Window.partitionBy("hash", "qid").orderBy(F.desc("score"), "path")

@@ -240,3 +240,14 @@ def test_grids(spark):
     full = grids.expand_merges(cells, merges)
     assert {(r.row, r.col): r.value for r in full.collect()}[0, 2] == "A" and {(r.row, r.col): r.value for r in full.collect()}[3, 0] == "row"
     assert rows(grids.flatten_table(full, 2, 1), "label", "header", "value") == [("row", "A > B", "1"), ("row", "A > B", "3"), ("row", "A > C", "2")]
+
+
+def test_sweep_scores_every_configuration(spark):
+    docs = spark.createDataFrame([("a", "red fox"), ("b", "red red hen")], "path string, text string")
+    asked = spark.createDataFrame([("q", "k", "red fox")], "qid string, acl_key string, text string")
+    readable = spark.createDataFrame([("k", "a"), ("k", "b")], "acl_key string, path string")
+    n = F.col("id")
+    for count in (3, 10_200):
+        configs = spark.range(count).select(n.cast("string").alias("hash"), (0.5 + n / count).alias("bm25_k1"), F.lit(0.5).alias("bm25_b"), F.lit(2).alias("top_k"))
+        out = ex.sweep_scores(asked, docs, readable, configs)
+        assert out.groupBy("hash").agg(F.count("path").alias("n")).where("n = 2").count() == count
