@@ -2,7 +2,9 @@
 
 Lexicon transducers map a word to a symbol: insult (with a weight), threat, target, negation or report; every other word
 maps to ``other``.  Three small transducers read the symbols of a clause: negation (damps what follows it for three
-words), reported speech (damps the rest of the clause) and target (raises insults and turns a threat verb into a threat).
+words), reported speech (damps the rest of the clause, and what a colon after it opens) and target (raises insults and turns
+a threat verb into a threat).  A pass from the right first marks the threat verbs that a target follows in the clause, so
+that 'kill you' counts as 'dich töten' does.
 They are composed into one transducer whose states are triples; a clause's weight is the sum of what its path emits, and
 a document's score is a logistic function of its clauses' weights.  Only clauses with an insult or a threat emit, so
 others need not be read: an Aho-Corasick automaton over the stems finds them in one pass over the text.
@@ -37,7 +39,7 @@ TARGETS = "you your yours u he she they him them her these those people du dich
 NEGATIONS = "not never no neither nor cannot isn't aren't don't won't nicht nie kein keine pas jamais aucun nunca jamás ningún"
 REPORTS = "said says say wrote writes called quoted claimed told reported allegedly sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED = SYMBOLS = range(7)
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
@@ -52,13 +54,13 @@ class Transducer:
         """Both read the same symbols in step; factors multiply and bonuses add."""
         mine, theirs = {s for s, _ in self.arcs}, {s for s, _ in other.arcs}
         arcs = {}
-        for a, b, y in product(mine, theirs, range(6)):
+        for a, b, y in product(mine, theirs, SYMBOLS):
             (na, fa, ba), (nb, fb, bb) = self.arcs[a, y], other.arcs[b, y]
             arcs[(a, b), y] = ((na, nb), fa * fb, ba * fb + bb * fa)
         return Transducer((self.start, other.start), arcs)
 
-    def weight(self, symbols: list[tuple[int, float]]) -> float:
-        state, total = self.start, 0.0
+    def weight(self, symbols: list[tuple[int, float]], start=None) -> float:
+        state, total = self.start if start is None else start, 0.0
         for y, w in symbols:
             state, factor, bonus = self.arcs[state, y]
             if w:
@@ -68,25 +70,35 @@ class Transducer:
 
 def _negation(span: int = 3, damp: float = 0.5) -> Transducer:
     arcs = {}
-    for k, y in product(range(span + 1), range(6)):
+    for k, y in product(range(span + 1), SYMBOLS):
         arcs[k, y] = (span if y == NEGATION else max(0, k - 1), damp if k else 1.0, 0.0)
     return Transducer(0, arcs)
 
 
 def _report(damp: float = 0.6) -> Transducer:
-    return Transducer(0, {(k, y): (1 if y == REPORT else k, damp if k else 1.0, 0.0) for k, y in product((0, 1), range(6))})
+    return Transducer(0, {(k, y): (1 if y == REPORT else k, damp if k else 1.0, 0.0) for k, y in product((0, 1), SYMBOLS)})
 
 
 def _target(raise_by: float = 1.3, threat: float = 0.5) -> Transducer:
-    """State 1 after a target.  A threat verb counts in full only with a target before it."""
+    """State 1 after a target.  A threat verb counts only with a target before it or, if aimed, after it."""
     arcs = {}
-    for k, y in product((0, 1), range(6)):
+    for k, y in product((0, 1), SYMBOLS):
         factor = {INSULT: raise_by if k else 1.0, THREAT: 1.0 if k else 0.0}.get(y, 1.0)
-        arcs[k, y] = (1 if y == TARGET else k, factor, threat if k and y == THREAT else 0.0)
+        arcs[k, y] = (1 if y == TARGET else k, factor, threat if y == AIMED or (k and y == THREAT) else 0.0)
     return Transducer(0, arcs)
 
 
 GRAMMAR = _negation().compose(_report()).compose(_target())
+REPORTED = ((0, 1), 0)  # the state of a clause that a colon sets off from reported speech
+
+
+def aim(symbols: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """The symbols of a clause, read from the right: threat verbs that a target follows are aimed."""
+    out, target = [], False
+    for y, w in reversed(symbols):
+        target |= y == TARGET
+        out.append((AIMED if target and y == THREAT else y, w))
+    return out[::-1]
 
 
 class Lexicon:
@@ -133,13 +145,18 @@ class Scorer:
     def clauses(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, weight) of the matched clauses, in characters of the lower-cased text."""
         low, out, done = (text or "").lower(), [], 0
+        told, read = False, 0  # whether speech is reported where reading for it stopped
         for last, n in self.automaton.iter(low) if low else ():
             at = last - n + 1
             if at < done or (at and low[at - 1].isalpha()):
                 continue
             start = max(low.rfind(c, done, at) for c in ".!?;:\n") + 1 or done
             end = m.start() if (m := _CLAUSE_END.search(low, last)) else len(low)
-            w = GRAMMAR.weight([self.lexicon.symbol(x) for x in _WORD.findall(low, start, end)])
+            if colon := start > 0 and low[start - 1] == ":":
+                sentence = max(low.rfind(c, read, start) for c in ".!?;\n") + 1
+                told = (told and not sentence) or any(self.lexicon.fixed.get(x) == REPORT for x in _WORD.findall(low, sentence or read, start))
+                read = start
+            w = GRAMMAR.weight(aim([self.lexicon.symbol(x) for x in _WORD.findall(low, start, end)]), REPORTED if colon and told else None)
             if w > 0:
                 out.append((start, end, w))
             done = end

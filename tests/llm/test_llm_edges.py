@@ -270,3 +270,21 @@ def test_pieces_are_the_tokenizers(spark):
     for i in range(0, len(texts), 100):
         for t, b in zip(texts[i : i + 100], enc.encode(texts[i : i + 100])):
             assert np.frombuffer(b, "<i4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_threats_meet_targets_after_the_verb():
+    s = toxicity.Scorer(toxicity.Lexicon({}, {"idiot": 1.0}))
+    weight = lambda t: sum(c[2] for c in s.clauses(t))
+    for t in ("i will kill you", "we shall destroy them", "wir vernichten euch", "vamos a matar a ustedes", "je veux tuer ces gens avec vous"):
+        assert weight(t) > weight("i will kill time") == 0, t
+    assert weight("we kill and destroy you") == 2 * weight("we kill you") > weight("we will never kill you") > 0
+    assert weight("we kill time. you") == 0 and weight("you. we kill") == 0
+
+
+def test_reported_speech_passes_a_colon():
+    s = toxicity.Scorer(toxicity.Lexicon({}, {"idiot": 1.0}))
+    weight = lambda t: sum(c[2] for c in s.clauses(t))
+    assert weight("you idiot") > weight("she wrote: you idiot") == weight("he said she wrote you: you idiot") > 0
+    assert weight("she wrote: on monday: you idiot") == weight("she wrote: you idiot")
+    assert weight("she wrote. note: you idiot") == weight("she wrote: hello. you idiot") == weight("you idiot")
+    assert s.clauses("she said: an idiot: an idiot. so: an idiot")[1][2] < s.clauses("so: an idiot")[0][2] == s.clauses("she said: an idiot: an idiot. so: an idiot")[2][2]
