@@ -6,7 +6,7 @@ punctuation and position.  A chain over the blocks with labels ``content`` and `
 article's blocks.  The chain is trained on labelled pages that ``training_pages`` writes from templates (semantic tags,
 class-named containers, tables, bare paragraphs) around invented sentences; nothing is copied from the table.
 
-Raw-text elements (script, style, …), comments and the head give no blocks.  Character references are decoded once, white
+Raw-text elements (script, style, …), comments and the head give no blocks; an svg or math that closes itself is empty.  Character references are decoded once, white
 space in a block becomes single spaces, and the kept blocks are joined by two line feeds in page order.
 
 Defined results: null and empty html give an empty text; text outside any tag is a block; unclosed and stray tags are
@@ -38,6 +38,7 @@ _SCOPE = frozenset("ul ol table dl div section article aside main nav body td th
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|<[/!?a-zA-Z][^<>]*\Z", re.S)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 _SPACE = re.compile(r"\s+")
 
 Block = tuple[str, tuple[str, ...], tuple[str, ...], float]
@@ -66,7 +67,6 @@ def blocks_of(page: str | None) -> list[Block]:
         del stack[k:]
 
     page, at = page or "", 0
-    low = page.lower()
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -88,9 +88,11 @@ def blocks_of(page: str | None) -> list[Block]:
                 if tag not in BLOCK and stack[k][0] in BLOCK:
                     break
             continue
+        if tag in ("svg", "math") and m[0].endswith("/>"):  # these may close themselves
+            continue
         if tag in RAW and tag != "head":
-            if (end := low.find(f"</{tag}", at)) >= 0 or tag in ("script", "style", "noscript", "textarea", "title", "template", "iframe"):
-                close = page.find(">", end) if end >= 0 else -1
+            if (end := _RAW_END[tag].search(page, at)) or tag in ("script", "style", "noscript", "textarea", "title", "template", "iframe"):
+                close = page.find(">", end.start()) if end else -1
                 at = close + 1 if close >= 0 else len(page)
             continue
         if tag == "head":

@@ -288,3 +288,13 @@ def test_reported_speech_passes_a_colon():
     assert weight("she wrote: on monday: you idiot") == weight("she wrote: you idiot")
     assert weight("she wrote. note: you idiot") == weight("she wrote: hello. you idiot") == weight("you idiot")
     assert s.clauses("she said: an idiot: an idiot. so: an idiot")[1][2] < s.clauses("so: an idiot")[0][2] == s.clauses("she said: an idiot: an idiot. so: an idiot")[2][2]
+
+
+def test_raw_elements_end_where_the_page_says():
+    text = lambda page: [b[0] for b in html_extract.blocks_of(page)]
+    for tag in ("svg", "math"):
+        assert text(f"<body><{tag} class='x' /><p>article</p><footer><{tag}><b>icon</b></{tag}>foot</footer>") == ["article", "foot"]
+        assert text(f"<{tag.upper()}/><p>one</p><{tag}>icon</{tag}><p>two</p>") == ["one", "two"]
+    assert text("<p>" + "İ" * 40 + "</p><script>a()</SCRIPT><p>one</p><p>two</p><script>b()</script>") == ["İ" * 40, "one", "two"]
+    assert text("<p>" + "İ" * 9 + "</p><script>a()</script><p>one</p><style>x</style><p>two</p>") == ["İ" * 9, "one", "two"]
+    assert text("<script/>x</script><p>one</p>") == ["one"]
