@@ -107,9 +107,9 @@ def _index(pages: DataFrame) -> DataFrame:
 
 
 def index_check(pages: DataFrame) -> DataFrame:
-    """Pages that the index lacks, entries without a page, and dates that differ."""
+    """Pages that the index lacks, entries without a page, and dates that differ; a long index may come as rows of its lines, without its pending part."""
     index, wiki = _index(pages), _wiki(pages)
-    listed = index.select("path", F.explode(F.array_distinct(tx.wiki_links("head"))).alias("name"))
+    listed = index.select("path", F.explode(F.array_distinct(tx.wiki_links("head"))).alias("name")).distinct()
     names = wiki.select("name", _first("updated").alias("updated"))
     both = names.withColumn("page", F.lit(True)).join(listed.select("name", F.lit(True).alias("entry")), "name", "full_outer")
     kind = F.when(F.col("entry").isNull(), "index-missing").when(F.col("page").isNull(), "index-dangling")

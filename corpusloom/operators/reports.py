@@ -45,12 +45,17 @@ def audit_retention(audit: DataFrame, days: int, now: Column) -> tuple[DataFrame
 
 
 def ingest_summary(results: DataFrame, sources: DataFrame, emb: DataFrame) -> DataFrame:
-    """One row: counts by status, articles, embedded, documents without an article."""
-    counts = results.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("done", "failed", "duplicate")), F.sort_array(F.collect_list(F.when(F.col("status") == "failed", F.col("raw_path")))).alias("failures"))
+    """One row: counts by status, articles, embedded, documents without an article; ``ingest_failures`` has the failed ones."""
+    counts = results.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("done", "failed", "duplicate")))
     lost = results.where("status = 'done'").join(sources.select("raw_path"), "raw_path", "left_anti").agg(F.count(F.lit(1)).alias("without_article"))
     return counts.crossJoin(sources.agg(F.count_distinct("article_path").alias("articles"))).crossJoin(emb.agg(F.count_distinct("path").alias("embedded"))).crossJoin(lost)
 
 
+def ingest_failures(results: DataFrame) -> DataFrame:
+    """raw_path of what failed, a row each."""
+    return results.where("status = 'failed'").select("raw_path")
+
+
 def job_status(jobs: DataFrame, max_attempts: int = 3) -> DataFrame:
     return jobs.groupBy("status", (F.col("attempts") >= max_attempts).alias("exhausted")).agg(F.count(F.lit(1)).alias("n"))
 

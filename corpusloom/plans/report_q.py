@@ -52,8 +52,9 @@ def a6(spark, d):
     results = o.select(F.col("o_orderkey").alias("raw_path"), F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "failed").otherwise("duplicate").alias("status"))
     edges = table(spark, d, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("raw_path"), F.col("l_suppkey").alias("article_path"))
     emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("path"))
-    out = rx.ingest_summary(results, edges, emb)
-    return out.select("done", "failed", "duplicate", F.size("failures").cast("long").alias("failures"), "articles", "embedded", "without_article")
+    failures = rx.ingest_failures(results).agg(F.count(F.lit(1)).alias("failures"))
+    out = rx.ingest_summary(results, edges, emb).crossJoin(failures)
+    return out.select("done", "failed", "duplicate", "failures", "articles", "embedded", "without_article")
 
 
 A6 = """SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS done, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS failed, (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')) AS duplicate,

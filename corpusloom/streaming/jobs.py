@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.functions import pii
 from corpusloom.functions import text as tx
@@ -114,6 +116,26 @@ def retry_ledger(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
     return now.select("path", status.alias("status"), "attempts")
 
 
+def _fold_sorted(rows: DataFrame, key: list[str], order: list, step: Callable, name: str) -> DataFrame:
+    """``rows`` with the column ``name``: what ``step(t, state) -> (state, value)`` gives for each row of a key in order.
+
+    State is None at a key's first row and carried from batch to batch, so a key of any size takes the memory of one batch.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = state = None
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column("fold_key").to_pylist(), batch.column("t").to_pylist()):
+                if k != last:
+                    last, state = k, None
+                state, value = step(t, state)
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, name])
+
+    keyed = rows.withColumn("fold_key", F.to_json(F.struct(*key))).repartition("fold_key").sortWithinPartitions("fold_key", *order)
+    return keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField(name, LongType())])).drop("fold_key")
+
+
 COALESCED = ("login_failed", "read_denied")
 
 
@@ -123,17 +145,14 @@ def coalesce_repeats(audit: DataFrame, actions: tuple[str, ...] = COALESCED, win
     A repeat of one (user, action, target) within ``window`` seconds of the kept event is suppressed; the next kept one
     reports how many were.  Other actions are all kept.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, since, hidden = [], None, 0
-        for r in pdf.sort_values(["ts", "id"]).itertuples():
-            if since is not None and (r.ts - since).total_seconds() < window:
-                hidden += 1
-                continue
-            kept.append((r.id, hidden))
-            since, hidden = r.ts, 0
-        return pd.DataFrame(kept, columns=["id", "repeats"])
-
-    some = audit.where(F.col("action").isin(*actions)).groupBy("user_id", "action", "target").applyInPandas(fold, "id long, repeats long")
+    def step(t: int | None, state: tuple | None) -> tuple[tuple, int | None]:
+        since, hidden = state or (None, 0)
+        if since is not None and t is not None and t - since < window * 1e6:
+            return (since, hidden + 1), None
+        return (t, 0), hidden
+
+    some = audit.where(F.col("action").isin(*actions)).select("user_id", "action", "target", F.col("id").cast("long").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    some = _fold_sorted(some, ["user_id", "action", "target"], [F.col("t").asc_nulls_last(), "id"], step, "repeats").where("repeats is not null").select("id", "repeats")
     return audit.where(~F.col("action").isin(*actions)).select("id", F.lit(0).cast("long").alias("repeats")).unionByName(some)
 
 
@@ -170,17 +189,13 @@ def sessionize(events: DataFrame, idle: int = 1800, absolute: int | None = 28800
         long_runs = rows.groupBy("user_id", "run").agg((F.max("t") - F.min("t") > absolute).alias("long"))
         rows = rows.join(long_runs, ["user_id", "run"])
 
-        def split(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("t")
-            part, start, out = 0, None, []
-            for x in pdf["t"]:
-                if start is None or x - start > absolute:
-                    part, start = part + (start is not None), x
-                out.append(part)
-            return pdf.assign(part=out)[["user_id", "ts", "t", "run", "part"]]
-
-        schema = f"user_id {events.schema['user_id'].dataType.simpleString()}, ts timestamp, t double, run long, part long"
-        cut = rows.where("long").select("user_id", "ts", "t", "run").groupBy("user_id", "run").applyInPandas(split, schema)
+        def step(t: float, state: tuple | None) -> tuple[tuple, int]:
+            start, part = state or (t, 0)
+            if t - start > absolute:
+                start, part = t, part + 1
+            return (start, part), part
+
+        cut = _fold_sorted(rows.where("long").select("user_id", "ts", "t", "run"), ["user_id", "run"], ["t"], step, "part")
         parts = rows.where("not long").select("user_id", "ts", "t", "run", F.lit(0).cast("long").alias("part")).unionByName(cut)
     per = parts.groupBy("user_id", "run", "part").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"))
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("start"))

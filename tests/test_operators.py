@@ -251,3 +251,16 @@ def test_sweep_scores_every_configuration(spark):
         configs = spark.range(count).select(n.cast("string").alias("hash"), (0.5 + n / count).alias("bm25_k1"), F.lit(0.5).alias("bm25_b"), F.lit(2).alias("top_k"))
         out = ex.sweep_scores(asked, docs, readable, configs)
         assert out.groupBy("hash").agg(F.count("path").alias("n")).where("n = 2").count() == count
+
+
+def test_failures_and_index_lines_are_rows(spark):
+    results = spark.createDataFrame([("a", "done"), ("b", "failed"), ("c", "failed"), ("d", "duplicate")], "raw_path string, status string")
+    out = rx.ingest_summary(results, spark.createDataFrame([("a", "x")], "raw_path string, article_path string"), spark.createDataFrame([("x",)], "path string"))
+    assert out.first().asDict() == {"done": 1, "failed": 2, "duplicate": 1, "articles": 1, "embedded": 1, "without_article": 0}
+    assert rows(rx.ingest_failures(results)) == [("b",), ("c",)]
+    wiki = lambda name, body: (qx.WIKI, f"w/{name}", name, {"updated": ["2026-01-01"]}, body)
+    lines = ["[[a]] (updated: 2026-01-01)", "[[b]] (updated: 2026-01-02)", "[[gone]]", "see [[gone]]"]
+    pages = [wiki("a", ""), wiki("b", ""), wiki("c", "")]
+    schema = "folder string, path string, name string, front map<string,array<string>>, body string"
+    found = [rows(qx.index_check(spark.createDataFrame([*pages, *(wiki("_index", x) for x in index)], schema))) for index in (["\n".join(lines)], lines)]
+    assert found[0] == found[1] and len(found[0]) == 3

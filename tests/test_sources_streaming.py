@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 from email.message import EmailMessage
 
 import pytest
@@ -157,3 +158,34 @@ def test_digest_follows_content(spark):
     m = spark.createDataFrame([(f"p{i}", f"h{i}") for i in range(50)], "path string, sha256 string")
     same = src.dataset_digest(m.orderBy(F.desc("path"))).first()
     assert src.dataset_digest(m).first() == same and src.dataset_digest(m.where("path <> 'p3'")).first().digest != same.digest
+
+
+def test_folds_carry_state_over_batches(spark):
+    rng = random.Random(4)
+    at = lambda s: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=s)
+    ev = [(i, rng.randrange(4000), rng.choice([1, 1, 1, 2, None]), rng.choice(["login_failed", "other"])) for i in range(600)]
+    want, state = [], {}
+    for i, s, u, a in sorted(ev, key=lambda r: (r[1], r[0])):
+        since, hidden = state.get((u, a), (None, 0))
+        if a == "login_failed" and since is not None and s - since < 60:
+            state[u, a] = since, hidden + 1
+            continue
+        want.append((i, hidden))
+        state[u, a] = s, 0
+    cut, state = {}, {}
+    for s, u in sorted((s, u) for _, s, u, _ in ev if u):
+        start, last, n = state.get(u, (None, None, 0))
+        if start is None or s - last > 30 or s - start > 200:
+            start, n = s, n + 1
+        state[u] = start, s, n
+        cut[u, n] = cut.get((u, n), 0) + 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame([(i, at(s), u, a, "t") for i, s, u, a in ev], "id long, ts timestamp, user_id long, action string, target string")
+        kept, sessions = sj.coalesce_repeats(df), sj.sessionize(df.where("user_id is not null"), 30, 200)
+        assert sorted(map(tuple, kept.collect())) == sorted(want)
+        assert {(r.user_id, r.session): r.n for r in sessions.collect()} == cut
+        for out in (kept, sessions):  # no group as one frame
+            assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
