@@ -9,7 +9,7 @@ from corpusloom.llm.common import saved, scratch_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without letters, or without one main language, go."""
+    """Language ID: null texts and texts without letters go."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 

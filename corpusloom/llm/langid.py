@@ -184,8 +184,8 @@ def identify(docs: DataFrame, model: Model | None, step: int = 512) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long, n_switched long")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.35, step: int = 512) -> DataFrame:
-    """The rows of ``docs`` whose text has one main language: not ``und``, and a score of ``least`` or more."""
+def keep_identified(docs: DataFrame, model: Model | None, step: int = 512) -> DataFrame:
+    """The rows of ``docs`` but those with nothing to identify: null texts and texts without letters, with or without a model."""
     known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +194,9 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.35, s
         for batch in batches:
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                posts = m.posteriors([words_of(t) for t in part.column(at).to_pylist()]) if m else []
-                yield part.filter(pa.array([bool(len(p)) and bool(p.mean(axis=0).max() >= least) for p in posts] or [True] * part.num_rows, pa.bool_()))
+                words = [words_of(t) for t in part.column(at).to_pylist()]
+                posts = m.posteriors(words) if m else words
+                yield part.filter(pa.array([len(p) > 0 for p in posts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

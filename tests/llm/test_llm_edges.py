@@ -298,3 +298,11 @@ def test_raw_elements_end_where_the_page_says():
     assert text("<p>" + "İ" * 40 + "</p><script>a()</SCRIPT><p>one</p><p>two</p><script>b()</script>") == ["İ" * 40, "one", "two"]
     assert text("<p>" + "İ" * 9 + "</p><script>a()</script><p>one</p><style>x</style><p>two</p>") == ["İ" * 9, "one", "two"]
     assert text("<script/>x</script><p>one</p>") == ["one"]
+
+
+def test_keep_identified_drops_only_texts_without_letters(spark):
+    df = make(spark, [(1, "eins deux three quatro", "en", "a"), (2, "123 !?", "en", "a"), (3, None, "en", "a"), (4, "", "en", "a"), (5, "a", None, "a")])
+    even = langid.Model(["de", "en", "es", "fr"], np.zeros((langid.BUCKETS, 4)), np.zeros((4, 4)), np.zeros(4))
+    for model in (even, None):
+        assert sorted(r.doc_id for r in langid.keep_identified(df, model).collect()) == [1, 5]
+    assert {r.doc_id for r in langid.identify(df, even).where("lang_pred <> 'und'").collect()} == {1, 5}
