@@ -16,109 +16,165 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import saved, scratch_dir, table, worker_cache
 
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: letters that every Unicode version knows; marks behind them are a pre-token of their own
+_LETTERS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3C9}\x{410}-\x{44F}]+"
+#: white space but single spaces and line feeds, and special tokens
+_UNFIT = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
+
+
+def _large(*texts: str) -> list[pa.Scalar]:
+    return [pa.scalar(t, pa.large_string()) for t in texts]
+
+
+def _gather(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, …`` (``count`` of them) of all ranges in a row."""
+    before = np.cumsum(count) - count
+    return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
 class PieceEncoder:
     """Byte-level BPE by pieces between spaces.
 
     The pre-tokenizer of byte-level vocabularies never joins characters across ``non-space, space``, so the ids of a
-    text are those of its pieces in order.  Distinct pieces go through the tokenizers library once per worker (many in
-    one call, separated by line feeds) and are kept in two generations; texts with runs of white space, other white
-    space than single spaces and line feeds, or special tokens go through it whole.
+    text are those of its pieces in order.  A piece is what follows a space, or a line feed and what follows it; a text
+    starts as if behind a line feed.  Arrow splits a slice of texts and numbers its distinct pieces; those not met
+    before go through the tokenizers library together, and the ids of all pieces are laid out by one gather.  A worker
+    keeps the pieces used last.  Texts with runs of white space, other white space than single spaces and line feeds,
+    or special tokens go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, generation: int = 400_000):
+    def __init__(self, path: str, generation: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.generation = generation
-        self.newline = self._whole("\n")
-        self.marks: dict[str, bytes] = {"": b""}
-        #: ids of " piece", of "piece", or None where a text with the piece must go through the tokenizer whole
-        self.inner: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
-        self.old_inner: dict[str, bytes | None] = {}
-        self.old_first: dict[str, bytes | None] = {}
+        self.newline = self._ids("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        #: the pieces; where their ids start in ``ids``, how many they are (-1: the text goes whole); the slice that used them last
+        self.words = pa.array([], pa.large_string())
+        self.start, self.count, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids, self.marks, self.slices = np.zeros(0, np.int32), {}, 0
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
-
-    def _whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _learn(self, words: list[str], known: dict[str, bytes | None], lead: str) -> None:
-        """Ids of ``lead + word`` for words without white space."""
-        cut = np.frombuffer(self.newline, dtype="<i4")
-        for i in range(0, len(words), 8000):
-            part = words[i : i + 8000]
-            ids = self._ids(lead + ("\n" + lead).join(part))
-            ends = np.flatnonzero(ids == cut[0]) if len(cut) == 1 else np.empty(0, int)
-            if len(ends) != len(part) - 1:  # a vocabulary without a lone line feed: one by one
-                known.update((w, self._whole(lead + w)) for w in part)
-                continue
-            raw, ends = ids.tobytes(), (4 * ends).tolist()
-            known.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)]))))
-
-    def _fill(self, pieces: set[str], known: dict[str, bytes | None], old: dict[str, bytes | None], lead: str) -> None:
-        """Learn pieces; letters before ASCII marks are two pre-tokens, so their ids are joined from both."""
-        plain, composed = set(), []
-        for p in pieces:
-            if p in old:
-                known[p] = old[p]
-            elif p.isalpha():
-                plain.add(p)
-            elif (base := p.rstrip(_MARKS)).isalpha():
-                composed.append((p, base))
-                if base not in known:
-                    plain.add(base)
-            elif p.split() != [p] or "<|" in p:
-                known[p] = None
-            else:
-                plain.add(p)
-        self._learn(list(plain), known, lead)
-        for p, base in composed:
-            tail = p[len(base) :]
-            if tail not in self.marks:
-                self.marks[tail] = self._whole(tail)
-            known[p] = None if "<|" in tail else known[base] + self.marks[tail]
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
+
+    def _store(self, ids: np.ndarray) -> int:
+        at = len(self.ids)
+        self.ids = np.concatenate([self.ids, ids])
+        return at
+
+    def _add(self, words: pa.Array, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        at = len(self.words)
+        self.words = pa.concat_arrays([self.words, words])
+        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
+        self.used = np.concatenate([self.used, np.full(len(words), self.slices)])
+        return np.arange(at, len(self.words))
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Pieces without white space, behind a space or with their line feed, through the tokenizer in long texts."""
+        feed = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        lines = pc.if_else(pa.array(feed), words, pc.binary_join_element_wise(*_large("\n "), words, *_large(""))).to_pylist()
+        texts = ["".join(lines[at : at + 500]) for at in range(0, len(lines), 500)]
+        rows = [np.array(e.ids, np.int32) for at in range(0, len(texts), 16) for e in self.tok.encode_batch_fast(texts[at : at + 16], add_special_tokens=False)]
+        ids = np.concatenate([*rows, np.zeros(0, np.int32)])
+        feeds = np.flatnonzero(ids == self.newline[0])
+        begin = feeds + ~feed  # a piece with a line feed has its id as well
+        return self._add(words, self._store(ids) + begin, np.append(feeds[1:], len(ids))[: len(feed)] - begin)
+
+    def _meet(self, new: pa.Array) -> np.ndarray:
+        """The rows of pieces not met before; letters before ASCII marks are two pre-tokens: their ids are joined from both."""
+        body, base = pc.utf8_ltrim(new, "\n"), pc.utf8_rtrim(new, _MARKS)
+        unfit = pc.or_(pc.equal(body, ""), pc.match_substring_regex(body, _UNFIT))
+        joined = pc.and_not(pc.and_(pc.not_equal(base, new), pc.match_substring_regex(base, f"^\n?{_LETTERS}$")), unfit)
+        base, plain = base.filter(joined), pc.invert(pc.or_(unfit, joined))
+        fresh = pa.concat_arrays([new.filter(plain), base]).unique()
+        row = pc.index_in(fresh, value_set=self.words)
+        row_of = pc.fill_null(row, -1).to_numpy().astype(np.int64)
+        row_of[row_of < 0] = self._learn(fresh.filter(pc.is_null(row)))
+        rows = np.zeros(len(new), np.int64)
+        rows[plain.to_numpy(zero_copy_only=False)] = row_of[: pc.sum(plain).as_py()]  # they lead ``fresh``
+        bad = new.filter(unfit)
+        rows[unfit.to_numpy(zero_copy_only=False)] = self._add(bad, np.zeros(len(bad), np.int64), np.full(len(bad), -1))
+        if len(base):
+            both = new.filter(joined)
+            tails = pc.replace_substring_regex(both, f"^\n?{_LETTERS}", "").dictionary_encode()
+            for t in tails.dictionary.to_pylist():
+                if t not in self.marks:
+                    ids = self._ids(t)
+                    self.marks[t] = (self._store(ids), len(ids))
+            tail = np.array([self.marks[t] for t in tails.dictionary.to_pylist()])[tails.indices.to_numpy()]
+            at = row_of[pc.index_in(base, value_set=fresh).to_numpy()]
+            start, count = np.column_stack([self.start[at], tail[:, 0]]), np.column_stack([self.count[at], tail[:, 1]])
+            total = count.sum(axis=1)
+            first = self._store(self.ids[_gather(start.ravel(), count.ravel())])
+            rows[joined.to_numpy(zero_copy_only=False)] = self._add(both, first + np.cumsum(total) - total, total)
+        return rows
+
+    def _keep_recent(self) -> None:
+        """Beyond two generations, the pieces that were used last stay."""
+        if len(self.words) <= 2 * self.generation:
+            return
+        kept = np.sort(np.argsort(self.used, kind="stable")[-self.generation :])
+        count = np.maximum(self.count[kept], 0)
+        ids = self.ids[_gather(self.start[kept], count)]
+        start = np.cumsum(count) - count
+        self.words, self.start, self.count, self.used = self.words.take(pa.array(kept)), start, self.count[kept], self.used[kept]
+        self.ids, self.marks = ids, {}
+
+    def encode_array(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, offsets), each text's followed by ``end`` if given."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        if len(self.newline) != 1:  # a vocabulary without a lone line feed
+            return self._lay([np.append(self._ids(t), [] if end is None else end) for t in texts.to_pylist()])
+        self._keep_recent()
+        self.slices += 1
+        lists = pc.split_pattern(pc.binary_join_element_wise(*_large("\n"), pc.replace_substring(texts, "\n", " \n"), *_large("")), " ")
+        heads = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        heads = heads - heads[0]
+        pieces = lists.flatten().dictionary_encode()
+        where = pc.index_in(pieces.dictionary, value_set=self.words)
+        rows = pc.fill_null(where, -1).to_numpy().astype(np.int64)
+        if where.null_count:
+            rows[rows < 0] = self._meet(pieces.dictionary.filter(pc.is_null(where)))
+        self.used[rows] = self.slices
+        at = rows[pieces.indices.to_numpy()]
+        start, count = self.start[at], self.count[at]
+        start[heads] += 1  # the line feed before a text is none of its own
+        whole = np.flatnonzero(np.minimum.reduceat(count, heads) < 0)
+        count[heads] -= 1
+        pool = self.ids
+        if len(whole):
+            found = self.tok.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
+            ids, offsets = self._lay([np.array(e.ids, np.int32) for e in found])
+            inside = np.repeat(np.isin(np.arange(len(heads)), whole), np.diff(np.append(heads, len(count))))
+            count[inside] = 0
+            start[heads[whole]], count[heads[whole]] = len(pool) + offsets[:-1], np.diff(offsets)
+            pool = np.concatenate([pool, ids])
+        if end is not None:
+            stops = np.append(heads[1:], len(count))
+            start, count = np.insert(start, stops, len(pool)), np.insert(count, stops, 1)
+            heads, pool = heads + np.arange(len(heads)), np.append(pool, np.int32(end))
+        return pool[_gather(start, count)], np.concatenate([[0], np.cumsum(np.add.reduceat(count, heads))])
+
+    @staticmethod
+    def _lay(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32), np.cumsum([0, *map(len, rows)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.inner) > self.generation:
-            self.old_inner, self.inner, self.old_first, self.first, self.marks = self.inner, {}, self.first, {}, {"": b""}
-        split = [t.replace("\n", " \n").split(" ") if t else None for t in texts]
-        heads = {pieces[0] for pieces in split if pieces}
-        seen: set[str] = set()
-        for pieces in split:
-            if pieces:
-                seen.update(pieces)
-        missing = seen.difference(self.inner)
-        after = [p for p in missing if p[:1] == "\n"]
-        heads.update(p[1:] for p in after)
-        self._fill(heads.difference(self.first), self.first, self.old_first, "")
-        self._fill(missing.difference(after), self.inner, self.old_inner, " ")
-        for p in after:
-            rest = self.first[p[1:]]
-            self.inner[p] = None if rest is None else self.newline + rest
-        get = self.inner.__getitem__
-        out = []
-        for t, pieces in zip(texts, split):
-            if not pieces:
-                out.append(b"")
-                continue
-            parts = [*map(get, pieces)]
-            parts[0] = self.first[pieces[0]]
-            try:
-                out.append(b"".join(parts))
-            except TypeError:  # a piece that needs its surroundings
-                out.append(self._whole(t))
-        return out
+        ids, at = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:])]
 
 
 def _encoder(path: str) -> PieceEncoder:
@@ -131,19 +187,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, step: int = 1024) -> DataFrame:
-    """doc_id, ids: the ids of each text and the end id."""
-    end = np.array([end_id], dtype="<i4").tobytes()
+def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, slice_bytes: int = 6 << 20) -> DataFrame:
+    """doc_id, ids: the ids of each text and the end id.  Texts are encoded in slices of about ``slice_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                rows = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in rows)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+            before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(before // slice_bytes)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                ids, offsets = enc.encode_array(batch.column(1).slice(a, b - a), end_id)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
