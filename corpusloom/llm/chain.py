@@ -51,6 +51,62 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start:
     return post, logz, pairs
 
 
+def flat_marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, segment: int = 64) -> np.ndarray:
+    """Posteriors of the steps of many sequences laid end to end: exactly those of ``marginals``, whatever the lengths.
+
+    scores: (all steps, labels); lengths: steps of each sequence.  Sequences are cut into segments that are read in
+    step.  A segment's matrix says what leaves it for each label that enters; messages then pass over the matrices of a
+    sequence both ways, and a last pass forward and back inside all segments gives every step's posterior.
+    """
+    labels, lengths = scores.shape[1], lengths.astype(np.int64)
+    e, t = np.exp(scores - scores.max(axis=1, keepdims=True, initial=-np.inf)), np.exp(trans)
+    parts = -(-lengths // segment)
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.minimum(segment, lengths[owner] - nth * segment)
+    order = np.argsort(-size, kind="stable")  # longest first: the segments that have a step s are the first ones
+    first, size = (np.cumsum(lengths) - lengths)[owner] + nth * segment, size[order]
+    first = first[order]
+    alive = [int(np.searchsorted(-size, -s, side="left")) for s in range(segment)]  # segments of more than s steps
+    steps = segment if len(size) == 0 else int(size.max(initial=0))
+
+    through = np.zeros((len(size), labels, labels))
+    through[:, range(labels), range(labels)] = e[first] if len(size) else 0
+    for s in range(1, steps):
+        n = alive[s]
+        m = (through[:n].reshape(-1, labels) @ t).reshape(n, labels, labels) * e[first[:n] + s][:, None, :]
+        through[:n] = m / m.max(axis=(1, 2), keepdims=True) if s % 8 == 0 else m
+    enters, leaves = np.empty((len(size), labels)), np.empty((len(size), labels))
+    at = np.empty(len(size), np.int64)
+    at[order] = np.arange(len(size))  # place of a segment in the sorted arrays
+    head = np.cumsum(parts) - parts
+    by_parts = np.argsort(-parts, kind="stable")
+    forward, back = np.tile(np.exp(start), (len(parts), 1)), np.ones((len(parts), labels))
+    for r in range(int(parts.max(initial=0))):
+        who = by_parts[: int(np.searchsorted(-parts[by_parts], -r, side="left"))]
+        a, b = at[head[who] + r], at[head[who] + parts[who] - 1 - r]
+        enters[a], leaves[b] = forward[who], back[who]
+        m = np.einsum("di,dij->dj", forward[who], through[a]) @ t
+        forward[who] = m / m.max(axis=1, keepdims=True)
+        m = np.einsum("dij,dj->di", through[b], back[who]) @ t.T
+        back[who] = m / m.max(axis=1, keepdims=True)
+
+    post = np.empty_like(e)
+    alpha = np.empty((steps, len(size), labels))
+    for s in range(steps):
+        n = alive[s]
+        m = (enters if s == 0 else alpha[s - 1, :n] @ t) * e[first[:n] + s]
+        alpha[s, :n] = m / m.max(axis=1, keepdims=True) if s % 8 == 0 else m
+    beta = leaves
+    for s in range(steps - 1, -1, -1):
+        n = alive[s]
+        p = alpha[s, :n] * beta[:n]
+        post[first[:n] + s] = p / p.sum(axis=1, keepdims=True)
+        m = (e[first[:n] + s] * beta[:n]) @ t.T
+        beta[:n] = m / m.max(axis=1, keepdims=True) if s % 8 == 0 else m
+    return post
+
+
 def viterbi(scores: np.ndarray, trans: np.ndarray, start: np.ndarray) -> list[int]:
     """The best labels of one sequence (steps, labels)."""
     best, back = scores[0] + start, []

@@ -32,6 +32,14 @@ def saved(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(df.schema).load(path)
 
 
+def new_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 _LIVE: dict = {}
 
 

@@ -2,7 +2,7 @@
 
 A word's features are its affixes and inner n-grams of one to four letters (a word is bounded by marks, so affixes are
 the n-grams that hold a mark) and the word itself as a lexicon entry, all hashed; label transitions are learned.
-Posteriors of every word come from forward-backward over the whole text; a document's language has the largest mean
+Posteriors of every word come from forward-backward over the whole text, in segments that are read in step; a document's language has the largest mean
 posterior, which is its score.
 
 Training takes at most ``per_language`` whole documents of each language, those with the least hash of their id, cuts
@@ -17,26 +17,29 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.chain import fit_sparse, marginals
+from corpusloom.llm.chain import fit_sparse, flat_marginals
 from corpusloom.llm.common import crc_mod, drop_worker_cache, table
 
-WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
 _LONGEST = 24  # longer runs of letters are read as several words
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+_RUNS = re.compile(rf"[^\W\d_]{{1,{_LONGEST}}}")
+
+
 def words_of(text: str | None) -> list[str]:
-    """The words of a text in lower case; runs of over ``_LONGEST`` letters in pieces."""
-    found = WORDS.findall((text or "").lower())
-    if any(len(w) > _LONGEST for w in found):
-        found = [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
+    """The runs of letters (Unicode category L) of a text in lower case; runs of over ``_LONGEST`` in pieces."""
+    found = _RUNS.findall((text or "").lower())
+    if found and not "".join(found).isalpha():  # other numbers, such as ², are word characters too
+        found = [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
     return found
 
 
@@ -94,25 +97,31 @@ class Model:
                 self.table[at : at + len(part), y] = (self.weights[:, y][feats] * mask).sum(axis=1)
             self.rows.update(zip(part, range(at, at + len(part))))
 
-    def posteriors(self, docs: list[list[str]], pad: int = 60_000) -> list[np.ndarray]:
-        """The label posteriors of each document's words."""
+    def posteriors(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(label posteriors of all words in a row, words of each document)."""
         if len(self.rows) > 300_000:
             self.rows, self.table = {}, np.zeros((1 << 16, len(self.languages)), np.float32)
-        self._learn(list({w for d in docs for w in d}.difference(self.rows)))
-        out: list[np.ndarray] = [np.zeros((0, len(self.languages)))] * len(docs)
-        order = sorted((i for i in range(len(docs)) if docs[i]), key=lambda i: len(docs[i]))
-        while order:  # documents of like lengths together, no more than ``pad`` padded words at once
-            longest = len(docs[order[-1]])
-            take = max(1, min(len(order), pad // longest))
-            part, order = order[-take:], order[:-take]
-            lengths = np.array([len(docs[i]) for i in part])
-            scores = np.zeros((longest, len(part), len(self.languages)))
-            for k, i in enumerate(part):
-                scores[: lengths[k], k] = self.table[[self.rows[w] for w in docs[i]]]
-            post, _, _ = marginals(scores, lengths, self.trans, self.start)
-            for k, i in enumerate(part):
-                out[i] = post[: lengths[k], k]
-        return out
+        seen: set[str] = set()
+        for d in docs:
+            seen.update(d)
+        self._learn(list(seen.difference(self.rows)))
+        lengths = np.array([len(d) for d in docs], np.int64)
+        at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(docs)), np.int64, int(lengths.sum()))
+        return flat_marginals(self.table[at].astype(np.float64), lengths, self.trans, self.start), lengths
+
+    def label(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(label, mean posterior of it, words, words of another label) of each document; no words: label -1."""
+        post, lengths = self.posteriors(docs)
+        label, score, switched = np.full(len(docs), -1), np.zeros(len(docs)), np.zeros(len(docs), np.int64)
+        some = np.flatnonzero(lengths)
+        if len(some):
+            heads = (np.cumsum(lengths) - lengths)[some]
+            mean = np.add.reduceat(post, heads) / lengths[some][:, None]
+            label[some] = mean.argmax(axis=1)
+            score[some] = np.minimum(1.0, mean.max(axis=1))
+            other = post.argmax(axis=1) != np.repeat(label[some], lengths[some])
+            switched[some] = np.add.reduceat(other.astype(np.int64), heads)
+        return label, score, lengths, switched
 
 
 def training_rows(docs: DataFrame, per_language: int) -> list:
@@ -123,20 +132,19 @@ def training_rows(docs: DataFrame, per_language: int) -> list:
     return picked.orderBy("lang", "r").select("lang", "text").collect()
 
 
-def fit(docs: DataFrame, per_language: int = 250, words_per_doc: int = 600, buckets: int = BUCKETS, seed: int = 5) -> Model | None:
-    """A model from at most ``per_language`` documents of each language; of a long one, ``words_per_doc`` words spread over it."""
+def fit(docs: DataFrame, per_language: int = 250, buckets: int = BUCKETS, seed: int = 5) -> Model | None:
+    """A model from the whole texts of at most ``per_language`` documents of each language."""
     rows = training_rows(docs, per_language)
     languages = sorted({r["lang"] for r in rows})
     rng = np.random.default_rng(seed)
     runs: list[tuple[int, list[str]]] = []
     for r in rows:
         words = words_of(r["text"])
-        step = max(1, len(words) // words_per_doc)
         at = 0
         while at < len(words):
             n = int(rng.integers(5, 40))
             runs.append((languages.index(r["lang"]), words[at : at + n]))
-            at += n * step
+            at += n
     if not runs:
         return None
     known = sorted({w for _, ws in runs for w in ws}, key=lambda w: (len(w), w))
@@ -170,16 +178,10 @@ def identify(docs: DataFrame, model: Model | None, step: int = 512) -> DataFrame
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 words = [words_of(t) for t in part.column(1).to_pylist()]
-                posts = m.posteriors(words) if m else [()] * len(words)
-                lang, score, switched = [], [], []
-                for p in posts:
-                    if not len(p):
-                        lang.append("und"), score.append(0.0), switched.append(0)
-                        continue
-                    mean = p.mean(axis=0)
-                    y = int(mean.argmax())
-                    lang.append(m.languages[y]), score.append(min(1.0, float(mean[y]))), switched.append(int((p.argmax(axis=1) != y).sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array([len(w) for w in words], pa.int64()), pa.array(switched, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words", "n_switched"])
+                none = np.zeros(len(words), np.int64)
+                label, score, n, switched = m.label(words) if m else (none - 1, none, np.array([len(w) for w in words]), none)
+                lang = [m.languages[y] if y >= 0 else "und" for y in label.tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(switched, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words", "n_switched"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long, n_switched long")
 
@@ -195,8 +197,8 @@ def keep_identified(docs: DataFrame, model: Model | None, step: int = 512) -> Da
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 words = [words_of(t) for t in part.column(at).to_pylist()]
-                posts = m.posteriors(words) if m else words
-                yield part.filter(pa.array([len(p) > 0 for p in posts], pa.bool_()))
+                kept = m.label(words)[0] >= 0 if m else [bool(w) for w in words]
+                yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -27,10 +27,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drop_worker_cache, saved, table
+from corpusloom.llm.common import drop_worker_cache, new_name, saved, table
 from corpusloom.llm.graph import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -161,7 +161,7 @@ def _counts(sets: DataFrame, cells: int, slices: int = 32) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["slice"])]) if parts else np.zeros(cells, np.int64)
 
 
-def _prefix_pairs(apart: DataFrame, percent: int, cells: int = 1 << 16) -> DataFrame:
+def _prefix_pairs(apart: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:
     """Pairs a < b of ``apart(doc, label, shingles)`` with different labels that may be at the similarity (none is missed)."""
     common = apart.sparkSession.sparkContext.broadcast(_counts(apart, cells))
 
@@ -189,15 +189,17 @@ def _prefix_pairs(apart: DataFrame, percent: int, cells: int = 1 << 16) -> DataF
     return joined.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, drawn_rounds: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``."""
-    sketch = saved(sketches(docs.where("doc_id is not null"), size, bands, rows), "sketches")
-    classes = sketch.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    nodes = saved(
-        sketch.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")),
-        "nodes",
-    )
-    placed = nodes.where("bands is not null").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, drawn_rounds: int = 1, salts: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``.
+
+    Rows of equal sets meet their class in ``salts`` parts, so a class that holds a large share of all rows is no task
+    of its own; only the class representative's bands go on.
+    """
+    sketch = saved(sketches(docs.where("doc_id is not null"), size, bands, rows).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")), "sketches")
+    parts = saved(sketch.where("n_shingles > 0").groupBy("k1", "k2", "salt").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("least")), "class-parts")
+    classes = parts.groupBy("k1", "k2").agg(F.min("least").alias("least")).select("k1", "k2", F.col("least.doc_id").alias("rep"), F.col("least.n_shingles").alias("n"), F.col("least.bands").alias("bands"))
+    classes = saved(classes, "classes")
+    placed = classes.select(F.col("rep").alias("doc"), "n", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("centre")).where("c > 1").drop("c")
     members = saved(placed.join(shared, "key"), "members")
     sets = saved(_sets(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members.select("doc").distinct(), "doc", "left_semi"), size), "sets")
@@ -220,16 +222,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         tested = tested.union(more)
         links = links.union(more.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = components(links)
-    out = nodes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label"))
+    named = parts.select("k1", "k2", "salt").join(named, ["k1", "k2"])
+    out = sketch.select("doc_id", "n_shingles", "k1", "k2", "salt").join(named, ["k1", "k2", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     absent = sketches(docs.where("doc_id is null"), size, bands, rows).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.union(absent).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` whose document has the least ``doc_id`` of its component (rows that repeat it go, but one)."""
+    """The rows of ``docs`` whose document has the least ``doc_id`` of its component.  Of rows that repeat it, the one
+    with the least hash of its text stays; rows alike in id and text are alike for this operator, and any one stays."""
     found = near_duplicates(docs, **params)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    order, at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"), new_name(docs, "nth")
+    rows = docs.join(kept, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(order).alias(at)).where(F.col(at) == 1).drop(at)
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
