@@ -3,11 +3,14 @@
 Text is read as UTF-8 bytes: ASCII letters are lower-cased, ASCII bytes that are neither letters nor digits become
 spaces, so a word is a run of the rest.  Patterns are windows of ``window`` consecutive words of an item (all its words,
 if fewer), each between spaces; a text is scanned once, and matches are mapped to word numbers and character offsets of
-the original.  A benchmark of over ``block_chars`` pattern characters is scanned in blocks, an automaton after another
-over the same rows, so that no task holds more than one block's automaton at a time.
+the original.  A benchmark of over ``block_chars`` pattern characters is read in blocks by a hash of the item: for each
+block in turn a job of its own scans all texts with that block's automaton and writes the matches to the shared folder,
+so neither the driver nor a task ever holds more than one block (or one item, if that is longer).  Matches belong to a
+text, not to a row: they are joined to the rows by the text's SHA-256.
 
 Defined results: null, empty and wordless texts have no words and no hits; items without words match nothing; repeated
-rows give repeated rows; items with a null id mark words but are not listed; extra columns are ignored.
+rows give repeated rows; items with a null id mark words but are not listed; extra columns are ignored, whatever their
+names, and carried with ``drop``.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, worker_cache
+from corpusloom.llm.common import new_name, saved, table, worker_cache
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
@@ -63,7 +66,7 @@ def _matcher(patterns) -> Matcher:
     return worker_cache("matcher", str(patterns.value[0]), lambda: Matcher(patterns.value[1]))
 
 
-def pattern_blocks(benchmark: DataFrame, window: int, block_chars: int) -> list[dict[str, list]]:
+def pattern_blocks(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[dict[str, list]]:
     """Patterns in blocks of about ``block_chars``, by hash of the item; each block alone is held by the driver."""
     items = benchmark.select(F.col("item_id"), F.col("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -86,60 +89,104 @@ def _original_offsets(text: str, first: list[int], last: list[int]) -> list[tupl
     return [(int(chars[starts[a]]), int(chars[ends[b]])) for a, b in zip(first, last)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 60_000_000, drop: bool = False) -> DataFrame:
+def _fingerprint(block: dict[str, list]) -> str:
+    """A key of all patterns of a block and their items."""
+    h = hashlib.sha1()
+    for p in sorted(block):
+        h.update(f"{p}\x00{block[p]}\x00".encode())
+    return h.hexdigest()
+
+
+def _found(m: Matcher, text: str | None) -> tuple[list[int], list[str]]:
+    """(word ranges first, last, first, last, …; ids of the items) of a text's matches."""
+    joined = b" " + b" ".join(words_of(text)) + b" "
+    found = m.scan(joined)
+    if not found:
+        return [], []
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
+    ranges = np.searchsorted(blanks, np.array([f[:2] for f in found]))
+    ranges[:, 1] -= 1
+    return np.unique(ranges, axis=0).ravel().tolist(), sorted({str(x) for f in found for x in m.items[f[2]]})
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 10_000_000, drop: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, items, spans: the words inside matches, the items they come from, and merged character
     ranges [start, end) in the original text.  With ``drop`` the input rows without a hit are returned instead."""
-    spark = docs.sparkSession
-    marks = spark.sparkContext
-    out = (docs if drop else docs.select("doc_id", "text")).withColumn("_hits", F.lit(None).cast("array<int>")).withColumn("_items", F.lit(None).cast("array<string>"))
-    kinds = benchmark.schema["item_id"].dataType.simpleString()
-    for k, block in enumerate(pattern_blocks(benchmark, window, block_chars)):
-        key = f"{id(docs)}-{k}-{hashlib.sha1(repr(sorted(block)[:50]).encode()).hexdigest()}-{len(block)}"
-        out = _scan(out, marks.broadcast((key, block)))
-    if drop:
-        return out.where(F.size(F.coalesce("_hits", F.array().cast("array<int>"))) == 0).select(*docs.columns)
-    return out.select("doc_id", "text", "_hits", "_items").mapInArrow(_report, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<array<int>>").withColumn("items", F.col("items").cast(f"array<{kinds}>"))
-
-
-def _scan(df: DataFrame, patterns) -> DataFrame:
-    """One automaton over all rows: adds its matches' word ranges (first, last, …) to ``_hits``, its items to ``_items``."""
-    at = df.columns.index("text")
-    hits_at, items_at = len(df.columns) - 2, len(df.columns) - 1
+    share = docs.sparkSession.sparkContext.broadcast
+    blocks = pattern_blocks(benchmark, window, block_chars)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:  # one automaton: one pass over the rows
+        patterns = share((_fingerprint(block), block))
+        if drop:
+            return docs.mapInArrow(_clean(patterns, docs.columns.index("text")), docs.schema)
+        found = docs.select("doc_id", "text").mapInArrow(_report(lambda text, batch, i, m=patterns: _found(_matcher(m), text)), _schema(docs))
+    else:
+        texts, hits = docs.select("text").where("text is not null"), None
+        while block is not None:
+            part = texts.mapInArrow(_matches(share((_fingerprint(block), block))), "key string, hits array<int>, items array<string>")
+            part = saved(part.dropDuplicates(["key"]), "matches")
+            hits, block, after = part if hits is None else hits.union(part), after, next(blocks, None)
+        key = F.sha2(docs["text"].cast("binary"), 256)
+        if drop:
+            name = new_name(docs, "key")
+            return docs.join(hits.select(F.col("key").alias(name)).distinct(), key == F.col(name), "left_anti")
+        per = hits.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        rows = docs.select("doc_id", "text")
+        rows = rows.join(per, F.sha2(rows["text"].cast("binary"), 256) == per["key"], "left").select("doc_id", "text", "hits", "items")
+        found = rows.mapInArrow(_report(lambda text, batch, i: (batch.column(2)[i].as_py() or [], sorted({*(batch.column(3)[i].as_py() or ())}))), _schema(docs))
+    return found.withColumn("items", F.col("items").cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>"))
+
+
+def _schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<array<int>>"
+
+
+def _clean(patterns, at: int):
+    """The rows of whole batches without a match in column ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(patterns)
         for batch in batches:
-            hits, items = batch.column(hits_at).to_pylist(), batch.column(items_at).to_pylist()
-            for i, text in enumerate(batch.column(at).to_pylist()):
-                joined = b" " + b" ".join(words_of(text)) + b" "
-                if found := m.scan(joined):
-                    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
-                    ranges = np.searchsorted(blanks, np.array([f[:2] for f in found]))
-                    ranges[:, 1] -= 1
-                    hits[i] = (hits[i] or []) + np.unique(ranges, axis=0).ravel().tolist()
-                    items[i] = sorted({*(items[i] or ()), *(str(x) for f in found for x in m.items[f[2]])})
-            cols = [*batch.columns[:hits_at], pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
-
-    return df.mapInArrow(run, df.schema)
-
-
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row = {n: batch.column(n).to_pylist() for n in ("text", "_hits", "_items")}
-        n_words, n_hit, spans = [], [], []
-        for text, hits in zip(row["text"], row["_hits"]):
-            n_words.append(len(words_of(text)))
-            merged: list[list[int]] = []
-            for a, b in sorted(zip(hits[::2], hits[1::2])) if hits else ():
-                if merged and a <= merged[-1][1] + 1:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            n_hit.append(sum(b - a + 1 for a, b in merged))
-            spans.append([list(x) for x in _original_offsets(text, *zip(*merged))] if merged else [])
-        cols = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([x or [] for x in row["_items"]], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "items", "spans"])
+            yield batch.filter(pa.array([not m.scan(b" " + b" ".join(words_of(t)) + b" ") for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def _matches(patterns):
+    """key, hits, items of the texts with a match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _matcher(patterns)
+        for batch in batches:
+            rows = [(hashlib.sha256(t.encode()).hexdigest(), *_found(m, t)) for t in batch.column(0).to_pylist()]
+            rows = [r for r in rows if r[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())))], names=["key", "hits", "items"])
+
+    return run
+
+
+def _report(found):
+    """The report of rows whose matches ``found(text, batch, row)`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_hit, items, spans = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                hits, ids = found(text, batch, i)
+                n_words.append(len(words_of(text)))
+                items.append(ids)
+                merged: list[list[int]] = []
+                for a, b in sorted(zip(hits[::2], hits[1::2])):
+                    if merged and a <= merged[-1][1] + 1:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
+                n_hit.append(sum(b - a + 1 for a, b in merged))
+                spans.append([list(x) for x in _original_offsets(text, *zip(*merged))] if merged else [])
+            cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    return run
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
