@@ -1,10 +1,11 @@
 """Mixing sources to target weights: fixed-length blocks, multinomial shard counts, pseudorandom index permutations.
 
-Words of each source are packed into blocks of ``block`` words.  The output is a row of slots, cut into shards.  Each
-shard draws how many of its slots go to which source from a multinomial with the sources' remaining slots as weights
-(so all shards together give each source its exact share).  The j-th slot of a source reads block ``perm(j mod n)`` of the
-source's ``n`` blocks, a keyed permutation per pass, and slots are joined with blocks by that index.  The last slot of a
-source is cut so that its words meet the target exactly.
+Words of each source are packed into blocks of ``block`` words.  The output is a row of slots in shards.  How many slots
+of each source a shard has is drawn from a multinomial: a source's slots fall on the shards with equal chances, so all
+shards together give each source its exact share.  The counts are a table, a row for each source and shard that has
+slots of it.  The j-th slot of a source reads block ``perm(j mod n)`` of the source's ``n`` blocks, a keyed permutation per
+pass, and slots are joined with blocks by that index; a permutation of the shard's slots mixes the sources in it.  The
+last slot of a source is cut so that its words meet the target exactly.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, 5, 2, 1, …; they share ``share`` times all words, no source
 above ``most`` times its own; what exceeds that goes to the others by weight until none is above.
@@ -16,7 +17,6 @@ own; a source without words has target 0; an empty table gives an empty result;
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, saved, table
+from corpusloom.llm.common import WORD, new_name, saved, table
 
 CYCLE = (5.0, 2.0, 1.0)
 
@@ -92,22 +92,16 @@ def _slots_of(i: int, size: int, want: int, block: int, seed: int) -> tuple[int,
     return turns * n + k, (tail if short == k - 1 else block) - (words(k) - rest)
 
 
-def shard_counts(counts: list[int], shards: int, seed: int) -> np.ndarray:
-    """Multinomial counts per shard and source that add up to ``counts``; shards differ by one slot at most in size."""
-    rng, left = np.random.default_rng(seed), np.array(counts, np.int64)
-    out = np.zeros((shards, len(counts)), np.int64)
-    for s in range(shards):
-        need = math.ceil(left.sum() / (shards - s))
-        while need > 0:
-            free = left - out[s]
-            draw = np.minimum(rng.multinomial(need, free / free.sum()), free)
-            out[s] += draw
-            need -= int(draw.sum())
-        left -= out[s]
-    return out
+def shard_counts(source: int, slots: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shards, counts): a multinomial draw of a source's slots over the shards, those without any left out."""
+    rng = np.random.default_rng([seed, source])
+    if slots < shards:
+        return np.unique(rng.integers(0, shards, slots), return_counts=True)
+    counts = rng.multinomial(slots, np.full(shards, 1 / shards))
+    return np.flatnonzero(counts), counts[counts > 0]
 
 
-def mix_plan(docs: DataFrame, block: int = 128, share: float = 1.5, most: float = 2.0, seed: int = 7, max_shards: int = 2048) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, block: int = 128, share: float = 1.5, most: float = 2.0, seed: int = 7, max_shards: int = 65_536) -> tuple[DataFrame, DataFrame]:
     """(documents, taken pieces).
 
     documents: row_key, doc_id, source, size, source_size, target; a row for each row of ``docs``.
@@ -120,10 +114,7 @@ def mix_plan(docs: DataFrame, block: int = 128, share: float = 1.5, most: float
     sizes, weights = [r[1] for r in per], [CYCLE[i % len(CYCLE)] for i in range(len(per))]
     goal = targets(sizes, weights, share, most)
     drawn = [_slots_of(i, s, min(round(g), int(most * s)), block, seed) for i, (s, g) in enumerate(zip(sizes, goal))]
-    n_slots = [d[0] for d in drawn]
-    total = sum(n_slots)
-    shards = max(1, min(max_shards, total // 4096))
-    counts = shard_counts(n_slots, shards, seed) if total else np.zeros((1, len(per)), np.int64)
+    shards = max(1, min(max_shards, sum(d[0] for d in drawn) // 4096))
 
     info = spark.createDataFrame([(i, p[0], p[1], float(g)) for i, (p, g) in enumerate(zip(per, goal))], "src int, source string, source_size long, target double")
     # positions: a running sum inside chunks of a source (by hash, so that a hot source is spread), then over the chunks
@@ -145,36 +136,44 @@ def mix_plan(docs: DataFrame, block: int = 128, share: float = 1.5, most: float
     lo, hi = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     piece = piece.select("row_key", "src", "block", (lo - F.col("block") * block).alias("at"), (lo - F.col("start")).alias("word_from"), (hi - lo).alias("n"))
 
-    slots = _slots(spark, total, counts, sizes, drawn, block, seed)
+    slots = _slots(spark, [(i, -(-s // block), *d) for i, (s, d) in enumerate(zip(sizes, drawn)) if d[0]], shards, block, seed)
     # join blocks by index; the last slot of a source is cut to its words
     words = F.least("n", F.greatest(F.col("limit") - F.col("at"), F.lit(0)))
     pieces = piece.join(slots, ["src", "block"]).select("row_key", "shard", "slot", "word_from", words.alias("words")).where("words > 0")
     return documents, pieces
 
 
-def _slots(spark: SparkSession, total: int, counts: np.ndarray, sizes: list[int], drawn: list[tuple[int, int]], block: int, seed: int) -> DataFrame:
-    """shard, slot, src, block, limit: a row for each slot of the output."""
-    shard_end = np.cumsum(counts.sum(axis=1))
-    before = np.cumsum(counts, axis=0) - counts
-    n_blocks, n_slots, last = np.array([-(-s // block) for s in sizes], np.int64), np.array([d[0] for d in drawn], np.int64), np.array([d[1] for d in drawn], np.int64)
-    known = spark.sparkContext.broadcast((shard_end, np.cumsum(counts, axis=1), before))
+def _slots(spark: SparkSession, sources: list[tuple[int, int, int, int]], shards: int, block: int, seed: int) -> DataFrame:
+    """shard, slot, src, block, limit: a row for each slot of the output.  sources: (source, blocks, slots, last)."""
+    names = ("src", "n_blocks", "n_slots", "last")
+    columns = "src int, n_blocks long, n_slots long, last long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, within, base = known.value
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = batch.column(0).to_numpy()
-            shard = np.searchsorted(ends, g, side="right")
-            first = np.where(shard > 0, ends[shard - 1], 0)
-            place = permute(g - first, ends[shard] - first, _key(seed, shard, 1 << 20))  # slots of a shard in mixed order
-            src = (within[shard] <= place[:, None]).sum(axis=1)
-            j = base[shard, src] + place - np.where(src > 0, within[shard, np.maximum(src - 1, 0)], 0)
-            turn, index = j // n_blocks[src], j % n_blocks[src]
-            at = permute(index, n_blocks[src], _key(seed, src, turn))
-            limit = np.where((j == n_slots[src] - 1) & (last[src] > 0), last[src], block)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, g, src.astype(np.int32), at, limit)], names=["shard", "slot", "src", "block", "limit"])
+            for row in batch.to_pylist():
+                shard, n = shard_counts(row["src"], row["n_slots"], shards, seed)
+                same = [pa.array(np.full(len(n), row[c])) for c in names]
+                yield pa.RecordBatch.from_arrays([same[0].cast(pa.int32()), *same[1:], pa.array(shard), pa.array(n), pa.array(np.cumsum(n) - n)], names=[*names, "shard", "n", "base"])
+
+    dealt = spark.createDataFrame(sources, columns).mapInArrow(deal, f"{columns}, shard long, n long, base long")
+    # a source's place in its shard, then pieces of up to 65,536 slots, so that a large count is spread
+    shard = Window.partitionBy("shard")
+    before = F.sum("n").over(shard.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    dealt = dealt.withColumn("offset", before).withColumn("in_shard", F.sum("n").over(shard))
+    dealt = dealt.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / (1 << 16))))).repartition("shard", "src", "piece")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                k = np.arange(r["piece"] << 16, min(r["n"], (r["piece"] + 1) << 16))
+                place = permute(r["offset"] + k, np.full(len(k), r["in_shard"]), np.repeat(_key(seed, r["shard"], 1 << 20), len(k)))
+                j, n = r["base"] + k, r["n_blocks"]
+                at = permute(j % n, np.full(len(k), n), _key(seed, np.full(len(k), r["src"]), j // n))
+                limit = np.where((j == r["n_slots"] - 1) & (r["last"] > 0), r["last"], block)
+                cols = [np.full(len(k), r["shard"]), place, np.full(len(k), r["src"], np.int32), at, limit]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["shard", "slot", "src", "block", "limit"])
 
-    parts = max(1, min(10_000, total // 200_000)) if total < 1 << 31 else 10_000
-    return spark.range(0, total, 1, max(parts, 4)).mapInArrow(run, "shard long, slot long, src int, block long, limit long")
+    return dealt.mapInArrow(expand, "shard long, slot long, src int, block long, limit long")
 
 
 def mix_counts(docs: DataFrame, **params) -> DataFrame:
@@ -184,39 +183,45 @@ def mix_counts(docs: DataFrame, **params) -> DataFrame:
     return documents.join(taken, "row_key", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(at: int, names: list[str]):
+    """Column ``at`` cut to the word ranges of the last column, which goes."""
     import re
 
     word = re.compile(WORD)
-    for batch in batches:
-        out = []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("_ranges").to_pylist()):
-            spans = [m.span() for m in word.finditer(text)]
-            out.append("\n".join(text[spans[r["a"]][0] : spans[r["b"] - 1][1]] for r in ranges))
-        names = [n for n in batch.schema.names if n != "_ranges"]
-        yield pa.RecordBatch.from_arrays([pa.array(out) if n == "text" else batch.column(n) for n in names], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, ranges in zip(batch.column(at).to_pylist(), batch.columns[-1].to_pylist()):
+                spans = [m.span() for m in word.finditer(text)]
+                out.append("\n".join(text[spans[r["a"]][0] : spans[r["b"] - 1][1]] for r in ranges))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
+
+    return run
 
 
 def mix_documents(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus as rows of ``docs``: the words that the mix takes of each document, whole runs in their order,
-    a second turn after the first; documents that it takes nothing of are left out.  ``n_chars``, if there, follows."""
+    a second turn after the first; documents that it takes nothing of are left out.  ``n_chars``, if there, follows.
+    Rows alike in id, source and text are told apart by a hash of their other columns."""
     documents, pieces = mix_plan(docs, **params)
     # touching pieces of one turn make a run; the turn of a piece is how often the mix took its first word before
-    turn = Window.partitionBy("row_key", "word_from").orderBy("slot")
+    turn = Window.partitionBy("row_key", "word_from").orderBy("shard", "slot")
     order = Window.partitionBy("row_key", "turn").orderBy("word_from")
     runs = pieces.withColumn("turn", F.row_number().over(turn)).withColumn("gap", F.when(F.lag(F.col("word_from") + F.col("words")).over(order) == F.col("word_from"), 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("gap").over(order)).groupBy("row_key", "turn", "run").agg(F.min("word_from").alias("a"), F.max(F.col("word_from") + F.col("words")).alias("b"))
-    ranges = runs.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("turn", "a", "b"))).alias("_ranges"))
-    # rows of one doc_id, source and text are alike: the k-th of them takes the k-th row's ranges
-    same = Window.partitionBy("doc_id", "source", "h")
-    ranges = documents.join(ranges, "row_key").select("doc_id", "source", "h", F.col("row_key.nth").alias("nth"), "_ranges")
-    keyed = documents.select("doc_id", "source", "h", F.row_number().over(same.orderBy("row_key")).alias("k"), F.col("row_key.nth").alias("nth"))
-    ranges = ranges.join(keyed, [ranges[c].eqNullSafe(keyed[c]) for c in ("doc_id", "source", "h", "nth")]).select(ranges["doc_id"].alias("_d"), ranges["source"].alias("_s"), ranges["h"].alias("_h"), keyed["k"].alias("_k"), "_ranges")
-    left = docs.withColumn("_hash", F.xxhash64("text"))
-    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_hash").orderBy(F.lit(0))))
-    joined = left.join(ranges, (F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_k")))
+    ranges = runs.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("turn", "a", "b"))).alias("ranges"))
+    # of rows alike in doc_id, source and text, the k-th takes the ranges of the k-th in the plan
+    same = Window.partitionBy("doc_id", "source", "h").orderBy("row_key")
+    ranges = documents.select("row_key", "doc_id", "source", "h", F.row_number().over(same).alias("k")).join(ranges, "row_key").drop("row_key")
+    d, s, h, k, r, mine, nth = (new_name(docs, f"mix_{c}") for c in ("d", "s", "h", "k", "ranges", "hash", "nth"))
+    ranges = ranges.toDF(d, s, h, k, r)
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    left = docs.withColumn(mine, F.xxhash64("text"))
+    left = left.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "source", mine).orderBy(F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0))))
+    joined = left.join(ranges, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(mine) == F.col(h)) & (F.col(nth) == F.col(k)))
     schema = docs.schema
-    out = joined.select(*docs.columns, "_ranges").mapInArrow(_cut, schema)
+    out = joined.select(*docs.columns, r).mapInArrow(_cut(docs.columns.index("text"), docs.columns), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
