@@ -7,7 +7,7 @@ to the window's edge, and each run of windows is decoded as one sequence, so a s
 Decoded spans that touch no base span, are well formed for their kind and have a mean posterior of ``sure`` are added.
 
 Training spans come from ``training_windows``: invented prose with inserted data in many formats, and numbers that are
-not personal (prices, dates, versions, order numbers, cards with a wrong check digit).
+not personal (prices, dates, versions, order numbers).  Check digits are not learned but tested afterwards.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; repeated rows give repeated
 rows; extra columns are ignored.
@@ -66,7 +66,7 @@ def base_spans(text: str) -> list[Span]:
             at = text.find("@", at + 1)
     if _GATE.search(text):
         for m in _IP.finditer(text):
-            if all(len(p) < 20 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -97,8 +97,13 @@ def char_classes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of the outer products of the last axes."""
+    return a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
+
+
 class Net:
-    def __init__(self, hidden: int = 24, dim: int = 16, seed: int = 31):
+    def __init__(self, hidden: int = 32, dim: int = 16, seed: int = 31):
         rng = np.random.default_rng(seed)
         self.h = hidden
         self.p = {
@@ -112,16 +117,19 @@ class Net:
             "start": np.zeros(LABELS),
         }
         self.p["b"][:, :, hidden : 2 * hidden] = 1.0
+        for inside in range(2, LABELS, 2):  # the inside of a kind follows its begin or inside
+            self.p["trans"][[y for y in range(LABELS) if y not in (inside - 1, inside)], inside] = self.p["start"][inside] = -8.0
+        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
 
     def forward(self, ids: np.ndarray, keep: bool = False):
         """Emission scores (steps, rows, labels) of windows (rows, steps); both directions run as one stack."""
         p, h = self.p, self.h
         x = p["e"][ids.T]
         xs = np.stack([x, x[::-1]])
-        pre = np.einsum("ktbd,kdh->tkbh", xs, p["wx"], optimize=True) + p["b"]
+        pre = (xs @ p["wx"][:, None] + p["b"][:, None]).transpose(1, 0, 2, 3)
         steps, rows = ids.shape[1], ids.shape[0]
-        hs, cs = np.zeros((steps + 1, 2, rows, h)), np.zeros((steps + 1, 2, rows, h))
-        gates = np.empty((steps, 2, rows, 4 * h))
+        hs, cs = np.zeros((steps + 1, 2, rows, h), np.float32), np.zeros((steps + 1, 2, rows, h), np.float32)
+        gates = np.empty((steps, 2, rows, 4 * h), np.float32)
         for t in range(steps):
             z = pre[t] + hs[t] @ p["wh"]
             z[..., : 3 * h] = 1 / (1 + np.exp(-z[..., : 3 * h]))
@@ -137,7 +145,7 @@ class Net:
         p, h = self.p, self.h
         xs, hs, cs, gates, both = memory
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["wo"], g["bo"] = np.einsum("tbh,tbl->hl", both, ds, optimize=True), ds.sum(axis=(0, 1))
+        g["wo"], g["bo"] = _outer(both, ds), ds.sum(axis=(0, 1))
         dboth = ds @ p["wo"].T
         dh_out = np.stack([dboth[..., :h], dboth[::-1][..., h:]], axis=1)
         dz_all = np.empty_like(gates)
@@ -154,11 +162,13 @@ class Net:
             dz[..., 3 * h :] = dc * i * (1 - c * c)
             dc = dc * f
             dh = dz @ p["wh"].transpose(0, 2, 1)
-        g["wh"] = np.einsum("tkbh,tkbz->khz", hs[:-1], dz_all, optimize=True)
-        g["wx"] = np.einsum("ktbd,tkbz->kdz", xs, dz_all, optimize=True)
+        g["wh"] = np.stack([_outer(hs[:-1, k], dz_all[:, k]) for k in (0, 1)])
+        g["wx"] = np.stack([_outer(xs[k], dz_all[:, k]) for k in (0, 1)])
         g["b"] = dz_all.sum(axis=(0, 2))[:, None, :]
-        dx = np.einsum("tkbz,kdz->ktbd", dz_all, p["wx"], optimize=True)
-        np.add.at(g["e"], ids.T, dx[0] + dx[1][::-1])
+        dx = [dz_all[:, k] @ p["wx"][k].T for k in (0, 1)]
+        seen = np.zeros((ids.size, _CLASSES), np.float32)
+        seen[np.arange(ids.size), ids.T.ravel()] = 1
+        g["e"] = seen.T @ (dx[0] + dx[1][::-1]).reshape(ids.size, -1)
         return g
 
     def train(self, ids: np.ndarray, labels: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
@@ -174,14 +184,14 @@ class Net:
                 scores, memory = self.forward(x, keep=True)
                 post, _, pairs = marginals(scores, lengths(len(pick)), self.p["trans"], self.p["start"], want_pairs=True)
                 post[np.arange(len(y))[:, None], np.arange(y.shape[1])[None, :], y] -= 1
-                g = self.backward(x, post / len(pick), memory)
+                g = self.backward(x, (post / len(pick)).astype(np.float32), memory)
                 seen = np.zeros_like(pairs)
                 np.add.at(seen, (y[:-1].ravel(), y[1:].ravel()), 1)
                 g["trans"], g["start"] = (pairs - seen) / len(pick), post[0].sum(axis=0) / len(pick)
                 norm = np.sqrt(sum(float((x_ * x_).sum()) for x_ in g.values()))
                 step += 1
                 for k, x_ in g.items():
-                    x_ = x_ * min(1.0, 5.0 / (norm + 1e-9))
+                    x_ = (x_ * min(1.0, 5.0 / (norm + 1e-9))).astype(np.float32)
                     m[k] = 0.9 * m[k] + 0.1 * x_
                     v[k] = 0.999 * v[k] + 0.001 * x_ * x_
                     lr = rate * (0.5 ** (epoch / max(1, epochs - 1) * 3))
@@ -197,18 +207,15 @@ def training_windows(n: int = 2400, seed: int = 41) -> tuple[np.ndarray, np.ndar
         w = "".join(rng.choice("aeiounrstlmdpégü") for _ in range(rng.randint(2, 9)))
         return w.capitalize() if rng.random() < 0.12 else w
 
-    def card(good: bool) -> str:
-        k = rng.choice([13, 15, 16, 16, 16, 19]) - 1
-        body = str(rng.randint(3, 6)) + d(k - 1)
-        last = next(c for c in "0123456789" if luhn(body + c))
-        number = body + (last if good else str((int(last) + rng.randint(1, 9)) % 10))
-        sep = rng.choice(["", "", " ", "-", "/", ".", "  "])
+    def card() -> str:  # the check digit is not the network's to learn: what it finds must pass it afterwards
+        number = str(rng.randint(3, 6)) + d(rng.choice([12, 14, 15, 15, 15, 18]))
+        sep = rng.choice(["", "", " ", "-", "/", ".", "  ", " - "])
         return sep.join(number[i : i + 4] for i in range(0, len(number), 4))
 
     def phone() -> str:
-        sep = rng.choice([" ", "-", ".", " - "])
-        head = rng.choice([f"+{rng.randint(1, 99)} ({d(3)}) ", f"({d(3)}) ", f"0{d(2)}{sep}", f"+{rng.randint(1, 99)}{sep}", f"{d(3)}{sep}", f"00{d(2)} "])
-        return head + rng.choice([f"{d(3)}{sep}{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(2)}", f"{d(2)}{sep}{d(2)}{sep}{d(2)}{sep}{d(2)}"])
+        sep = rng.choice([" ", " ", "-", "-", ".", " - "])
+        head = rng.choice([f"+{rng.randint(1, 99)} ({d(3)}) ", f"({d(3)}) ", f"0{d(2)}{sep}", f"+{rng.randint(1, 99)}{sep}", f"{d(3)}{sep}", f"{d(3)}{sep}", f"{d(3)}{sep}", f"00{d(2)} "])
+        return head + rng.choice([f"{d(3)}{sep}{d(4)}", f"{d(4)}{sep}{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(2)}", f"{d(2)}{sep}{d(2)}{sep}{d(2)}{sep}{d(2)}"])
 
     def email() -> str:
         at = rng.choice(["@", "@", "@", " @ ", "@ "])
@@ -221,21 +228,21 @@ def training_windows(n: int = 2400, seed: int = 41) -> tuple[np.ndarray, np.ndar
         return rng.choice([
             lambda: f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}", lambda: f"{rng.randint(1990, 2030)}-{d(2)}-{d(2)} {d(2)}:{d(2)}",
             lambda: f"v{rng.randint(0, 20)}.{rng.randint(0, 40)}.{rng.randint(0, 9)}", lambda: f"{d(1)},{d(3)},{d(3)}.{d(2)}", lambda: d(rng.randint(1, 8)), lambda: "#" + d(rng.randint(4, 12)),
-            lambda: card(False), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)}.{d(2)} EUR", lambda: f"@{word()}", lambda: f"{word()} @ {word()}", lambda: d(rng.randint(9, 20)),
+            lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)}.{d(2)} EUR", lambda: f"@{word()}", lambda: f"{word()} @ {word()}", lambda: d(rng.randint(9, 20)),
             lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([16, 32, 40]))), lambda: f"{rng.randint(256, 999)}.{d(3)}.{d(3)}.{d(3)}", lambda: f"ISBN {d(3)}-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
         ])()
 
     ids, labels = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
-    makers = (email, ip, lambda: card(True), phone)
+    makers = (email, ip, card, phone)
     for i in range(n):
         text, marks = "", []
         while len(text) < WINDOW + 30:
             r = rng.random()
-            if r < 0.12:
+            if r < 0.25:
                 k = rng.randrange(4)
                 piece = makers[k]()
                 marks.append((len(text), len(text) + len(piece), k))
-            elif r < 0.2:
+            elif r < 0.4:
                 piece = none()
             else:
                 piece = word()
@@ -250,7 +257,7 @@ def training_windows(n: int = 2400, seed: int = 41) -> tuple[np.ndarray, np.ndar
 
 
 @lru_cache(maxsize=1)
-def fit(windows: int = 2400, epochs: int = 9) -> Net:
+def fit(windows: int = 3200, epochs: int = 8) -> Net:
     net = Net()
     net.train(*training_windows(windows), epochs=epochs)
     return net
@@ -283,7 +290,7 @@ def _well_formed(kind: int, s: str) -> bool:
     return re.fullmatch(r"[0-9(][0-9 ().-]*[ ().-][0-9 ().-]*[0-9]", s) is not None and 9 <= len(digits) <= 15 and re.fullmatch(r"[0-9]+(\.[0-9]+){2,3}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}.*", s) is None
 
 
-def added_spans(net: Net, texts: list[str], base: list[list[Span]], sure: float = 0.9, batch: int = 256) -> list[list[Span]]:
+def added_spans(net: Net, texts: list[str], base: list[list[Span]], sure: float = 0.5, batch: int = 256) -> list[list[Span]]:
     """For each text the network's spans beside its base spans.  Regions that base spans explain are not read."""
     windows, owner = [], []  # owner: (region, offset of the window in it)
     spots: list[tuple[int, int, np.ndarray]] = []
