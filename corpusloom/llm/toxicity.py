@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Lexicon transducers map a word to a symbol: insult (with a weight), threat, target, negation or report; every other word
-maps to ``other``.  Three small transducers read the symbols of a clause: negation (damps what follows it for three
-words), reported speech (damps the rest of the clause, and what a colon after it opens) and target (raises insults and turns
-a threat verb into a threat).  A pass from the right first marks the threat verbs that a target follows in the clause, so
-that 'kill you' counts as 'dich töten' does.
-They are composed into one transducer whose states are triples; a clause's weight is the sum of what its path emits, and
+The lexicon maps a word to a symbol: insult (with a weight), threat, target, negation or report; every other word maps to
+``other``.  Five small transducers read the symbols of a clause: insult (passes an insult's weight on), threat (a threat
+verb is one only with a target), target (raises insults after it), negation (damps what follows it for three words) and
+reported speech (damps the rest of the clause, and what a colon after it opens).  A pass from the right first marks the
+threat verbs that a target follows in the clause, so that 'kill you' counts as 'dich töten' does.
+They are composed into one transducer whose states are nested pairs; a clause's weight is the sum of what its path emits, and
 a document's score is a logistic function of its clauses' weights.  Only clauses with an insult or a threat emit, so
 others need not be read: an Aho-Corasick automaton over the stems finds them in one pass over the text.
 
 Insult stems are learned from labelled rows: word prefixes and whole words that label 1 has and label 0 lacks; a short
-list of general insults is the prior.  At most ``max_rows`` labelled rows are used, those with the least hash.
+list of general insults is the prior.  At most ``max_rows`` labelled ids are used, those with the least hash, and one text
+of each (the least by hash); an id labelled more than once counts as toxic if one of its labels is 1.  Near copies among
+them share the weight of one.
 
 Defined results: null and empty texts and texts without a matched clause get the score of weight 0; repeated rows give
 repeated rows; without labels of both kinds the prior alone decides; extra columns are ignored.
@@ -27,7 +29,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import crc_mod, table
@@ -79,17 +81,25 @@ def _report(damp: float = 0.6) -> Transducer:
     return Transducer(0, {(k, y): (1 if y == REPORT else k, damp if k else 1.0, 0.0) for k, y in product((0, 1), SYMBOLS)})
 
 
-def _target(raise_by: float = 1.3, threat: float = 0.5) -> Transducer:
+def _insult() -> Transducer:
+    return Transducer(0, {(0, y): (0, 1.0, 0.0) for y in SYMBOLS})
+
+
+def _threat(bonus: float = 0.5) -> Transducer:
     """State 1 after a target.  A threat verb counts only with a target before it or, if aimed, after it."""
     arcs = {}
     for k, y in product((0, 1), SYMBOLS):
-        factor = {INSULT: raise_by if k else 1.0, THREAT: 1.0 if k else 0.0}.get(y, 1.0)
-        arcs[k, y] = (1 if y == TARGET else k, factor, threat if y == AIMED or (k and y == THREAT) else 0.0)
+        arcs[k, y] = (1 if y == TARGET else k, 0.0 if y == THREAT and not k else 1.0, bonus if y == AIMED or (k and y == THREAT) else 0.0)
     return Transducer(0, arcs)
 
 
-GRAMMAR = _negation().compose(_report()).compose(_target())
-REPORTED = ((0, 1), 0)  # the state of a clause that a colon sets off from reported speech
+def _target(raise_by: float = 1.3) -> Transducer:
+    """State 1 after a target, where insults weigh more."""
+    return Transducer(0, {(k, y): (1 if y == TARGET else k, raise_by if k and y == INSULT else 1.0, 0.0) for k, y in product((0, 1), SYMBOLS)})
+
+
+GRAMMAR = _insult().compose(_threat()).compose(_target()).compose(_negation()).compose(_report())
+REPORTED = (GRAMMAR.start[0], 1)  # the state of a clause that a colon sets off from reported speech
 
 
 def aim(symbols: list[tuple[int, float]]) -> list[tuple[int, float]]:
@@ -177,45 +187,54 @@ def _stems_of(text: str) -> set[str]:
     return words.union(f"{w[:n]}*" for w in words for n in range(3, 9) if len(w) > n)
 
 
-def learn_lexicon(texts: list[str], labels: list[int]) -> Lexicon:
-    """Stems and words that are frequent under label 1 and all but absent under label 0; near copies count once."""
-    seen, pos, neg = set(), [], []
-    for t, y in zip(texts, labels):
+def copy_weights(texts: list[str]) -> list[float]:
+    """A weight for each text: texts whose two least hashes of three-word shingles agree share that of one."""
+    keys = []
+    for t in texts:
         words = re.findall(r"[^\W\d_]+", t.lower())
         hashes = [zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))]
-        key = (min(hashes), min(h * 2654435761 % (1 << 32) for h in hashes))
-        if key not in seen:
-            seen.add(key)
-            (pos if y else neg).append(t)
+        keys.append((min(hashes), min(h * 2654435761 % (1 << 32) for h in hashes)))
+    alike = Counter(keys)
+    return [1 / alike[k] for k in keys]
+
+
+def learn_lexicon(texts: list[str], labels: list[int]) -> Lexicon:
+    """Stems and words that are frequent under label 1 and all but absent under label 0; near copies share a weight."""
     prior = {w: 1.0 for w in INSULTS.split()}
-    if not pos or not neg:
+    rows = list(zip(texts, labels, copy_weights(texts)))
+    n_pos, n_neg = (sum(w for _, y, w in rows if bool(y) == kind) for kind in (True, False))
+    if not n_pos or not n_neg:
         return Lexicon({}, prior)
-    least = 3 if len(pos) < 100 else 5 if len(pos) < 500 else 8
-    had, lacks = Counter(), Counter()
-    for t in pos:
-        had.update(_stems_of(t))
-    common = {f for f, n in had.items() if n >= least}
-    for t in neg:
-        lacks.update(common & _stems_of(t))
+    least = 3 if n_pos < 100 else 5 if n_pos < 500 else 8
+
+    def count(kind: bool, fits) -> Counter:
+        out: Counter = Counter()
+        for t, y, w in rows:
+            if bool(y) == kind:
+                for f in filter(fits, _stems_of(t)):
+                    out[f] += w
+        return out
+
+    had = count(True, None)
+    common = {f for f, n in had.items() if n >= least - 1e-9}
+    lacks = count(False, common.__contains__)
 
     def odds(f: str) -> float:
-        return math.log((had[f] + 0.5) / (len(pos) + 1)) - math.log((lacks[f] + 0.5) / (len(neg) + 1))
+        return math.log((had[f] + 0.5) / (n_pos + 1)) - math.log((lacks[f] + 0.5) / (n_neg + 1))
 
     words = {f: odds(f) for f in common if f[-1] != "*" and odds(f) >= 3}
     roots: set[str] = set()
-    for f in sorted((f for f in common if f[-1] == "*" and had[f] >= 2 * least), key=lambda f: (len(f), f)):
+    for f in sorted((f for f in common if f[-1] == "*" and had[f] >= 2 * least - 1e-9), key=lambda f: (len(f), f)):
         if odds(f) >= 2.3 and not any(f[:n] in roots for n in range(3, len(f) - 1)):
             roots.add(f[:-1])
     # below a root every stem and word seen often enough has odds of its own; the longest that fits a word counts
     inside = re.compile("|".join(sorted(roots)) or r"(?!)")
-    had, lacks = Counter(), Counter()
-    for texts_, count in ((pos, had), (neg, lacks)):
-        for t in texts_:
-            count.update(f for f in _stems_of(t) if inside.match(f))
-    below = {f: odds(f) for f in {*had, *lacks} if had[f] + lacks[f] >= 3}
+    had, lacks = count(True, inside.match), count(False, inside.match)
+    below = {f: odds(f) for f in {*had, *lacks} if had[f] + lacks[f] >= 3 - 1e-9}
     # a stem as frequent as a longer stem or word that begins with it says no more than that one
-    same = {(f.rstrip("*")[:n], had[f], lacks[f]) for f in below for n in range(3, len(f.rstrip("*")))}
-    below = {f: x for f, x in below.items() if f[-1] != "*" or (f[:-1], had[f], lacks[f]) not in same}
+    seen = lambda f: (round(had[f], 6), round(lacks[f], 6))
+    same = {(f.rstrip("*")[:n], *seen(f)) for f in below for n in range(3, len(f.rstrip("*")))}
+    below = {f: x for f, x in below.items() if f[-1] != "*" or (f[:-1], *seen(f)) not in same}
     words |= {f: x for f, x in below.items() if f[-1] != "*"}
     stems = {f[:-1]: max(0.0, min(1.5, x / 4)) for f, x in below.items() if f[-1] == "*"}
     return Lexicon(stems, {w: 1.3 for w in INSULTS.split()} | {f: max(0.0, min(1.5, x / 4)) for f, x in words.items()})
@@ -236,10 +255,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Scorer:
-    """Lexicon and logistic coefficients from at most ``max_rows`` labelled rows (label not null, held-out rows left out)."""
-    known = labels.where((crc_mod("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    """Lexicon and logistic coefficients from at most ``max_rows`` labelled ids (label not null, held-out rows left out)."""
+    known = labels.where((crc_mod("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc_id", "text", "toxic").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     texts, y = [r["text"] for r in rows], np.array([r["toxic"] for r in rows], float)
     scorer = Scorer(learn_lexicon(texts, y.tolist()))
     if 0 < y.sum() < len(y):
