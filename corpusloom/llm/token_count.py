@@ -1,12 +1,14 @@
 """Token counts under a unigram model by dynamic programming over a trie of pre-tokens.
 
-A pre-token is a word with the space mark before it.  The distinct pre-tokens of a batch are put into a trie; walking it
-depth first, the best score of each prefix (and the number of pieces that reach it) is computed once, from the prefixes
-that a vocabulary piece links to it, however many pre-tokens share it; a terminal node's count is its pre-token's token
-count.  Counts of pre-tokens are kept per worker in two generations, so memory is bounded.
+A pre-token is a word with the space mark before it.  Distinct pre-tokens are inserted in a trie.  A node is a prefix: when
+it is made, its best score and the number of pieces that reach it are computed once, from the nodes above it that a
+vocabulary piece links to it, however many pre-tokens share it later; a terminal node stores its pre-token's count.  The
+pieces that end at a node are found in a second trie, of the vocabulary's pieces from their ends.  A worker keeps its trie
+until it has ``generation`` nodes, and the counts of the one before, so memory is bounded.
 
-The model is a public vocabulary whose piece scores are given; characters without a piece cost ``unknown`` each and one
-token each.  Between segmentations of equal score the one with fewer tokens is counted.
+The model is a public vocabulary; tokenizers are not trained here, so piece scores follow from the ranks (see
+``vocabulary``).  Characters without a piece cost ``unknown`` each and one token each.  Between segmentations of equal score
+the one with fewer tokens is counted.
 
 Defined results: null and empty texts have no tokens; repeated rows give repeated rows; extra columns are ignored.
 """
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import table, worker_cache
 
 SPACE = "▁"
 
@@ -41,73 +43,71 @@ def vocabulary(path: str | None = None) -> dict[str, float]:
 
 
 class TrieCounter:
-    """Forward scores over the trie of the pre-tokens given so far in a batch."""
-
-    def __init__(self, scores: dict[str, float], unknown: float = -20.0, generation: int = 400_000):
-        self.scores, self.unknown, self.generation = scores, unknown, generation
-        self.longest = max(map(len, scores), default=1)
+    """Forward scores over the trie of the pre-tokens given so far."""
+
+    def __init__(self, scores: dict[str, float], unknown: float = -20.0, generation: int = 600_000):
+        self.unknown, self.generation = unknown, generation
+        #: nodes of the pieces read from their ends: character -> node; the key None holds a piece's score
+        self.ends: dict = {}
+        for piece, s in scores.items():
+            node = self.ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[None] = s
+        #: counts stored at the terminal nodes of this trie and of the one before it
         self.known: dict[str, int] = {}
         self.old: dict[str, int] = {}
-        self.nodes = 0
-
-    def learn(self, pre_tokens: list[str]) -> None:
-        """Counts of new pre-tokens.  Sorted order walks the trie depth first: the arrays below hold the current path,
-        and what two neighbours share is kept."""
-        score, pieces, last = [0.0], [0], ""
-        vocab, longest = self.scores, self.longest
-        for word in sorted(pre_tokens):
-            k, most = 0, min(len(last), len(word))
-            while k < most and last[k] == word[k]:
-                k += 1
-            del score[k + 1 :], pieces[k + 1 :]
-            for end in range(k + 1, len(word) + 1):
-                best, count = score[end - 1] + self.unknown, pieces[end - 1] + 1
-                for start in range(max(0, end - longest), end):
-                    s = vocab.get(word[start:end])
-                    if s is not None:
-                        s += score[start]
-                        if s > best or (s == best and pieces[start] + 1 < count):
-                            best, count = s, pieces[start] + 1
-                score.append(best)
-                pieces.append(count)
-                self.nodes += 1
-            self.known[word] = pieces[-1]
-            last = word
+        self._clear()
+
+    def _clear(self) -> None:
+        self.nodes, self.root = 0, {}
+
+    def learn(self, pre_tokens, lead: str = "") -> None:
+        """Insert pre-tokens, each behind ``lead``; ``known`` has their counts, without it."""
+        unknown, ends, known, made = self.unknown, self.ends, self.known, 0
+        for name in pre_tokens:
+            word, node, path = lead + name, self.root, [(0.0, 0)]
+            for end, c in enumerate(word):
+                down = node.get(c)
+                if down is None:  # a new prefix: its score from those above it
+                    best, count = path[end][0] + unknown, path[end][1] + 1
+                    piece, start = ends, end
+                    while start >= 0 and (piece := piece.get(word[start])) is not None:
+                        if (s := piece.get(None)) is not None:
+                            before = path[start]
+                            s += before[0]
+                            if s > best or (s == best and before[1] + 1 < count):
+                                best, count = s, before[1] + 1
+                        start -= 1
+                    down = node[c] = {None: (best, count)}
+                    made += 1
+                path.append(down[None])
+                node = down
+            known[name] = path[-1][1]
+        self.nodes += made
 
     def counts(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""
-        if len(self.known) > self.generation:
+        if self.nodes > self.generation:
             self.old, self.known = self.known, {}
+            self._clear()
         words = [[w.decode("utf-8", "surrogatepass") for w in (t or "").encode("utf-8", "surrogatepass").split()] for t in texts]
-        new = {w for ws in words for w in ws}.difference(self.known)
-        fresh = []
-        for w in new:
-            if (n := self.old.get(w)) is None:
-                fresh.append(w)
-            else:
-                self.known[w] = n
-        marked = TrieCounter(self.scores, self.unknown) if fresh else None
-        if marked:
-            marked.longest = self.longest
-            marked.learn([SPACE + w for w in fresh])
-            self.nodes += marked.nodes
-            for w in fresh:
-                self.known[w] = marked.known[SPACE + w]
+        seen: set[str] = set()
+        for ws in words:
+            seen.update(ws)
+        fresh = seen.difference(self.known)
+        for w in fresh.intersection(self.old):
+            self.known[w] = self.old[w]
+        self.learn(fresh.difference(self.old), SPACE)
         get = self.known.__getitem__
         return [(len(ws), sum(map(get, ws))) for ws in words]
 
 
-_COUNTERS: dict[str, TrieCounter] = {}
-
-
 def token_counts(docs: DataFrame, path: str | None = None, step: int = 1024) -> DataFrame:
     """doc_id, n_pretokens, n_tokens for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = str(path)
-        if key not in _COUNTERS:
-            _COUNTERS[key] = TrieCounter(vocabulary(path))
-        counter = _COUNTERS[key]
+        counter = worker_cache("tokens", str(path), lambda: TrieCounter(vocabulary(path)))
         for batch in batches:
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
