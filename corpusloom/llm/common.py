@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +50,33 @@ def worker_cache(name: str, key, make):
     """An object that a Python worker keeps between tasks.  There is one a worker: asking for another drops it, so the
     caches of a pipeline's stages do not add up in the workers that all stages share."""
     if _LIVE.get("key") != (name, key):
-        _LIVE.clear()
+        drop_worker_cache()
         _LIVE.update(key=(name, key), value=make())
     return _LIVE["value"]
 
 
 def drop_worker_cache() -> None:
-    _LIVE.clear()
+    """Drop what the worker keeps and give the memory back to the system."""
+    if _LIVE:
+        _LIVE.clear()
+        release_memory()
+
+
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """At most ``rows`` rows an Arrow batch in this session: whole texts are long, and both sides hold a batch at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def release_memory() -> None:
+    """Give freed memory of Python, numpy and Arrow back to the system: idle workers count as well."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

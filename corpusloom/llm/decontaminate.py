@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import new_name, saved, table, worker_cache
+from corpusloom.llm.common import new_name, saved, small_batches, table, worker_cache
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
@@ -112,6 +112,7 @@ def _found(m: Matcher, text: str | None) -> tuple[list[int], list[str]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 10_000_000, drop: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, items, spans: the words inside matches, the items they come from, and merged character
     ranges [start, end) in the original text.  With ``drop`` the input rows without a hit are returned instead."""
+    small_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast
     blocks = pattern_blocks(benchmark, window, block_chars)
     block, after = next(blocks), next(blocks, None)

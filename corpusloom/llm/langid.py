@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chain import fit_sparse, flat_marginals
-from corpusloom.llm.common import crc_mod, drop_worker_cache, table
+from corpusloom.llm.common import crc_mod, drop_worker_cache, release_memory, small_batches, table
 
 BUCKETS = 1 << 17
 _LONGEST = 24  # longer runs of letters are read as several words
@@ -166,10 +166,10 @@ def fit(docs: DataFrame, per_language: int = 250, buckets: int = BUCKETS, seed:
     return Model(languages, w, trans, start)
 
 
-def identify(docs: DataFrame, model: Model | None, step: int = 512) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, step: int = 256) -> DataFrame:
     """doc_id, lang_pred, score, n_words, n_switched: also how many words carry another label than the document's."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_cache()
@@ -182,12 +182,14 @@ def identify(docs: DataFrame, model: Model | None, step: int = 512) -> DataFrame
                 label, score, n, switched = m.label(words) if m else (none - 1, none, np.array([len(w) for w in words]), none)
                 lang = [m.languages[y] if y >= 0 else "und" for y in label.tolist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(switched, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words", "n_switched"])
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long, n_switched long")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, step: int = 512) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, step: int = 256) -> DataFrame:
     """The rows of ``docs`` but those with nothing to identify: null texts and texts without letters, with or without a model."""
+    small_batches(docs.sparkSession)
     known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +201,7 @@ def keep_identified(docs: DataFrame, model: Model | None, step: int = 512) -> Da
                 words = [words_of(t) for t in part.column(at).to_pylist()]
                 kept = m.label(words)[0] >= 0 if m else [bool(w) for w in words]
                 yield part.filter(pa.array(kept, pa.bool_()))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, new_name, saved, table
+from corpusloom.llm.common import WORD, new_name, saved, small_batches, table
 
 CYCLE = (5.0, 2.0, 1.0)
 
@@ -108,6 +108,7 @@ def mix_plan(docs: DataFrame, block: int = 128, share: float = 1.5, most: float
     pieces: row_key, shard, slot, word_from, words: the words of a document that a slot takes, from ``word_from`` on.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = saved(rows, "mix-sizes")
     per = sorted(((r["source"], int(r["size"] or 0)) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))

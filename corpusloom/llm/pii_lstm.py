@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.chain import marginals, viterbi
-from corpusloom.llm.common import table
+from corpusloom.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -345,6 +345,7 @@ def added_spans(net: Net, texts: list[str], base: list[list[Span]], sure: float
 
 def find_spans(docs: DataFrame, net: Net, step: int = 512) -> DataFrame:
     """doc_id, base, spans: both as arrays of (start, kind, end) by start, then kind; ``spans`` holds the base ones too."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(net)
     item = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import table, worker_cache
+from corpusloom.llm.common import small_batches, table, worker_cache
 
 SPACE = "▁"
 
@@ -114,6 +114,7 @@ def token_counts(docs: DataFrame, path: str | None = None, step: int = 1024) ->
                 found = counter.counts(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], names=["doc_id", "n_pretokens", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long")
 

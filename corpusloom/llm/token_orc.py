@@ -11,6 +11,7 @@ files without rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved, scratch_dir, table, worker_cache
+from corpusloom.llm.common import release_memory, saved, scratch_dir, small_batches, table, worker_cache
 
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: letters that every Unicode version knows; marks behind them are a pre-token of their own
@@ -51,6 +52,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, generation: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core; threads would keep memory of their own
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -187,7 +189,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, slice_bytes: int = 6 << 20) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, slice_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, ids: the ids of each text and the end id.  Texts are encoded in slices of about ``slice_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +200,9 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, slice_bytes
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
                 ids, offsets = enc.encode_array(batch.column(1).slice(a, b - a), end_id)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
+        release_memory()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 

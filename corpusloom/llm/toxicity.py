@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_mod, table
+from corpusloom.llm.common import crc_mod, small_batches, table
 
 # Word lists of the grammar (English, German, French, Spanish).
 INSULTS = "idiot stupid moron trash clown loser scum pathetic worthless disgusting dumb imbecile dummkopf arschloch trottel abschaum connard ordure imbécile estúpido imbécil basura"
@@ -271,6 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Scorer:
 
 def toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, score, clauses: also the matched clauses as (start, end, weight)."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(scorer)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())]))
 
