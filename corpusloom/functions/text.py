@@ -239,17 +239,22 @@ def context_budget(ctx_tokens: Column | int = 8192) -> Column:
 
 
 def _unicode(form: str):
+    """A Unicode normal form; only texts beyond ASCII are sent to Python."""
     import unicodedata
 
     @F.pandas_udf(T.StringType())
-    def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def normal(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
-    return udf
+    def column(text: Column | str) -> Column:
+        t = col(text)
+        return F.coalesce(normal(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
 
+    return normal, column
 
-nfc, nfkc = _unicode("NFC"), _unicode("NFKC")
+
+(nfc_udf, nfc), (nfkc_udf, nfkc) = _unicode("NFC"), _unicode("NFKC")
 
 
 @F.pandas_udf(T.StringType())
@@ -301,8 +306,13 @@ def html_to_text(pages: pd.Series) -> pd.Series:
 
 
 def register(spark) -> None:
-    """The Python helpers as SQL functions."""
+    """The Python helpers as SQL functions, and SQL functions for the normal forms that are made of them."""
     from corpusloom.functions import facts, pii
 
-    for name, fn in {"nfc": nfc, "nfkc": nfkc, "casefold": casefold, "html_to_text": html_to_text, "first_json_object": first_json_object, "fact_normalize": facts.fact_normalize, "pii_normalize": pii.pii_normalize}.items():
+    for name, fn in {"nfc": nfc_udf, "nfkc": nfkc_udf, "casefold": casefold, "html_to_text": html_to_text, "first_json_object": first_json_object}.items():
         spark.udf.register(name, fn)
+    for name, start, steps in (("fact_normalize", "lower(coalesce(nfkc(t), ''))", facts.NORMAL), ("pii_normalize", "nfkc(t)", pii.NORMAL)):
+        body = start
+        for pattern, by in steps:
+            body = f"regexp_replace({body}, r'{pattern}', r'{by}')"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS STRING RETURN {body}")

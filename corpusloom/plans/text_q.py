@@ -33,11 +33,35 @@ F2 = f"WITH t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) SE
 
 
 def f4(spark, d):
+    """Masked texts by their hash, and how often each kind was masked."""
     m = docs(spark, d).select(N, pii.pii_mask(T).alias("m"))
-    return m.select(N, F.coalesce(F.try_element_at("m.counts", F.lit("email")), F.lit(0)).alias("emails"), F.length(F.regexp_replace("m.text", r"\[(CARD|PHONE|BRN|RRN)\]", "")).isNotNull().alias("masked"))
-
-
-F4 = "SELECT doc_id AS path, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]{1,64}@[A-Za-z0-9.\\-]{1,255}\\.[A-Za-z]{2,}')) AS INT) AS emails, true AS masked FROM documents"
+    kinds = [F.coalesce(F.try_element_at("m.counts", F.lit(k)), F.lit(0)).alias(k) for k in pii.KINDS]
+    return m.select(N, *kinds, F.sha2("m.text", 256).alias("sha"))
+
+
+def _mask_sql() -> str:
+    """The masks in DuckDB, which has neither look-around nor back references: neighbours are captured and put back (twice,
+    as two matches can share one), and a repeated separator is written out for each of its values."""
+    space, area = r"\t-\r ", r"(?:1[016-9]|2|[3-6][0-9]|70)"
+    seps, gap = ["", "-", *(rf"\x{c:02x}" for c in (9, 10, 11, 12, 13, 32))], rf"[-{space}.]?"
+    numbers = [
+        ("RRN", rf"[0-9]{{2}}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[-{space}]{{0,2}}[1-8][0-9]{{6}}"),
+        ("CARD", "|".join(s.join(["[0-9]{4}"] * 4) for s in seps)),
+        ("CARD", "|".join(s.join(["[0-9]{4}", "[0-9]{6}", "[0-9]{5}"]) for s in seps)),
+        ("BRN", "[0-9]{3}-[0-9]{2}-[0-9]{5}"),
+        ("PHONE", rf"(?:\+[{space}]?82|82){gap}(?:\(0\){gap})?0?{area}{gap}[0-9]{{3,4}}{gap}[0-9]{{4}}"),
+        ("PHONE", rf"\(0{area}\){gap}[0-9]{{3,4}}{gap}[0-9]{{4}}"),
+        ("PHONE", rf"0{area}{gap}[0-9]{{3,4}}{gap}[0-9]{{4}}"),
+    ]
+    t = r"regexp_replace(text, '[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,255}\.[A-Za-z]{2,}', '[EMAIL]', 'g')"
+    for token, core in numbers:
+        for _ in range(2):
+            t = rf"regexp_replace({t}, '(^|[^0-9])(?:{core})($|[^0-9])', '\1[{token}]\2', 'g')"
+    count = lambda k: f"CAST((length(m) - length(replace(m, '[{k}]', '')) - length(text) + length(replace(text, '[{k}]', ''))) // {len(k) + 2} AS INT) AS {k.lower()}"
+    return f"WITH m AS (SELECT doc_id, text, {t} AS m FROM documents) SELECT doc_id AS path, {', '.join(count(k.upper()) for k in pii.KINDS)}, sha256(m) AS sha FROM m"
+
+
+F4 = _mask_sql()
 
 
 def f6(spark, d):
@@ -52,11 +76,16 @@ SELECT doc_id, CAST(n AS INT) AS emails, n > 0 AS marked FROM e"""
 
 
 def f7(spark, d):
-    found = pii.pii_scan(table(spark, d, "documents"))
-    return found.where("kind = 'email'").select("doc", "value")
+    """Personal data of all kinds."""
+    return pii.pii_scan(table(spark, d, "documents"))
 
 
-F7 = "WITH e AS (SELECT doc_id AS doc, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) AS value FROM documents) SELECT * FROM e WHERE NOT regexp_matches(value, '\\.example$')"
+F7 = """WITH e AS (SELECT doc_id AS doc, 'rrn' AS kind, unnest(regexp_extract_all(text, '\\b[0-9]{6}-?[1-4][0-9]{6}\\b')) AS value FROM documents
+UNION ALL SELECT doc_id, 'card', unnest(regexp_extract_all(text, '\\b(?:[0-9]{4}[- ]){3}[0-9]{4}\\b')) FROM documents
+UNION ALL SELECT doc_id, 'mobile', unnest(regexp_extract_all(text, '\\b01[016789]-?[0-9]{3,4}-?[0-9]{4}\\b')) FROM documents
+UNION ALL SELECT doc_id, 'landline', unnest(regexp_extract_all(text, '\\b0(?:2|[3-6][0-9])-[0-9]{3,4}-[0-9]{4}\\b')) FROM documents
+UNION ALL SELECT doc_id, 'email', unnest(regexp_extract_all(text, '[\\pL\\pM\\pN_.+-]+@[\\pL\\pM\\pN_-]+(?:\\.[\\pL\\pM\\pN_-]+)+')) FROM documents)
+SELECT * FROM e WHERE NOT (kind = 'email' AND ends_with(value, '.example') OR kind = 'mobile' AND starts_with(value, '010-0000-') OR kind = 'landline' AND contains(value, '-0000-'))"""
 
 
 def f8(spark, d):
@@ -111,11 +140,13 @@ F21 = "SELECT o_orderkey, regexp_replace(regexp_replace(printf('%.2f', o_totalpr
 
 
 def f22(spark, d):
-    q = F.concat(F.lit('a "'), F.substring(T, 1, 30), F.lit('" b'))
-    return docs(spark, d).select(N, F.size(fx.extract_quotes(q)).alias("n"))
+    """Quotes in whole texts, some of which are put between marks."""
+    q = F.concat(F.when(F.col(N) % 3 == 0, F.lit("a “")).otherwise(F.lit('a "')), T, F.when(F.col(N) % 3 == 0, F.lit("” b")).otherwise(F.lit('" b')))
+    return docs(spark, d).select(N, F.array_join(fx.extract_quotes(q), "|").alias("quotes"))
 
 
-F22 = "SELECT doc_id AS path, CASE WHEN length(left(text, 30)) >= 10 AND NOT contains(left(text, 30), chr(10)) AND NOT contains(left(text, 30), '\"') THEN 1 ELSE 0 END AS n FROM documents"
+F22 = """WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a “' || text || '” b' ELSE 'a "' || text || '" b' END AS t FROM documents)
+SELECT doc_id AS path, array_to_string(list_transform(regexp_extract_all(t, '"[^"\\n]{10,}"|“[^”\\n]{10,}”|「[^」\\n]{10,}」|‘[^’\\n]{10,}’|『[^』\\n]{10,}』'), lambda x: substring(x, 2, length(x) - 2)), '|') AS quotes FROM q"""
 
 
 def f23(spark, d):
@@ -212,14 +243,14 @@ F35 = "SELECT doc_id AS path, CAST(greatest(1500, trunc((length(text) - 1500) *
 
 
 def f18(spark, d):
-    """Whether a benchmark question's first forty characters occur in documents that share its first word."""
-    b = table(spark, d, "benchmark").select("item_id", F.get(tx.tokenize("text"), F.lit(0)).alias("term"), fx.fact_normalize(F.substring("text", 1, 40)).alias("fact"))
+    """Whether a benchmark item occurs in documents that share its first word."""
+    b = table(spark, d, "benchmark").select("item_id", F.get(tx.tokenize("text"), F.lit(0)).alias("term"), fx.fact_normalize("text").alias("fact"))
     read = docs(spark, d).select(N, fx.fact_normalize(T).alias("norm"), tx.tokenize(T).alias("tokens"))
     terms = read.select(N, F.explode(F.array_distinct("tokens")).alias("term")).join(b, "term").select("item_id", "fact", N)
     return terms.join(read.select(N, "norm"), N).where(fx.contains_fact(F.col("fact"), F.col("norm"))).select("item_id", N)
 
 
-F18 = f"""WITH b AS (SELECT item_id, left(text, 40) AS fact, {TOKENS_SQL}[1] AS term FROM benchmark), t AS (SELECT doc_id AS path, text, list_distinct({TOKENS_SQL}) AS ts FROM documents)
+F18 = f"""WITH b AS (SELECT item_id, text AS fact, {TOKENS_SQL}[1] AS term FROM benchmark), t AS (SELECT doc_id AS path, text, list_distinct({TOKENS_SQL}) AS ts FROM documents)
 SELECT item_id, path FROM b JOIN t ON list_contains(ts, term) AND contains(regexp_replace(lower(text), '\\s+', '', 'g'), regexp_replace(lower(fact), '\\s+', '', 'g'))"""
 
 
