@@ -208,26 +208,42 @@ def sweep(rows: DataFrame, by: str = "hash") -> DataFrame:
     return scored.select(by, F.when(F.col("rejected"), F.lit(-1.0)).otherwise(F.col("objective")).alias("score"), "rejected")
 
 
-def neighbours(best: dict, space: dict[str, list]) -> list[dict]:
-    """Configurations one step from the best: adjacent values, and midpoints to them for numbers."""
+def neighbours(best: dict, space: dict[str, list | tuple], bounds: dict[str, tuple] | None = None) -> list[dict]:
+    """Configurations one step from the best.
+
+    Of a list of numbers: the adjacent values, midpoints to them, and past the list's edge a step as long as the last one,
+    no further than ``bounds`` names for it (none without bounds).  Of a range (low, high): an eighth and a sixteenth of it
+    to both sides, inside it.  Of other lists: all other values.
+    """
     out = []
     for name, values in space.items():
-        numeric = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values)
-        if not numeric:
-            out += [best | {name: v} for v in values if v != best[name]]
+        here = best[name]
+        if isinstance(values, tuple):
+            low, high = values
+            reach = (high - low) / 8
+            out += [best | {name: min(high, max(low, here + s * reach))} for s in (-1, -0.5, 0.5, 1)]
+            continue
+        if not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
+            out += [best | {name: v} for v in values if v != here]
             continue
         whole = all(isinstance(v, int) for v in values)
-        below, above = [v for v in values if v < best[name]], [v for v in values if v > best[name]]
-        for v in ([max(below)] if below else []) + ([min(above)] if above else []):
-            mid = (v + best[name]) / 2
-            out += [best | {name: v}, best | {name: int(mid) if whole else mid}]
+        below, above = [v for v in values if v < here], [v for v in values if v > here]
+        for near, far in ((below, above), (above, below)):
+            if near:
+                v = max(near) if near is below else min(near)
+                mid = (v + here) / 2
+                out += [best | {name: v}, best | {name: int(mid) if whole else mid}]
+            elif far and bounds and name in bounds:  # past the edge
+                low, high = bounds[name]
+                v = min(high, max(low, 2 * here - (min(far) if near is below else max(far))))
+                out.append(best | {name: int(v) if whole else v})
     return [c for i, c in enumerate(out) if c != best and c not in out[:i]]
 
 
-def refine(best: dict, score: float, space: dict[str, list], evaluate_many, rounds: int = 2) -> tuple[dict, float]:
+def refine(best: dict, score: float, space: dict[str, list | tuple], evaluate_many, rounds: int = 2, bounds: dict[str, tuple] | None = None) -> tuple[dict, float]:
     """Hill climbing by tables of neighbours; ``evaluate_many(list of configs) -> list of scores`` is one sweep."""
     for _ in range(rounds):
-        near = neighbours(best, space)
+        near = neighbours(best, space, bounds)
         scores = evaluate_many(near) if near else []
         if not scores or max(scores) <= score:
             break

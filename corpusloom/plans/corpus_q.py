@@ -101,29 +101,29 @@ Q14 = "SELECT doc_id AS path, CASE WHEN lang IN ('es', 'fr') THEN 'raw-new' ELSE
 
 
 def q1(spark, d):
-    """Order totals said to be from their lines: whether the lines' prices hold the number."""
-    li = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    """Prices and dates of all lines, said to be from the delivered lines of their orders: which these do not hold."""
+    li = table(spark, d, "lineitem").where("l_linestatus = 'F'")
     sources = li.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("line of "), F.format_number("l_extendedprice", 2), F.lit(" on "), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("text"))
-    bodies = table(spark, d, "lineitem").where("l_linenumber in (2, 5)").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("it cost "), F.format_string("%.2f", "l_extendedprice"), F.lit(" in "), F.date_format("l_shipdate", "yyyy/M/d"), F.lit("!")).alias("body"))
+    bodies = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("it cost "), F.format_string("%.2f", "l_extendedprice"), F.lit(" in "), F.date_format("l_shipdate", "yyyy/M/d"), F.lit("!")).alias("body"))
     return gx.ungrounded_claims(bodies, sources)
 
 
-Q1 = """WITH b AS (SELECT l_orderkey AS id, printf('%.2f', l_extendedprice) AS v, strftime(l_shipdate, '%Y/%-m/%-d') AS dv, l_extendedprice AS p, l_shipdate AS s FROM lineitem WHERE l_linenumber IN (2, 5)),
-r AS (SELECT l_orderkey AS id, l_extendedprice AS p, l_shipdate AS s FROM lineitem WHERE l_linenumber <= 3)
+Q1 = """WITH b AS (SELECT l_orderkey AS id, printf('%.2f', l_extendedprice) AS v, strftime(l_shipdate, '%Y/%-m/%-d') AS dv, l_extendedprice AS p, l_shipdate AS s FROM lineitem),
+r AS (SELECT l_orderkey AS id, l_extendedprice AS p, l_shipdate AS s FROM lineitem WHERE l_linestatus = 'F')
 SELECT id, 'number' AS kind, v AS value FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = b.id AND r.p = b.p)
 UNION ALL SELECT id, 'date', dv FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = b.id AND r.s = b.s)"""
 
 
 def q2(spark, d):
-    """Orders as articles over their first lines: missing and wrong sources, and numbers that no line has."""
+    """Orders as articles over their lines: missing and wrong sources, and numbers that no line has."""
     li = table(spark, d, "lineitem")
     articles = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.concat(F.lit("total "), F.format_string("%.2f", "o_totalprice"), F.lit(" due")).alias("body"))
-    edges = li.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("article_path"), F.concat(F.when(F.col("l_partkey") % 10 == 0, "tmp/").otherwise("raw/"), "l_suppkey").alias("raw_path"))
+    edges = li.select(F.col("l_orderkey").alias("article_path"), F.concat(F.when(F.col("l_partkey") % 10 == 0, "tmp/").otherwise("raw/"), "l_suppkey").alias("raw_path"))
     raw = table(spark, d, "supplier").where("s_suppkey % 9 <> 0").select(F.concat(F.lit("raw/"), "s_suppkey").alias("raw_path"), F.concat(F.lit("total 5 of "), "s_name").alias("text"))
     return gx.lint_articles(articles, edges, raw).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-Q2 = """WITH e AS (SELECT DISTINCT l_orderkey AS a, CASE WHEN l_partkey % 10 = 0 THEN 'tmp/' ELSE 'raw/' END || l_suppkey AS r, l_suppkey AS s FROM lineitem WHERE l_linenumber <= 2), o AS (SELECT o_orderkey AS a FROM orders),
+Q2 = """WITH e AS (SELECT DISTINCT l_orderkey AS a, CASE WHEN l_partkey % 10 = 0 THEN 'tmp/' ELSE 'raw/' END || l_suppkey AS r, l_suppkey AS s FROM lineitem), o AS (SELECT o_orderkey AS a FROM orders),
 m AS (SELECT e.* FROM e JOIN o USING (a)), k AS (SELECT 'no-source' AS kind, count(*) AS n FROM o WHERE a NOT IN (SELECT a FROM e) UNION ALL SELECT 'missing-article', count(DISTINCT a) FROM e WHERE a NOT IN (SELECT a FROM o)
 UNION ALL SELECT 'invalid-source', count(*) FROM m WHERE r LIKE 'tmp/%' UNION ALL SELECT 'missing-source', count(*) FROM m WHERE r LIKE 'raw/%' AND s % 9 = 0 UNION ALL SELECT 'number', count(DISTINCT a) FROM m) SELECT * FROM k WHERE n > 0"""
 

@@ -87,18 +87,20 @@ E8 = f"WITH {STATS}, {_bm25()}, {_QA_SQL} SELECT qa.qid, coalesce(bool_or(list_c
 
 
 def e9(spark, d):
-    """Answers over documents of several languages for askers of one: what was outside, counted."""
-    t = table(spark, d, "documents").where("doc_id % 10 < 2")
-    answers = t.where("doc_id % 10 = 0").select(F.col("doc_id").alias("qid"), F.col("lang").alias("space"), F.col("source").alias("answer"))
-    hits = t.select((F.col("doc_id") - F.col("doc_id") % 10).alias("qid"), F.col("doc_id").cast("string").alias("path"), F.col("source").alias("body"))
+    """Ten documents each, of several languages: the first is an asker's answer in its language, all are its hits."""
+    t = table(spark, d, "documents").select("doc_id", "lang", "text", F.floor(F.col("doc_id") / 10).alias("g"))
+    first = t.groupBy("g").agg(F.min("doc_id").alias("qid"))
+    answers = first.join(t.drop("g"), F.col("qid") == F.col("doc_id")).select("qid", F.col("lang").alias("space"), F.col("text").alias("answer"))
+    hits = t.join(first, "g").select("qid", F.col("doc_id").cast("string").alias("path"), F.col("text").alias("body"))
     spaces = t.select(F.col("doc_id").cast("string").alias("path"), F.array("lang").alias("spaces"))
-    foreign = spark.createDataFrame([("en", "src7", False), ("fr", "src8", False), ("de", "src9", True)], "space string, fact string, ambiguous boolean")
+    foreign = spark.createDataFrame([("en", "of the", False), ("fr", "de la", False), ("de", "und", True)], "space string, fact string, ambiguous boolean")
     out = ex.detect_leaks(answers, hits, spaces, foreign)
     return out.select("qid", F.array_join("leak", "|").alias("leak"))
 
 
-E9 = """WITH a AS (SELECT doc_id AS q, lang, source FROM documents WHERE doc_id % 10 = 0), h AS (SELECT doc_id - doc_id % 10 AS q, doc_id AS p, lang, source FROM documents WHERE doc_id % 10 < 2), f AS (SELECT 'en' AS lang, 'src7' AS fact UNION ALL SELECT 'fr', 'src8'),
-l AS (SELECT a.q, 'outside: ' || p AS r FROM a JOIN h ON h.q = a.q WHERE h.lang <> a.lang UNION SELECT a.q, 'answer: ' || fact FROM a JOIN f ON f.lang = a.lang AND a.source = fact UNION SELECT a.q, 'text: ' || fact FROM a JOIN h ON h.q = a.q JOIN f ON f.lang = a.lang AND h.source = fact)
+E9 = """WITH t AS (SELECT doc_id, lang, regexp_replace(lower(text), '\\s+', '', 'g') AS x, min(doc_id) OVER (PARTITION BY doc_id // 10) AS q FROM documents), a AS (SELECT * FROM t WHERE doc_id = q),
+f AS (SELECT 'en' AS lang, 'of the' AS fact, 'ofthe' AS x UNION ALL SELECT 'fr', 'de la', 'dela'),
+l AS (SELECT a.q, 'outside: ' || t.doc_id AS r FROM a JOIN t ON t.q = a.q WHERE t.lang <> a.lang UNION SELECT a.q, 'answer: ' || fact FROM a JOIN f ON f.lang = a.lang AND contains(a.x, f.x) UNION SELECT a.q, 'text: ' || fact FROM a JOIN t ON t.q = a.q JOIN f ON f.lang = a.lang AND contains(t.x, f.x))
 SELECT a.q AS qid, coalesce(string_agg(r, '|' ORDER BY r), '') AS leak FROM a LEFT JOIN l ON l.q = a.q GROUP BY 1"""
 
 

@@ -264,3 +264,14 @@ def test_failures_and_index_lines_are_rows(spark):
     schema = "folder string, path string, name string, front map<string,array<string>>, body string"
     found = [rows(qx.index_check(spark.createDataFrame([*pages, *(wiki("_index", x) for x in index)], schema))) for index in (["\n".join(lines)], lines)]
     assert found[0] == found[1] and len(found[0]) == 3
+
+
+def test_refine_keeps_to_bounds_and_ranges():
+    near = ex.neighbours({"x": 8, "y": 0.5, "mode": "a"}, {"x": [0, 2, 4, 8], "y": (0.0, 1.0), "mode": ["a", "b"]}, {"x": (0, 10)})
+    assert sorted(c["x"] for c in near if c["x"] != 8) == [4, 6, 10]
+    assert sorted(c["y"] for c in near if c["y"] != 0.5) == [0.375, 0.4375, 0.5625, 0.625]
+    assert [c for c in near if c["mode"] == "b"] == [{"x": 8, "y": 0.5, "mode": "b"}]
+    assert {c["x"] for c in ex.neighbours({"x": 8}, {"x": [4, 8]})} == {4, 6}
+    score = lambda c: -abs(c["x"] - 15)
+    best, s = ex.refine({"x": 8}, score({"x": 8}), {"x": [4, 8]}, lambda cs: [score(c) for c in cs], rounds=9, bounds={"x": (0, 14)})
+    assert (best, s) == ({"x": 14}, -1)
