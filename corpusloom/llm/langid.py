@@ -57,7 +57,7 @@ def word_features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
     feats, mask, acc = [], [], np.zeros_like(codes)
     whole = np.zeros(len(words), np.uint64)
     for j in range(width):
-        whole = (whole * _M1 + codes[:, j] + np.uint64(7)) * _M2
+        whole = np.where(j < size, (whole * _M1 + codes[:, j] + np.uint64(7)) * _M2, whole)  # as long as the word, not the longest beside it
     whole ^= whole >> np.uint64(31)
     for n in range(1, 5):
         if n > width:
