@@ -85,11 +85,15 @@ def decode_bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def read_text_docs(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """path, title (first level-1 heading, else the file's stem), text of ``files(path, size, content)``."""
-    rows = files.where(F.col("size") <= max_bytes).select("path", decode_bytes("content").alias("text"))
+    """path, title (first level-1 heading, else the file's stem), text, error of ``files(path, size, content)``.
+
+    A file of more than ``max_bytes`` is a row without text whose error is ``too-large``.
+    """
+    fits = F.col("size") <= max_bytes
+    rows = files.select("path", decode_bytes(F.when(fits, F.col("content"))).alias("text"), F.when(~fits, "too-large").alias("error"))
     heading = F.trim(F.regexp_extract("text", r"(?m)^#\s+(.+?)\s*#*\s*$", 1))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-    return rows.select("path", F.when(heading != "", heading).otherwise(stem).alias("title"), "text")
+    return rows.select("path", F.when(heading != "", heading).otherwise(stem).alias("title"), "text", "error")
 
 
 MAIL = "path string, subject string, body string, date string, sender string, recipients string, cc string, message_id string, in_reply_to string, references string, attachments array<struct<name:string,content:binary>>"

@@ -35,6 +35,8 @@ def test_text_and_corpus(spark, tmp_path):
     put(tmp_path, "corpus/top.md", "x")
     docs = {r.path: r for r in src.read_text_docs(src.list_files(spark, str(tmp_path))).collect()}
     assert docs["corpus/dept-a/a.md"].title == "Title" and docs["corpus/dept-a/a.md"].text.endswith("body")
+    small = {r.path: r for r in src.read_text_docs(src.list_files(spark, str(tmp_path)), max_bytes=5).collect()}
+    assert small["corpus/dept-a/a.md"].error == "too-large" and small["corpus/dept-a/a.md"].text is None and small["corpus/top.md"].text == "x"
     assert docs["corpus/dept-a/b.txt"].text == "한글" and docs["corpus/dept-a/b.txt"].title == "b"
     assert sorted((r.doc_id, r.space) for r in src.corpus_files(spark, str(tmp_path)).collect()) == [("dept-a/a.md", "dept-a"), ("dept-a/b.txt", "dept-a")]
 
