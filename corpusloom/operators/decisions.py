@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -41,7 +40,8 @@ def apply_decisions(decisions: DataFrame, articles: DataFrame, raw_docs: DataFra
     """path, title, body, sources of the articles that decisions touch.
 
     New articles (also the deterministic ones of rows with a reason) come from their row; decisions on one target are
-    applied in the order of their raw path, one target's rows together.
+    applied in the order of their raw path: its last update replaces the body, disputes after that are appended.  A null
+    body counts as empty; targets that are no article are left out.
     """
     rows = decisions.join(raw_docs.select("raw_path", tx.raw_fallback("text", "raw_path").alias("_f")), "raw_path", "left")
     fall = F.col("reason").isNotNull()
@@ -50,18 +50,17 @@ def apply_decisions(decisions: DataFrame, articles: DataFrame, raw_docs: DataFra
         F.when(fall, tx.clean_title(F.col("_f.title"))).otherwise(F.col("title")).alias("title"), F.when(fall, F.col("_f.body")).otherwise(F.col("body")).alias("body"), F.array("raw_path").alias("sources"),
     )
     merge = rows.where(~fall & F.col("decision").isin("Update", "Disputed")).select(F.col("target").alias("path"), "raw_path", "decision", F.col("body").alias("new_body"))
-    base = merge.join(articles.select("path", "title", "body", "sources"), "path")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("raw_path")
-        body, sources = pdf["body"].iloc[0], list(pdf["sources"].iloc[0])
-        for r in pdf.itertuples():
-            body = r.new_body if r.decision == "Update" else f"{body}\n\n## Disputed\n{r.new_body}\n(Source: {r.raw_path})"
-            if r.raw_path not in sources:
-                sources.append(r.raw_path)
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "title": [pdf["title"].iloc[0]], "body": [body], "sources": [sources]})
-
-    return new.unionByName(base.groupBy("path").applyInPandas(fold, "path string, title string, body string, sources array<string>"))
+    # what comes before a target's last update is replaced by it
+    last = F.max(F.when(F.col("decision") == "Update", F.col("raw_path"))).over(Window.partitionBy("path"))
+    later = (F.col("decision") == "Disputed") & F.coalesce(F.col("raw_path") > F.col("_last"), F.lit(True))
+    note = F.concat(F.lit("\n\n## Disputed\n"), F.coalesce("new_body", F.lit("")), F.lit("\n(Source: "), F.col("raw_path").cast("string"), F.lit(")"))
+    per = merge.withColumn("_last", last).groupBy("path").agg(
+        F.max(F.when(F.col("raw_path") == F.col("_last"), F.struct(F.coalesce("new_body", F.lit("")).alias("b")))).alias("update"),
+        F.array_sort(F.collect_list(F.when(later, F.struct("raw_path", note.alias("note"))))).alias("notes"), F.array_sort(F.collect_set("raw_path")).alias("raws"),
+    )
+    body = F.concat(F.when(F.col("update").isNotNull(), F.col("update.b")).otherwise(F.coalesce("body", F.lit(""))), F.array_join(F.transform("notes", lambda x: x["note"]), ""))
+    done = per.join(articles.select("path", "title", "body", "sources"), "path").select("path", "title", body.alias("body"), F.array_union(F.coalesce("sources", F.array().cast(new.schema["sources"].dataType)), "raws").alias("sources"))
+    return new.unionByName(done)
 
 
 def backlinks(related: DataFrame, touched: DataFrame, spaces_df: DataFrame) -> DataFrame:
