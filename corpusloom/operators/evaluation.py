@@ -166,12 +166,45 @@ def sweep_scores(questions: DataFrame, docs: DataFrame, readable: DataFrame, con
     seen = few.join(lengths, "path").join(readable.select("acl_key", "path"), "path")
     hits = asked.join(terms, ["acl_key", "term"]).join(seen, ["acl_key", "term"]).groupBy("qid", "path", "dl", "avgdl").agg(F.array_sort(F.collect_list(F.struct("term", "idf", "tf"))).alias("parts"))
     settings = configs.select("hash", "bm25_k1", "bm25_b", "top_k")
-    few_settings = settings.limit(_BROADCAST_CONFIGS + 1).count() <= _BROADCAST_CONFIGS
-    rows = hits.crossJoin(F.broadcast(settings) if few_settings else settings)
+    sizes = settings.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("top_k"), F.lit(0)).alias("most")).first()
+    rows = hits.crossJoin(F.broadcast(settings) if sizes.n <= _BROADCAST_CONFIGS else settings)
     k1, b = F.col("bm25_k1"), F.col("bm25_b")
     score = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["idf"] * x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+    rows = rows.select("hash", "qid", "path", "top_k", (F.round(score, digits) if digits else score).alias("score")).where("score > 0")
+    return _first_of(rows, int(sizes.most)).drop("top_k")
+
+
+def _first_of(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``top_k`` rows of each (hash, qid) by score, then path, with ``rank`` from 1.
+
+    The largest ``top_k`` is compared as a number first, so that each task cuts its rows before they are shuffled.
+    """
     order = Window.partitionBy("hash", "qid").orderBy(F.desc("score"), "path")
-    return rows.select("hash", "qid", "path", "top_k", (F.round(score, digits) if digits else score).alias("score")).where("score > 0").withColumn("rank", F.row_number().over(order)).where("rank <= top_k").drop("top_k")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).where("rank <= top_k")
+
+
+def sweep_retrieval(questions: DataFrame, docs: DataFrame, readable: DataFrame, configs: DataFrame, qvecs: DataFrame, emb: DataFrame, digits: int | None = None) -> DataFrame:
+    """hash, qid, path, score, rank for every row of ``configs(hash, retrieval_mode, top_k, pool, rrf_k, w_bm25, w_dense,
+    bm25_k1, bm25_b, min_cosine)``, each as ``search.retrieve`` gives it, in one job.
+
+    One BM25 list is made for each different (bm25_k1, bm25_b) and one dense list for all: a least cosine and a pool cut a
+    list at its end, so each configuration takes the first rows of a longer one.
+    """
+    ends = configs.agg(F.max("pool").alias("pool"), F.min(F.when(F.col("retrieval_mode") != "bm25", F.col("min_cosine"))).alias("low"), F.max("top_k").alias("most")).first()
+    if ends.pool is None:
+        return questions.limit(0).select(F.lit("").alias("hash"), "qid", F.lit("").alias("path"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    knobs = F.concat_ws("/", "bm25_k1", "bm25_b")
+    lists = configs.where("retrieval_mode <> 'dense'").select(knobs.alias("hash"), "bm25_k1", "bm25_b").distinct().withColumn("top_k", F.lit(ends.pool))
+    bm = sweep_scores(questions, docs, readable, lists, digits).withColumnRenamed("hash", "list")
+    dn = sx.dense_topk(qvecs, emb, readable, 1.0 if ends.low is None else ends.low, ends.pool, digits)
+    single = F.col("retrieval_mode") != "hybrid"
+    part = lambda weight: F.when(single, F.col("score")).otherwise(F.col(weight).cast("double") / (F.col("rrf_k") + F.col("rank")))
+    keep = ["hash", "qid", "path", "top_k"]
+    near = configs.where("retrieval_mode <> 'dense'").withColumn("list", knobs).join(bm, "list").where("rank <= pool").select(*keep, part("w_bm25").alias("s"))
+    far = configs.where("retrieval_mode <> 'bm25'").join(dn.withColumnRenamed("cos", "score"), F.col("score") > F.col("min_cosine")).where("rank <= pool").select(*keep, part("w_dense").alias("s"))
+    total = F.sum("s")  # two terms at most
+    both = near.unionByName(far).groupBy(*keep).agg((F.round(total, digits) if digits else total).alias("score"))
+    return _first_of(both, int(ends.most)).drop("top_k")
 
 
 def evaluate(hits: DataFrame, sources: DataFrame, gold: DataFrame, qa: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -262,6 +295,11 @@ def heldout_guard(config: str, used: DataFrame, force: bool = False) -> None:
         raise ValueError(f"configuration {config} was evaluated on held-out questions before")
 
 
+def used_heldout(configs: DataFrame, used: DataFrame) -> DataFrame:
+    """The configurations that the held-out questions have already seen: those that ``heldout_guard`` refuses."""
+    return configs.join(used.select("hash").distinct(), "hash", "left_semi")
+
+
 def gap_table(rows: DataFrame, mode: str = "retrieval") -> DataFrame:
     """type, tune, heldout, gap."""
     score = reports.retrieval_score() if mode == "retrieval" else F.col("correct").cast("double")

@@ -72,7 +72,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def dedup_stream(stream: DataFrame, horizon: str = "7 days", ts: str = "ts") -> DataFrame:
     """(space, sha256) once within a bounded horizon; for ever is the ledger of ``stream_ingest``."""
-    return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["space", "sha256"])
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["space", "sha256"])
 
 
 def archive_outcome(results: DataFrame, path: str) -> None:
@@ -205,12 +205,12 @@ def sessionize(events: DataFrame, idle: int = 1800, absolute: int | None = 28800
 def sessionize_stream(events: DataFrame, idle: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Idle sessions of a stream."""
     w = F.session_window("ts", idle)
-    return events.withWatermark("ts", delay).groupBy("user_id", w).agg(F.count(F.lit(1)).alias("n")).select("user_id", "session_window.start", "session_window.end", "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("user_id", w).agg(F.count(F.lit(1)).alias("n")).select("user_id", "session_window.start", "session_window.end", "n")
 
 
 def audit_stream(stream: DataFrame, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Counts by action and outcome in event-time windows; run in update mode it is the running report."""
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", window), "action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("detail") == "no-evidence").alias("no_evidence"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", window), "action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("detail") == "no-evidence").alias("no_evidence"))
 
 
 def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
