@@ -253,6 +253,35 @@ def test_sweep_scores_every_configuration(spark):
         assert out.groupBy("hash").agg(F.count("path").alias("n")).where("n = 2").count() == count
 
 
+def test_sweep_retrieval_is_retrieve_for_each_configuration(spark):
+    docs = spark.createDataFrame([("a", "red fox"), ("b", "red red hen"), ("c", "blue fox fox"), ("d", "grey")], "path string, text string")
+    asked = spark.createDataFrame([("q", "k", "red fox"), ("r", "k", "grey hen")], "qid string, acl_key string, text string")
+    readable = spark.createDataFrame([("k", p) for p in "abc"], "acl_key string, path string")
+    emb = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 1.0]), ("d", [0.8, 0.6])], "path string, embedding array<float>")
+    qvecs = spark.createDataFrame([("q", "k", [0.6, 0.8]), ("r", "k", [1.0, 0.0])], "qid string, acl_key string, qv array<float>")
+    space = {"retrieval_mode": ["bm25", "dense", "hybrid"], "top_k": [2], "pool": [2, 3], "rrf_k": [5], "w_bm25": [1.0], "w_dense": [0.5], "bm25_k1": [1.2], "bm25_b": [0.5], "min_cosine": [0.1, 0.7]}
+    configs = ex.grid(spark, space)
+    got = ex.sweep_retrieval(asked, docs, readable, configs, qvecs, emb, 6).collect()
+    for c in configs.collect():
+        one = sx.retrieve(asked, docs, readable, c.retrieval_mode, qvecs, emb, c.top_k, c.pool, c.rrf_k, c.w_bm25, c.w_dense, c.min_cosine, c.bm25_k1, c.bm25_b, 6)
+        want = sorted((r.qid, r.path, round(r.score, 6), r["rank"]) for r in one.collect())
+        assert want and sorted((r.qid, r.path, round(r.score, 6), r["rank"]) for r in got if r.hash == c.hash) == want
+    assert ex.sweep_retrieval(asked, docs, readable, configs.limit(0), qvecs, emb).count() == 0
+    assert rows(ex.used_heldout(configs.select("hash"), configs.select("hash").limit(0))) == []
+
+
+def test_decisions_on_one_target_keep_their_order(spark):
+    schema = "raw_path string, decision string, target string, topic string, title string, body string, reason string"
+    steps = [("r1", "Disputed", "one"), ("r2", "Update", "two"), ("r3", "Disputed", None), ("r4", "Disputed", "four")]
+    decisions = spark.createDataFrame([(r, d, "c", None, None, b, None) for r, d, b in steps] + [("r5", "Disputed", "e", None, None, "x", None), ("r6", "Update", "gone", None, None, "x", None)], schema)
+    articles = spark.createDataFrame([("c", "C", "old", ["r2"]), ("e", "E", None, None)], "path string, title string, body string, sources array<string>")
+    raw = spark.createDataFrame([(f"r{i}", "text") for i in range(1, 7)], "raw_path string, text string")
+    done = {r.path: r for r in dx.apply_decisions(decisions, articles, raw).collect()}
+    assert set(done) == {"c", "e"}
+    assert done["c"].body == "two\n\n## Disputed\n\n(Source: r3)\n\n## Disputed\nfour\n(Source: r4)" and done["c"].sources == ["r2", "r1", "r3", "r4"]
+    assert done["e"].body == "\n\n## Disputed\nx\n(Source: r5)" and done["e"].sources == ["r5"]
+
+
 def test_failures_and_index_lines_are_rows(spark):
     results = spark.createDataFrame([("a", "done"), ("b", "failed"), ("c", "failed"), ("d", "duplicate")], "raw_path string, status string")
     out = rx.ingest_summary(results, spark.createDataFrame([("a", "x")], "raw_path string, article_path string"), spark.createDataFrame([("x",)], "path string"))
