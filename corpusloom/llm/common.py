@@ -6,6 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,3 +88,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(column: str, modulus: int):
     """``crc32(column as text) mod modulus``; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def summed(parts: DataFrame, unpack: Callable[[bytes], Any], pack: Callable[[Any], bytes], keys: tuple[str, ...] = (), fan: int = 64) -> DataFrame:
+    """One row a key of ``parts(keys, total binary)``, whose packed totals are added up.
+
+    Tasks write a total each, so there are as many as tasks: they meet in ``fan`` parts of a key first and the sums of these
+    parts after that.  Rows come sorted, and a task holds one sum at a time.
+    """
+    schema = parts.select(*keys, "total").schema
+
+    def add(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = held = None
+            row = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*at, pack(held)), kinds)], names=names)
+            for batch in batches:
+                kinds, names = batch.schema.types, batch.schema.names
+                columns = [batch.column(i).to_pylist() for i in range(width)]
+                for i, value in enumerate(batch.column(width)):
+                    key = tuple(c[i] for c in columns)
+                    if at is not None and key != at:
+                        yield row()
+                        held = None
+                    held, at = unpack(value.as_py()) if held is None else held + unpack(value.as_py()), key
+            if at is not None:
+                yield row()
+
+        return run
+
+    fold = new_name(parts, "fold")
+    spread = parts.select(*keys, F.pmod(F.spark_partition_id(), F.lit(fan)).alias(fold), "total")
+    by = [*keys, fold]
+    few = spread.repartition(*by).sortWithinPartitions(*by).mapInArrow(add(len(by)), spread.schema).drop(fold)
+    last = few.repartition(*keys).sortWithinPartitions(*keys) if keys else few.repartition(1)
+    return last.mapInArrow(add(len(keys)), schema)
