@@ -40,7 +40,10 @@ def slugify(text: Column | str, default: str = "untitled", size: int = 80) -> Co
 
 
 def raw_slug(text: Column | str, default: str = "untitled") -> Column:
-    return slugify(text, default, 60)
+    """Words joined by single hyphens; what the cut at 60 characters leaves at the end is trimmed again."""
+    s = F.lower(F.regexp_replace(F.regexp_replace(col(text), r"(?U)[^\w]+", "-"), r"^[-_]+|[-_]+$", ""))
+    s = F.regexp_replace(F.substring(s, 1, 60), r"[-_]+$", "")
+    return F.when(s == "", F.lit(default)).otherwise(s)
 
 
 def clean_title(text: Column | str) -> Column:

@@ -41,12 +41,16 @@ def relevant_articles(qa: DataFrame, gold: DataFrame) -> DataFrame:
     return qa.join(per, "id", "left").select("id", F.when(F.coalesce("n", F.lit(0)) > 0, F.col("n")).otherwise(F.size("gold_docs")).alias("n_relevant"))
 
 
-def retrieval_metrics(hd: DataFrame, qa: DataFrame, n_relevant: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
-    """A row per question (and ``by``): recall, hit, hit1, mrr, ndcg, stale_top1, empty of ``hd(qid, path, rank, docs)``."""
+def retrieval_metrics(hd: DataFrame, qa: DataFrame, n_relevant: DataFrame, k: int, by: list[str] | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """A row per question (and ``by``): recall, hit, hit1, mrr, ndcg, stale_top1, empty of ``hd(qid, path, rank, docs)``.
+
+    ``settings`` has the configurations in the columns of ``by``; one that found nothing gets its rows of zeros.  Without
+    it they are those that occur in ``hd``.
+    """
     key = by or []
     ask = qa.select(F.col("id").alias("qid"), "gold_docs", "stale_docs").join(n_relevant.withColumnRenamed("id", "qid"), "qid")
-    if key:
-        ask = ask.crossJoin(hd.select(*key).distinct())
+    if key:  # the result has a row for each question and configuration
+        ask = ask.crossJoin((hd if settings is None else settings).select(*key).distinct())
     rows = ask.join(hd, ["qid", *key], "left")
     found = F.array_intersect("docs", "gold_docs")
     rel, near = F.coalesce(F.size(found) > 0, F.lit(False)), F.col("rank") <= k
@@ -207,9 +211,10 @@ def sweep_retrieval(questions: DataFrame, docs: DataFrame, readable: DataFrame,
     return _first_of(both, int(ends.most)).drop("top_k")
 
 
-def evaluate(hits: DataFrame, sources: DataFrame, gold: DataFrame, qa: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
-    """A row per question and configuration: the retrieval metrics with type, space and split."""
-    metrics = retrieval_metrics(hit_docs(hits, sources, gold), qa, relevant_articles(qa, gold), k, by)
+def evaluate(hits: DataFrame, sources: DataFrame, gold: DataFrame, qa: DataFrame, k: int, by: list[str] | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """A row per question and configuration (of ``settings``, also those without hits): the retrieval metrics with type,
+    space and split."""
+    metrics = retrieval_metrics(hit_docs(hits, sources, gold), qa, relevant_articles(qa, gold), k, by, settings)
     return metrics.join(qa.select(F.col("id").alias("qid"), "type", "space", "split"), "qid")
 
 

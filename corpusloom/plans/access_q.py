@@ -290,14 +290,26 @@ S16 = "SELECT count(*) AS n, true AS ok FROM documents"
 
 
 def s11(spark, d):
-    """Documents as parsed files of one title per language: numbered records, equal content once."""
-    parsed = table(spark, d, "documents").select(F.concat(F.lit("Note "), "lang").alias("title"), "text", F.lit("f.txt").alias("source_name"), F.lit(None).cast("date").alias("published"), F.col("source").alias("space"))
-    out = src.save_raw(parsed, spark.createDataFrame([], "raw_path string, space string, sha256 string"), "2026-09-30")
-    return out.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw_path").alias("paths"), F.max(F.length("raw_path")).alias("longest"))
-
-
-S11 = """WITH u AS (SELECT DISTINCT source, lang, text FROM documents), n AS (SELECT source, lang, row_number() OVER (PARTITION BY source, lang) AS k FROM u)
-SELECT source AS space, count(*) AS n, count(*) AS paths, CAST(max(length('raw/' || source || '/2026-09-30-note-' || lang || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.md')) AS INT) AS longest FROM n GROUP BY 1"""
+    """Documents as parsed files of one title per language: the records of new and old contents, beside registered files
+    that hold the plain name and the third one, and a title that is such a number's name."""
+    t = table(spark, d, "documents")
+    k = F.col("doc_id")
+    title = F.concat(F.lit("Note - "), "lang", F.when(k % 10 == 7, " 3").otherwise(""))
+    parsed = t.select(title.alias("title"), "text", F.lit("f.txt").alias("source_name"), F.lit(None).cast("date").alias("published"), F.col("source").alias("space"))
+    some = t.groupBy("source", "lang").agg(F.min("text").alias("text"))
+    head = F.concat(F.lit("# Note - "), "lang", F.lit("\n\n> Source: f.txt\n> Collected: 2026-09-30\n> Published: Unknown\n\n"), "text", F.lit("\n"))
+    base = F.concat(F.lit("raw/"), "source", F.lit("/2026-09-30-note-"), "lang")
+    old = some.select(F.explode(F.array(F.struct(F.concat(base, F.lit(".md")).alias("raw_path"), F.sha2(head, 256).alias("sha256")), F.struct(F.concat(base, F.lit("-4.md")).alias("raw_path"), F.lit("other").alias("sha256")))).alias("x"), F.col("source").alias("space")).select("x.raw_path", "space", "x.sha256")
+    return src.save_raw(parsed, old, "2026-09-30").select("raw_path", "space", "sha256", "is_new")
+
+
+S11 = """WITH u AS (SELECT DISTINCT source, lang, doc_id % 10 = 7 AS third, text FROM documents WHERE lang IS NOT NULL), b AS (SELECT *, 'raw/' || source || '/2026-09-30-note-' || lang || CASE WHEN third THEN '-3' ELSE '' END AS base,
+sha256('# Note - ' || lang || CASE WHEN third THEN ' 3' ELSE '' END || chr(10) || chr(10) || '> Source: f.txt' || chr(10) || '> Collected: 2026-09-30' || chr(10) || '> Published: Unknown' || chr(10) || chr(10) || coalesce(text, '') || chr(10)) AS sha256 FROM u),
+o AS (SELECT source, lang, min(text) AS t FROM documents GROUP BY 1, 2), h AS (SELECT source, lang, sha256('# Note - ' || lang || chr(10) || chr(10) || '> Source: f.txt' || chr(10) || '> Collected: 2026-09-30' || chr(10) || '> Published: Unknown' || chr(10) || chr(10) || t || chr(10)) AS first FROM o),
+x AS (SELECT b.*, NOT third AND sha256 = first AS old, max(third) OVER (PARTITION BY b.source, b.lang) AS kept FROM b JOIN h ON h.source = b.source AND h.lang = b.lang),
+j AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY sha256) AS j FROM x WHERE NOT old),
+n AS (SELECT base, source, sha256, CASE WHEN third THEN j WHEN kept THEN j + CASE WHEN j >= 2 THEN 3 ELSE 1 END ELSE j + CASE WHEN j >= 3 THEN 2 ELSE 1 END END AS n FROM j)
+SELECT base || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS raw_path, source AS space, sha256, true AS is_new FROM n UNION ALL SELECT base || '.md', source, sha256, false FROM x WHERE old"""
 
 
 def c3(spark, d):

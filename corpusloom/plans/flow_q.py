@@ -28,7 +28,7 @@ def e11(spark, d):
     gold = made.groupBy("doc").agg(F.array_sort(F.collect_set("raw_path")).alias("raw_paths"), F.array_sort(F.collect_set("article_path")).alias("articles"))
     i = F.col("id")
     qa = _qa(spark, d).withColumn("gold_docs", F.when(F.size("gold_docs") > 0, F.array_distinct(F.array((i * 7 % 20).cast("string"), (i * 11 % 20).cast("string")))).otherwise(F.col("gold_docs")))
-    out = ex.evaluate(hits, made.select("article_path", "raw_path"), gold, qa, K, ["hash"]).join(cfg.select("hash", "bm25_k1"), "hash")
+    out = ex.evaluate(hits, made.select("article_path", "raw_path"), gold, qa, K, ["hash"], cfg).join(cfg.select("hash", "bm25_k1"), "hash")
     return _r(out.select("bm25_k1", "qid", "type", "split", "recall", "hit1", "mrr", "ndcg", "empty"), "recall", "mrr", "ndcg")
 
 
@@ -76,24 +76,30 @@ E15 = "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'"
 
 
 def c2(spark, d):
-    """Every document decides on the article of its ten: a third update it, a third dispute it, the rest are new; some
-    fall back to an article of their own."""
+    """Every document decides on the article of its ten: a third update it, a third dispute it, the rest are new (with one
+    title for each eight, so that paths collide); some fall back to an article of their own, some have no title at all."""
     k = F.col("doc_id")
-    t = table(spark, d, "documents").select(k, "text", F.lpad(k.cast("string"), 12, "0").alias("raw_path"))
+    t = table(spark, d, "documents").select(k, "text", "source", F.lpad(k.cast("string"), 12, "0").alias("raw_path"))
     decision = F.when(k % 3 == 0, "New").when(k % 3 == 1, "Update").otherwise("Disputed")
-    path = F.concat(F.lit("a/"), F.floor(k / 10), F.lit(".md"))
-    decisions = t.select("raw_path", decision.alias("decision"), path.alias("target"), F.lit("Topic A").alias("topic"), F.concat(F.lit("Title "), k).alias("title"), F.col("text").alias("body"), F.when(k % 7 == 0, "shrink").alias("reason"))
-    articles = t.select(path.alias("path")).distinct().select("path", F.lit("t").alias("title"), F.lit("old").alias("body"), F.array(F.lit("raw")).alias("sources"))
-    raw = t.select("raw_path", F.concat(F.lit("# Head "), k, F.lit("\n\n> Source: x\n\nrest "), k).alias("text"))
-    out = dx.apply_decisions(decisions, articles, raw)
-    return out.select("path", "title", F.sha2("body", 256).alias("body_sha"), F.array_join("sources", ",").alias("sources"))
-
-
-C2 = """WITH t AS (SELECT doc_id AS k, text, lpad(doc_id::VARCHAR, 12, '0') AS raw, 'a/' || (doc_id // 10) || '.md' AS path FROM documents), m AS (SELECT * FROM t WHERE k % 7 <> 0 AND k % 3 <> 0),
+    at = lambda n: F.concat(F.lit("a/"), n, F.lit(".md"))
+    path = at(F.floor(k / 10))
+    related = F.array(at(F.floor(k / 10) + 1), at(F.floor(k / 10)), F.lit("a/none.md"))
+    decisions = t.select("raw_path", decision.alias("decision"), path.alias("target"), F.lit("Topic A").alias("topic"), F.concat(F.lit("Title "), F.floor(k / 8)).alias("title"), F.col("text").alias("body"), related.alias("related"), F.when(k % 7 == 0, "shrink").when(k % 11 == 0, "refused-title").alias("reason"))
+    articles = t.select(path.alias("path")).distinct().select("path", F.lit("t").alias("title"), F.lit("old").alias("body"), F.array(F.lit("raw")).alias("sources"), F.array(F.lit("b/x.md")).alias("related"))
+    articles = articles.unionByName(spark.createDataFrame([("topic-a/title-0.md", "t", "old", ["raw"], [])], articles.schema))
+    raw = t.select("raw_path", F.concat(F.lit("# Head "), k, F.lit("\n\n> Source: x\n\nrest "), k).alias("text"), F.col("source").alias("space"))
+    candidates = t.select("raw_path", F.explode(F.array(path, at(F.floor(k / 10) + 1))).alias("path"))
+    out = dx.apply_decisions(decisions, articles, raw, candidates)
+    return out.select("path", "title", F.sha2("body", 256).alias("body_sha"), F.array_join("sources", ",").alias("sources"), F.array_join("related", ",").alias("related"))
+
+
+C2 = """WITH t AS (SELECT doc_id AS k, text, source, lpad(doc_id::VARCHAR, 12, '0') AS raw, 'a/' || (doc_id // 10) || '.md' AS path FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 <> 0), m AS (SELECT * FROM t WHERE k % 7 <> 0 AND k % 3 <> 0),
 u AS (SELECT path, max(raw) FILTER (WHERE k % 3 = 1) AS last FROM m GROUP BY 1),
-b AS (SELECT path, coalesce(max(coalesce(text, '')) FILTER (WHERE raw = last), 'old') || coalesce(string_agg(chr(10) || chr(10) || '## Disputed' || chr(10) || coalesce(text, '') || chr(10) || '(Source: ' || raw || ')', '' ORDER BY raw) FILTER (WHERE k % 3 = 2 AND (last IS NULL OR raw > last)), '') AS body, 'raw,' || string_agg(raw, ',' ORDER BY raw) AS sources FROM m JOIN u USING (path) GROUP BY 1)
-SELECT path, 't' AS title, sha256(body) AS body_sha, sources FROM b UNION ALL SELECT 'topic-a/title-' || k || '.md', 'Title ' || k, sha256(text), raw FROM t WHERE k % 3 = 0 AND k % 7 <> 0
-UNION ALL SELECT 'general/head-' || k || '.md', 'Head ' || k, sha256('rest ' || k), raw FROM t WHERE k % 7 = 0"""
+b AS (SELECT path, coalesce(max(coalesce(text, '')) FILTER (WHERE raw = last), 'old') || coalesce(string_agg(chr(10) || chr(10) || '## Disputed' || chr(10) || coalesce(text, '') || chr(10) || '(Source: ' || raw || ')', '' ORDER BY raw) FILTER (WHERE k % 3 = 2 AND (last IS NULL OR raw > last)), '') AS body, 'raw,' || string_agg(raw, ',' ORDER BY raw) AS sources, 'b/x.md,a/' || (max(k) // 10 + 1) || '.md' AS related FROM m JOIN u USING (path) GROUP BY 1),
+n AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'general/head-' || k ELSE 'topic-a/title-' || (k // 8) END AS base, 'a/' || (k // 10 + 1) || '.md,a/' || (k // 10) || '.md' AS rel FROM t WHERE k % 7 = 0 OR k % 3 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY raw) AS nth, base = 'topic-a/title-0' AS used FROM n), s AS (SELECT *, row_number() OVER (PARTITION BY base, source ORDER BY raw) AS j FROM o WHERE used OR nth > 1)
+SELECT path, 't' AS title, sha256(body) AS body_sha, sources, related FROM b
+UNION ALL SELECT coalesce(s.base || '-' || s.source || CASE WHEN j > 1 THEN '-' || j ELSE '' END, o.base) || '.md', CASE WHEN o.k % 7 = 0 THEN 'Head ' || o.k ELSE 'Title ' || (o.k // 8) END, sha256(CASE WHEN o.k % 7 = 0 THEN 'rest ' || o.k ELSE coalesce(o.text, '') END), o.raw, CASE WHEN o.k % 7 = 0 THEN '' ELSE o.rel END FROM o LEFT JOIN s ON s.raw = o.raw"""
 
 
 def f15(spark, d):

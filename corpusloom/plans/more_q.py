@@ -110,17 +110,18 @@ def c1(spark, d):
     decision = F.when(k % 4 == 0, "New").when(k % 4 == 1, "Update").when(k % 4 == 2, "Disputed").otherwise("No material")
     target = F.when(k % 3 == 0, F.lit("other.md")).otherwise(F.lit("c.md"))
     body = F.when(k % 5 == 0, "").when(k % 5 == 1, "short").otherwise("long enough body text")
-    reply = F.concat(F.lit("<think>{}</think> so: "), F.when(k % 11 == 0, "no json").otherwise(F.to_json(F.struct(decision.alias("decision"), target.alias("target"), F.lit("t").alias("topic"), F.lit("Title").alias("title"), body.alias("body")))))
+    reply = F.concat(F.lit("<think>{}</think> so: "), F.when(k % 11 == 0, "no json").otherwise(F.to_json(F.struct(decision.alias("decision"), target.alias("target"), F.lit("t").alias("topic"), F.when(k % 13 == 0, " ").otherwise("Title").alias("title"), body.alias("body")))))
     docs = table(spark, d, "documents")
     replies = docs.select(k.alias("raw_path"), reply.alias("reply"))
     cands = docs.select(k.alias("raw_path"), F.lit("c.md").alias("path"), F.lit("twenty characters ok").alias("body"))
     out = dx.validate_decisions(replies, cands, docs.select(k.alias("raw_path"), "text"))
-    return out.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("raw_path", "decision", "target", "title", F.length("body").alias("n_body"), "reason")
 
 
-C1 = """WITH r AS (SELECT doc_id AS k, text, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE ['New', 'Update', 'Disputed', 'No material'][doc_id % 4 + 1] END AS d FROM documents)
-SELECT d AS decision, CASE WHEN d IS NULL THEN 'invalid-reply' WHEN d IN ('Update', 'Disputed') AND k % 3 = 0 THEN 'bad-target' WHEN d = 'No material' AND len(regexp_extract_all(text, '[0-9]+')) >= 3 THEN 'no-material-with-data'
-WHEN d = 'Update' AND k % 5 = 0 THEN 'empty-body' WHEN d = 'Update' AND k % 5 = 1 THEN 'shrink' END AS reason, count(*) AS n FROM r GROUP BY 1, 2"""
+C1 = """WITH r AS (SELECT doc_id AS k, text, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE ['New', 'Update', 'Disputed', 'No material'][doc_id % 4 + 1] END AS d, CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 21 END AS b FROM documents)
+SELECT k AS raw_path, d AS decision, CASE WHEN d IS NOT NULL THEN CASE WHEN k % 3 = 0 THEN 'other.md' ELSE 'c.md' END END AS target, CASE WHEN d IS NOT NULL THEN CASE WHEN k % 13 = 0 THEN '' ELSE 'Title' END END AS title, CASE WHEN d IS NOT NULL THEN b END AS n_body,
+CASE WHEN d IS NULL THEN 'invalid-reply' WHEN d IN ('Update', 'Disputed') AND k % 3 = 0 THEN 'bad-target' WHEN d = 'No material' AND len(regexp_extract_all(text, '[0-9]+')) >= 3 THEN 'no-material-with-data' WHEN d = 'Update' AND b = 0 THEN 'empty-body'
+WHEN d = 'Update' AND k % 13 = 0 THEN 'empty-title' WHEN d = 'Update' AND b = 5 THEN 'shrink' WHEN d IN ('New', 'Disputed') AND b = 0 THEN 'refused-body' WHEN d = 'New' AND k % 13 = 0 THEN 'refused-title' END AS reason FROM r"""
 
 
 def j19(spark, d):

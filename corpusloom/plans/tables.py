@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.storage import scratch  # noqa: F401  the queries take it from here
+
 HELD = ["ASIA", "EUROPE", "AMERICA", "AFRICA"]
 
 
@@ -15,15 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that ``spark.checkpoint.dir`` names, or (in tests on one machine) a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text", F.col("lang").alias("space"))
 

@@ -89,12 +89,14 @@ SELECT * FROM e WHERE NOT (kind = 'email' AND ends_with(value, '.example') OR ki
 
 
 def f8(spark, d):
-    """Slugs of addresses, which are plain ASCII."""
-    return table(spark, d, "pages").select("page_id", tx.slugify("url").alias("slug"), tx.raw_slug("url").alias("short"))
+    """Slugs of addresses, which are plain ASCII, and of notes whose titles hold runs of hyphens and numbers."""
+    title = F.concat(F.lit(" Report - "), "page_id", F.lit(" --_ "), F.substring("url", 1, 45), F.lit(" & x "))
+    return table(spark, d, "pages").select("page_id", tx.slugify("url").alias("slug"), tx.raw_slug("url").alias("short"), tx.raw_slug(title).alias("raw"))
 
 
-F8 = """WITH s AS (SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '[^\\w-]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g') AS s FROM pages)
-SELECT page_id, CASE WHEN s = '' THEN 'untitled' ELSE left(s, 80) END AS slug, CASE WHEN s = '' THEN 'untitled' ELSE left(s, 60) END AS short FROM s"""
+F8 = """WITH s AS (SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '[^\\w-]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g') AS s, url AS u, ' Report - ' || page_id || ' --_ ' || left(url, 45) || ' & x ' AS t FROM pages),
+r AS (SELECT page_id, s, regexp_replace(left(regexp_replace(lower(regexp_replace(u, '[^\\w]+', '-', 'g')), '^[-_]+|[-_]+$', '', 'g'), 60), '[-_]+$', '') AS short, regexp_replace(left(regexp_replace(lower(regexp_replace(t, '[^\\w]+', '-', 'g')), '^[-_]+|[-_]+$', '', 'g'), 60), '[-_]+$', '') AS raw FROM s)
+SELECT page_id, CASE WHEN s = '' THEN 'untitled' ELSE left(s, 80) END AS slug, CASE WHEN short = '' THEN 'untitled' ELSE short END AS short, raw FROM r"""
 
 
 def f10(spark, d):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
+from corpusloom.operators.ordering import positions, running_sum
+from corpusloom.storage import saved
 
 EXTENSIONS = ("md", "txt", "eml", "docx", "xlsx", "pdf", "png", "jpg", "jpeg")
 MAX_BYTES = 50_000_000
@@ -230,26 +232,46 @@ def select_embeddings(emb: DataFrame, paths: DataFrame) -> DataFrame:
     return emb.join(paths.select("path").distinct(), "path", "left_semi")
 
 
+def _numbered(stems: DataFrame, stem: str = "stem") -> DataFrame:
+    """``stems`` with (base, n): a file's name is number 1 of itself and, if it ends in ``-n``, number n of what is before."""
+    whole, n = F.struct(F.col(stem).alias("base"), F.lit(1).cast("long").alias("n")), F.regexp_extract(stem, r"-([1-9][0-9]{0,17})$", 1)
+    parts = F.struct(F.regexp_extract(stem, r"^(.*)-[0-9]+$", 1).alias("base"), n.try_cast("long").alias("n"))
+    rows = stems.select("*", F.explode(F.array(whole, parts)).alias("_x"))
+    return rows.select(*stems.columns, "_x.base", "_x.n").where("base = stem or n > 1")
+
+
 def save_raw(parsed: DataFrame, existing: DataFrame, today: str) -> DataFrame:
     """raw_path, space, sha256, content, is_new of ``parsed(title, text, source_name, published, space)``.
 
-    A file is ``raw/<space>/<published or today>-<slug>[-n].md``.  Equal content of one space and base name is one record
-    (the existing one, if there is one); different content gets the next number.
+    A file is ``raw/<space>/<published or today>-<slug>[-n].md``: the first name that is free, counting up from the plain
+    one.  Content that a name before the first free one holds already is that record; equal content of one space and base
+    in ``parsed`` is one record.  New contents of a base take its free names in the order of their hash.  A name that is
+    the plain one of another file of ``parsed`` (``note-3`` beside ``note``) is kept for it.  Titles and source names are
+    one line; an empty title is read from the source name.
     """
+    line = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    title, source = line(F.col("title")), line(F.col("source_name"))
     date = F.coalesce("published", F.to_date(F.lit(today)))
-    head = F.concat(F.lit("# "), "title", F.lit("\n\n> Source: "), "source_name", F.lit("\n> Collected: "), F.lit(today), F.lit("\n> Published: "), F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("Unknown")), F.lit("\n\n"))
-    rows = parsed.withColumn("content", F.concat(head, "text", F.lit("\n"))).withColumn("sha256", F.sha2("content", 256))
-    rows = rows.withColumn("base", F.concat(F.lit("raw/"), "space", F.lit("/"), F.date_format(date, "yyyy-MM-dd"), F.lit("-"), tx.raw_slug("title")))
-    rows = rows.dropDuplicates(["space", "base", "sha256"])
-    old = existing.select("space", "sha256", F.col("raw_path").alias("old_path"), F.regexp_replace(F.regexp_replace("raw_path", r"\.md$", ""), r"^(raw/.*/\d{4}-\d{2}-\d{2}-.*?)(-\d+)?$", "$1").alias("base"))
-    same = rows.join(old.select("space", "sha256", "base", "old_path"), ["space", "sha256", "base"], "left")
-    top = old.groupBy("base").agg(F.count(F.lit(1)).alias("taken"))
-    fresh = same.where("old_path is null").join(top, "base", "left")
-    n = F.row_number().over(Window.partitionBy("base").orderBy("sha256")) + F.coalesce("taken", F.lit(0))
-    fresh = fresh.withColumn("n", n).withColumn("raw_path", F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(""), F.lit(".md")))
-    kept = same.where("old_path is not null").withColumn("raw_path", F.col("old_path"))
-    cols = ["raw_path", "space", "sha256", "content"]
-    return fresh.select(*cols, F.lit(True).alias("is_new")).unionByName(kept.select(*cols, F.lit(False).alias("is_new")))
+    head = F.concat(F.lit("# "), title, F.lit("\n\n> Source: "), source, F.lit("\n> Collected: "), F.lit(today), F.lit("\n> Published: "), F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("Unknown")), F.lit("\n\n"))
+    rows = parsed.withColumn("content", F.concat(head, F.coalesce("text", F.lit("")), F.lit("\n"))).withColumn("sha256", F.sha2("content", 256))
+    named = F.when(title != "", title).otherwise(F.regexp_replace(F.substring_index(source, "/", -1), r"(?<=.)\.[^.]*$", ""))
+    rows = rows.withColumn("base", F.concat(F.lit("raw/"), "space", F.lit("/"), F.date_format(date, "yyyy-MM-dd"), F.lit("-"), tx.raw_slug(named)))
+    rows = saved(rows.select("base", "sha256", "space", "content").dropDuplicates(["base", "sha256"]), "raw")
+    bases = rows.select("base").distinct()
+    old = _numbered(existing.select("sha256", F.regexp_replace("raw_path", r"\.md$", "").alias("stem")))
+    kept_names = _numbered(bases.select(F.col("base").alias("stem"), F.lit(None).cast("string").alias("sha256"))).where("n > 1")
+    taken = old.select("base", "n", "sha256").unionByName(kept_names.select("base", "n", "sha256")).join(bases, "base", "left_semi").groupBy("base", "n").agg(F.max("sha256").alias("sha256"))
+    taken = saved(positions(taken, ["base"], ["n"], "rank").withColumn("free", F.col("n") - F.col("rank")), "taken")
+    same = taken.where("free = 0 and sha256 is not null").groupBy("base", "sha256").agg(F.min("n").alias("held"))
+    found = rows.select("base", "sha256").join(same, ["base", "sha256"], "left")
+    # the j-th new row takes the j-th free number: j and the numbers that are taken before it
+    fresh = positions(found.where("held is null").select("base", "sha256"), ["base"], ["sha256"], "j")
+    runs = taken.groupBy("base", "free").agg(F.count(F.lit(1)).alias("c")).select("base", (2 * F.col("free") + 1).alias("at"), "c", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("long").alias("j"))
+    both = running_sum(runs.unionByName(fresh.select("base", (2 * F.col("j")).alias("at"), F.lit(0).cast("long").alias("c"), "sha256", "j")), ["base"], ["at"], F.col("c"), "before")
+    new = both.where("j is not null").select("base", "sha256", (F.col("j") + F.col("before")).alias("n"), F.lit(True).alias("is_new"))
+    done = new.unionByName(found.where("held is not null").select("base", "sha256", F.col("held").alias("n"), F.lit(False).alias("is_new")))
+    path = F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(""), F.lit(".md"))
+    return rows.join(done, ["base", "sha256"]).select(path.alias("raw_path"), "space", "sha256", "content", "is_new")
 
 
 def render_articles(articles: DataFrame, titles: DataFrame) -> DataFrame:

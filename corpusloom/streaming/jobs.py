@@ -75,9 +75,10 @@ def dedup_stream(stream: DataFrame, horizon: str = "7 days", ts: str = "ts") ->
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["space", "sha256"])
 
 
-def archive_outcome(results: DataFrame, path: str) -> None:
-    """Outcome rows by status; masked originals leave a hash behind, not their content."""
-    results.drop("content").write.mode("append").partitionBy("status").parquet(path)
+def archive_outcome(results: DataFrame, path: str, batch: int = 0) -> None:
+    """Outcome rows by status; masked originals leave a hash behind, not their content.  A batch has a folder of its own,
+    which is replaced when the batch is repeated."""
+    results.drop("content").write.mode("overwrite").partitionBy("status").parquet(f"{path}/batch={batch}")
 
 
 # --- folds --------------------------------------------------------------------------------------------------------
