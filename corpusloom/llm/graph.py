@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import saved
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the smallest of its neighbourhood."""
-    both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+def _large_star(edges: DataFrame, salts: int = 64) -> DataFrame:
+    """Every larger neighbour of a node is tied to the smallest of its neighbourhood.
+
+    A node may have any number of neighbours: they are summed up in salted parts, and meet their node's least through these.
+    """
+    both = edges.union(edges.select("v", "u")).toDF("u", "v").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    parts = both.groupBy("u", "salt").agg(F.min("v").alias("least"))
+    least = parts.groupBy("u").agg(F.least(F.col("u"), F.min("least")).alias("m"))
+    named = parts.select("u", "salt").join(least, "u")
+    return both.where("v > u").join(named, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

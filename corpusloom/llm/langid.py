@@ -109,6 +109,15 @@ class Model:
         at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(docs)), np.int64, int(lengths.sum()))
         return flat_marginals(self.table[at].astype(np.float64), lengths, self.trans, self.start), lengths
 
+    def known(self, docs: list[list[str]], least: float, words: int) -> np.ndarray:
+        """Whether documents have words, and (from ``words`` on) words that are of one of the languages each: the mean of
+        every word's largest posterior is ``least`` at least.  Code-switched words are certain, too, each in its language."""
+        post, lengths = self.posteriors(docs)
+        certain, some = np.ones(len(docs)), np.flatnonzero(lengths)
+        if len(some):
+            certain[some] = np.add.reduceat(post.max(axis=1), (np.cumsum(lengths) - lengths)[some]) / lengths[some]
+        return (lengths > 0) & ((lengths < words) | (certain >= least))
+
     def label(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(label, mean posterior of it, words, words of another label) of each document; no words: label -1."""
         post, lengths = self.posteriors(docs)
@@ -124,12 +133,18 @@ class Model:
         return label, score, lengths, switched
 
 
-def training_rows(docs: DataFrame, per_language: int) -> list:
-    """At most ``per_language`` labelled texts of each language, those with the least hash of their id."""
-    labelled = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2) & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", F.lit("langid")).alias("h"))
-    best = Window.partitionBy("lang").orderBy("h", "text")
-    picked = labelled.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_language)
-    return picked.orderBy("lang", "r").select("lang", "text").collect()
+def training_rows(docs: DataFrame, per_language: int, salts: int = 64) -> list:
+    """At most ``per_language`` labelled texts of each language, those with the least hash of their id.
+
+    Hashes are picked first, by language and salt and then by language; texts are read for the picked ones alone.  Rows
+    that repeat an id and its text are one.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2) & F.col("text").isNotNull())
+    labelled = labelled.select("lang", "text", F.xxhash64("doc_id", F.lit("langid")).alias("h"), F.xxhash64("text").alias("t"))
+    first = lambda rows, *by: rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "t"))).where(F.col("r") <= per_language)
+    picked = first(first(labelled.select("lang", "h", "t", F.pmod("t", F.lit(salts)).alias("salt")).distinct(), "lang", "salt").drop("r"), "lang").select("lang", "h", "t")
+    rows = labelled.join(F.broadcast(picked), ["lang", "h", "t"], "left_semi").dropDuplicates(["lang", "h", "t"])  # as many as are asked for
+    return rows.orderBy("lang", "h", "t").select("lang", "text").collect()
 
 
 def fit(docs: DataFrame, per_language: int = 250, buckets: int = BUCKETS, seed: int = 5) -> Model | None:
@@ -187,8 +202,9 @@ def identify(docs: DataFrame, model: Model | None, step: int = 256) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long, n_switched long")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, step: int = 256) -> DataFrame:
-    """The rows of ``docs`` but those with nothing to identify: null texts and texts without letters, with or without a model."""
+def keep_identified(docs: DataFrame, model: Model | None, step: int = 256, least: float = 0.6, words: int = 3) -> DataFrame:
+    """The rows of ``docs`` but those without a language: null texts, texts without letters, and texts of ``words`` words
+    and more whose words are of no learned language (mean certainty under ``least``; without a model nothing is)."""
     small_batches(docs.sparkSession)
     known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
@@ -198,8 +214,8 @@ def keep_identified(docs: DataFrame, model: Model | None, step: int = 256) -> Da
         for batch in batches:
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                words = [words_of(t) for t in part.column(at).to_pylist()]
-                kept = m.label(words)[0] >= 0 if m else [bool(w) for w in words]
+                found = [words_of(t) for t in part.column(at).to_pylist()]
+                kept = m.known(found, least, words) if m else [bool(w) for w in found]
                 yield part.filter(pa.array(kept, pa.bool_()))
         release_memory()
 

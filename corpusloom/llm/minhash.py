@@ -25,12 +25,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drop_worker_cache, new_name, saved, small_batches, table
+from corpusloom.llm.common import drop_worker_cache, new_name, saved, small_batches, summed, table
 from corpusloom.llm.graph import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -153,13 +152,11 @@ def _counts(sets: DataFrame, cells: int, slices: int = 32) -> np.ndarray:
             for x in batch.column(0).to_pylist():
                 total += np.bincount((np.frombuffer(x, np.uint64) % np.uint64(cells)).astype(np.int64), minlength=cells)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in np.split(total, slices)], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in np.split(total, slices)], pa.binary())], names=["slice", "total"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [sum(np.frombuffer(c, np.int64) for c in pdf["counts"]).tobytes()]})
-
-    parts = sets.select("shingles").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["slice"])]) if parts else np.zeros(cells, np.int64)
+    own = sets.select("shingles").mapInArrow(count, "slice int, total binary")
+    parts = summed(own, lambda b: np.frombuffer(bytes(b), np.int64), lambda v: v.tobytes(), ("slice",)).collect()
+    return np.concatenate([np.frombuffer(r["total"], np.int64) for r in sorted(parts, key=lambda r: r["slice"])]) if parts else np.zeros(cells, np.int64)
 
 
 def _prefix_pairs(apart: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:

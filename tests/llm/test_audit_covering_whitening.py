@@ -233,3 +233,30 @@ def test_op13_edges(spark):
     assert whitening.numerators(big, n, s).tolist() == [[18 * int(c) - t for c, t in zip(row, s)] for row in big]
     with pytest.raises(ValueError):
         whitening.whiten(made(rows), weights="other")
+
+
+# --- what the stages of the pipeline keep ---------------------------------------------------------------------------
+
+
+def test_language_stage_follows_the_model(spark):
+    """Words decide: text of no learned language goes, whatever its label; code-switched and short texts stay."""
+    from corpusloom.llm import langid
+
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs)
+    long = {r.lang: r.text for r in docs.where("length(text) between 800 and 4000").orderBy("doc_id").collect()}
+    mixed = " ".join(w for t in zip(*(long[x].split()[:60] for x in sorted(long))) for w in t)
+    rows = [(1, "Это русский текст, он написан кириллицей и ни на одном из языков"), (2, "这是一个 中文句子 没有空格 也没有字母"), (3, mixed), (4, "De."), (5, None), (6, "12 34"), *((10 + i, t) for i, t in enumerate(long.values()))]
+    kept = {r.doc_id for r in langid.keep_identified(docs_of(spark, rows), model).collect()}
+    assert kept == {3, 4, *range(10, 10 + len(long))}
+    assert {r.doc_id for r in langid.keep_identified(docs_of(spark, rows), None).collect()} == {i for i, _ in rows} - {5, 6}
+
+
+def test_training_rows_are_picked_by_hash(spark):
+    from corpusloom.llm import langid
+
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    got = langid.training_rows(docs.union(docs.limit(50)), 7, salts=3)
+    hashed = docs.where("lang is not null and text is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").selectExpr("lang", "text", "xxhash64(doc_id, 'langid') as h").collect()
+    want = [(lang, r.text) for lang in sorted({r.lang for r in hashed}) for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:7]]
+    assert [(r.lang, r.text) for r in got] == want
