@@ -1,4 +1,10 @@
-"""The training-data pipeline over ``documents``: each stage reads what the one before it wrote."""
+"""The training-data pipeline over ``documents``: each stage reads what the one before it wrote.
+
+Defined results, stage by stage: rows with null or empty texts, or texts in no language, go with the first; rows without
+doc_id pass near-duplicate removal and decontamination (they are no node, and nothing is asked of their id); of rows that
+repeat a doc_id one stays, and of documents alike the one with the least doc_id; a table without rows gives no rows; columns
+beside those of ``documents`` are carried up to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from corpusloom.llm.common import saved, scratch_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: null texts and texts without letters go."""
+    """Language ID: null texts, texts without letters and texts whose words are of no learned language go."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
