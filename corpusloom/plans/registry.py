@@ -6,10 +6,10 @@ tables of that folder.
 
 from __future__ import annotations
 
-from corpusloom.plans import access_q, corpus_q, eval_q, flow_q, more_q, report_q, search_q, text_q
+from corpusloom.plans import access_q, corpus_q, eval_q, flow_q, more_q, report_q, search_q, stream_q, text_q
 
 _ALL = {}
-for _module in (access_q, text_q, search_q, report_q, corpus_q, eval_q, more_q, flow_q):
+for _module in (access_q, text_q, search_q, report_q, corpus_q, eval_q, more_q, flow_q, stream_q):
     _ALL |= _module.QUERIES
 
 

@@ -139,18 +139,6 @@ g AS (SELECT path, count(*) FILTER (WHERE o = 'error') AS attempts, arg_max(o, s
 SELECT path, CASE WHEN last = 'ok' THEN 'done' WHEN attempts >= 3 THEN 'exhausted' WHEN last = 'error' THEN 'failed' ELSE 'new' END AS status, attempts FROM g"""
 
 
-def t6(spark, d):
-    """Refused logins and reads: one a minute of each kind is kept."""
-    a = audit(spark, d).where("action in ('login_failed', 'read_denied')").withColumn("target", F.lit("-"))
-    return sj.coalesce_repeats(a, window=3600.0 * 24).groupBy("repeats").agg(F.count(F.lit(1)).alias("n"))
-
-
-T6 = f"""WITH RECURSIVE {AUDIT_SQL}, o AS (SELECT user_id, action, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, action ORDER BY ts, id) AS k FROM audit WHERE action IN ('login_failed', 'read_denied')),
-s(user_id, action, k, since, hidden, kept) AS (SELECT user_id, action, k, t, 0, 0 FROM o WHERE k = 1
-UNION ALL SELECT o.user_id, o.action, o.k, CASE WHEN t - since < 86400000000 THEN since ELSE t END, CASE WHEN t - since < 86400000000 THEN hidden + 1 ELSE 0 END, CASE WHEN t - since < 86400000000 THEN NULL ELSE hidden END FROM s JOIN o ON o.user_id = s.user_id AND o.action = s.action AND o.k = s.k + 1)
-SELECT CAST(kept AS BIGINT) AS repeats, count(*) AS n FROM s WHERE kept IS NOT NULL GROUP BY 1"""
-
-
 def t7(spark, d):
     return sj.sessionize(table(spark, d, "events").select("user_id", "ts"), 6 * 3600, None).select("user_id", F.col("session").cast("long").alias("session"), "n")
 
@@ -172,5 +160,5 @@ SELECT user_id, CAST(session AS INT) AS session, count(*) AS n FROM s GROUP BY 1
 QUERIES = {
     "a1_feedback_report": (a1, A1), "a2_gaps_report": (a2, A2), "a3_usage_stats": (a3, A3), "a4_audit_entries": (a4, A4), "a5_audit_retention": (a5, A5), "a6_ingest_summary": (a6, A6), "a7_job_status": (a7, A7),
     "a9_latency_stats": (a9, A9), "a14_sensitivity": (a14, A14), "a15_dataset_counts": (a15, A15), "a16_thread_rollup": (a16, A16), "w5_best_records": (w5, W5), "t4_stable_files": (t4, T4), "t5_retry_ledger": (t5, T5),
-    "t6_coalesce_repeats": (t6, T6), "t7_sessionize": (t7, T7), "t7_sessionize_capped": (t7_cap, T7_CAP),
+    "t7_sessionize": (t7, T7), "t7_sessionize_capped": (t7_cap, T7_CAP),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.ordering import positions, running_sum
+from corpusloom.sources.extract import decode
 from corpusloom.storage import saved
 
 EXTENSIONS = ("md", "txt", "eml", "docx", "xlsx", "pdf", "png", "jpg", "jpeg")
@@ -66,24 +67,9 @@ def corpus_files(spark: SparkSession, root: str) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def decode_bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """By byte-order mark, else UTF-8, else CP949, else UTF-8 with replacements; CRLF to LF, trimmed."""
-    import codecs
-
-    marks = [(codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")]
-
-    def decode(data):
-        if data is None:
-            return None
-        data = bytes(data)
-        for name in [n for mark, n in marks if data.startswith(mark)][:1] or ["utf-8", "cp949"]:
-            try:
-                return data.decode(name).replace("\r\n", "\n").strip()
-            except UnicodeDecodeError:
-                continue
-        return data.decode("utf-8", "replace").replace("\r\n", "\n").strip()
-
+    """Bytes as text: see ``extract.decode``."""
     for s in parts:
-        yield s.map(decode)
+        yield s.map(lambda data: None if data is None else decode(bytes(data)))
 
 
 def read_text_docs(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -240,6 +226,28 @@ def _numbered(stems: DataFrame, stem: str = "stem") -> DataFrame:
     return rows.select(*stems.columns, "_x.base", "_x.n").where("base = stem or n > 1")
 
 
+def _line(name: str) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)\s+", " "))
+
+
+def raw_base(today: str) -> Column:
+    """The name of a record before its number, of title, source_name, published and space."""
+    title, source = _line("title"), _line("source_name")
+    named = F.when(title != "", title).otherwise(F.regexp_replace(F.substring_index(source, "/", -1), r"(?<=.)\.[^.]*$", ""))
+    return F.concat(F.lit("raw/"), "space", F.lit("/"), F.date_format(F.coalesce("published", F.to_date(F.lit(today))), "yyyy-MM-dd"), F.lit("-"), tx.raw_slug(named))
+
+
+def raw_content(today: str) -> Column:
+    """A record's text: a head of title, source and dates, then the text."""
+    published = F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("Unknown"))
+    return F.concat(F.lit("# "), _line("title"), F.lit("\n\n> Source: "), _line("source_name"), F.lit("\n> Collected: "), F.lit(today), F.lit("\n> Published: "), published, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+
+
+def raw_root(stem: Column | str) -> Column:
+    """What all numbered names of a base have in common: nothing but their numbers tells names of one root apart."""
+    return F.regexp_replace(F.regexp_replace(F.col(stem) if isinstance(stem, str) else stem, r"\.md$", ""), r"(-[0-9]+)+$", "")
+
+
 def save_raw(parsed: DataFrame, existing: DataFrame, today: str) -> DataFrame:
     """raw_path, space, sha256, content, is_new of ``parsed(title, text, source_name, published, space)``.
 
@@ -249,13 +257,8 @@ def save_raw(parsed: DataFrame, existing: DataFrame, today: str) -> DataFrame:
     the plain one of another file of ``parsed`` (``note-3`` beside ``note``) is kept for it.  Titles and source names are
     one line; an empty title is read from the source name.
     """
-    line = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
-    title, source = line(F.col("title")), line(F.col("source_name"))
-    date = F.coalesce("published", F.to_date(F.lit(today)))
-    head = F.concat(F.lit("# "), title, F.lit("\n\n> Source: "), source, F.lit("\n> Collected: "), F.lit(today), F.lit("\n> Published: "), F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("Unknown")), F.lit("\n\n"))
-    rows = parsed.withColumn("content", F.concat(head, F.coalesce("text", F.lit("")), F.lit("\n"))).withColumn("sha256", F.sha2("content", 256))
-    named = F.when(title != "", title).otherwise(F.regexp_replace(F.substring_index(source, "/", -1), r"(?<=.)\.[^.]*$", ""))
-    rows = rows.withColumn("base", F.concat(F.lit("raw/"), "space", F.lit("/"), F.date_format(date, "yyyy-MM-dd"), F.lit("-"), tx.raw_slug(named)))
+    rows = parsed.withColumn("content", raw_content(today)).withColumn("sha256", F.sha2("content", 256))
+    rows = rows.withColumn("base", raw_base(today))
     rows = saved(rows.select("base", "sha256", "space", "content").dropDuplicates(["base", "sha256"]), "raw")
     bases = rows.select("base").distinct()
     old = _numbered(existing.select("sha256", F.regexp_replace("raw_path", r"\.md$", "").alias("stem")))

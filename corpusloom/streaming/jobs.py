@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import datetime
+from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.functions import pii
 from corpusloom.functions import text as tx
-from corpusloom.operators.access import already_ingested
 from corpusloom.sources import files as src
+from corpusloom.sources.extract import EXTRACTORS, extracted
+from corpusloom.storage import saved
+from corpusloom.streaming import ledger as ledgers
+from corpusloom.streaming import stateful
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -29,45 +31,72 @@ def file_stream(spark: SparkSession, root: str, max_files: int = 500, clean: str
     return reader.load(root)
 
 
-def prepare_batch(batch: DataFrame, root: str, mask: bool = True) -> DataFrame:
-    """path, space, title, text, sha256, error of a batch of files: a bad file is a row with an error, never a failure."""
-    rows = batch.select(src._relative(root, F.col("path")).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), src.decode_bytes("content").alias("text"))
+def prepare_batch(batch: DataFrame, root: str = "", mask: bool = True, extractors: Mapping[str, Callable] = EXTRACTORS) -> DataFrame:
+    """path, part, parent, space, source_name, title, text, published, sha256, error of a batch of files ``(path, length,
+    content)``: a row for each part of a file (a mail's body, then its attachments), with the file's hash; what is bad is a
+    row with an error, never a failure."""
+    rows = batch.select(src._relative(root, F.col("path")).alias("path") if root else F.col("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
     parts = F.split("path", "/")
     space = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"))
     name = F.element_at(parts, -1)
-    error = F.when(~tx.valid_space(space), "location").when(~tx.valid_filename(name), "bad-name").when(F.col("size") > src.MAX_BYTES, "too-large").when(F.coalesce("text", F.lit("")) == "", "unreadable").when(F.contains("text", F.lit("\x00")), "corrupt")
-    rows = rows.withColumn("space", space).withColumn("error", error)
-    heading = F.trim(F.regexp_extract("text", r"(?m)^#\s+(.+?)\s*#*\s*$", 1))
-    rows = rows.withColumn("title", F.when(heading != "", heading).otherwise(F.regexp_replace(name, r"\.[^.]*$", "")))
+    error = F.when(~F.coalesce(tx.valid_space(space), F.lit(False)), "location").when(~tx.valid_filename(name), "bad-name").when(F.col("size") > src.MAX_BYTES, "too-large")
+    rows = rows.withColumn("space", space).withColumn("bad", error)
+    rows = extracted(rows.withColumn("content", F.when(F.col("bad").isNull(), F.col("content"))), extractors)
+    error = F.coalesce("bad", "error", F.when(F.contains("text", F.lit("\x00")), "corrupt"))
+    rows = rows.select("path", "part", "parent", "space", F.element_at(F.split("name", "/"), -1).alias("source_name"), "title", "text", F.to_date("published").alias("published"), "sha256", error.alias("error"))
     if mask:
-        rows = rows.withColumn("text", pii.pii_mask("text")["text"]).withColumn("title", pii.mask_one_line("title")["text"])
-    return rows.select("path", "space", "title", "text", "sha256", "error")
+        rows = rows.withColumn("text", pii.pii_mask("text")["text"]).withColumn("title", pii.mask_one_line("title")["text"]).withColumn("source_name", pii.mask_one_line("source_name")["text"])
+    return rows
 
 
-def stream_ingest(spark: SparkSession, root: str, ledger_path: str, out_path: str, checkpoint: str, mask: bool = True, max_files: int = 500) -> StreamingQuery:
-    """Files to documents, each (space, sha256) once for ever; batches are written under their number, so a batch that
-    is repeated after a failure replaces what it wrote."""
+OUTCOME = "path string, part int, space string, title string, text string, published date, sha256 string, raw_path string, parent_raw string, status string, error string"
 
-    def take(batch: DataFrame, number: int) -> None:
-        rows = prepare_batch(batch, root, mask).withColumn("raw_path", F.concat(F.lit("raw/"), "path"))
-        schema = "space string, sha256 string, raw_path string, batch int"
-        ledger = spark.read.schema(schema).option("basePath", ledger_path).parquet(ledger_path) if _exists(spark, ledger_path) else spark.createDataFrame([], schema)
-        ledger = ledger.where(F.col("batch") != number).select("space", "sha256")
-        marked = already_ingested(rows.where("error is null"), ledger, ledger.limit(0))
-        done = marked.where("not duplicate").drop("duplicate")
-        failed = rows.where("error is not null")
-        outcome = done.withColumn("status", F.lit("done")).unionByName(failed.withColumn("status", F.lit("failed"))).unionByName(marked.where("duplicate").drop("duplicate").withColumn("status", F.lit("duplicate")))
-        outcome.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        # what is remembered is read from what was written
-        written = spark.read.parquet(f"{out_path}/batch={number}").where("status = 'done'")
-        written.select("space", "sha256", "raw_path").write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
-    return file_stream(spark, root, max_files).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_batch(batch: DataFrame, number: int, root: str, ledger: str, names: str, out: str, today: str, mask: bool = True, extractors: Mapping[str, Callable] = EXTRACTORS) -> None:
+    """Files to numbered records, each (space, file hash) once for ever.
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    ``out/batch=…`` gets a row for each part with its outcome (done, duplicate, failed); ``ledger`` remembers files,
+    ``names`` the names of records.  Both are read by the prefixes of the batch alone, and everything that the batch
+    writes is replaced if it is repeated.
+    """
+    spark = batch.sparkSession
+    files = batch.select(src._relative(root, F.col("path")).alias("path") if root else F.col("path"), F.col("length").alias("size"), "content")
+    keys = saved(files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("space"), F.sha2("content", 256).alias("sha256"), ledgers.prefix(F.sha2("content", 256)).alias("prefix")), "batch-files")
+    seen = ledgers.remembered(spark, ledger, "space string, sha256 string, raw_path string", keys, number)
+    marked = ledgers.first_seen(keys, seen, ["space", "sha256"], "path").select("path", "duplicate")
+    fresh = files.join(marked.where("not duplicate").select("path"), "path", "left_semi").withColumnRenamed("size", "length")
+    parts = saved(prepare_batch(fresh, "", mask, extractors), "batch-parts")
+    good = parts.where("error is null").withColumn("base", src.raw_base(today))
+    held = good.select(ledgers.prefix(F.sha2(src.raw_root("base"), 256)).alias("prefix"))
+    taken = ledgers.remembered(spark, names, "raw_path string, space string, sha256 string", held, number)
+    records = saved(src.save_raw(good.select("title", "text", "source_name", "published", "space"), taken, today), "batch-records")
+    # a record's name is made of what its content holds, so space and content tell records apart
+    kept = records.select("raw_path", "space", F.col("sha256").alias("record"))
+    placed = good.withColumn("record", F.sha2(src.raw_content(today), 256)).join(kept, ["space", "record"])
+    mother = placed.where("part = 0").select("path", F.col("raw_path").alias("parent_raw"))
+    placed = placed.join(mother, "path", "left").withColumn("parent_raw", F.when(F.col("part") > 0, F.col("parent_raw")))
+    cols = [F.col(c.split()[0]) for c in OUTCOME.split(", ")]
+    none = F.lit(None).cast("string")
+    done = placed.withColumn("status", F.lit("done")).select(*cols)
+    failed = parts.where("error is not null").withColumn("raw_path", none).withColumn("parent_raw", none).withColumn("status", F.lit("failed")).select(*cols)
+    again = keys.join(marked.where("duplicate").select("path"), "path", "left_semi").select("path", F.lit(0).alias("part"), "space", none.alias("title"), none.alias("text"), F.lit(None).cast("date").alias("published"), "sha256", none.alias("raw_path"), none.alias("parent_raw"), F.lit("duplicate").alias("status"), none.alias("error"))
+    done.unionByName(failed).unionByName(again).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    # what is remembered is read from what was written
+    written = spark.read.schema(OUTCOME).parquet(f"{out}/batch={number}").where("status = 'done'")
+    ledgers.remember(records.where("is_new").select("raw_path", "space", "sha256", ledgers.prefix(F.sha2(src.raw_root("raw_path"), 256)).alias("prefix")), names, number)
+    ledgers.remember(written.where("part = 0").select("space", "sha256", "raw_path", ledgers.prefix("sha256").alias("prefix")), ledger, number)
+
+
+def ingest_stream(stream: DataFrame, root: str, ledger: str, names: str, out: str, checkpoint: str, today: str, mask: bool = True, extractors: Mapping[str, Callable] = EXTRACTORS) -> StreamingQuery:
+    """``ingest_batch`` over a stream of files ``(path, length, content)``: of a folder, or packed in tables."""
+    take = lambda batch, number: ingest_batch(batch, number, root, ledger, names, out, today, mask, extractors)
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_ingest(spark: SparkSession, root: str, ledger_path: str, out_path: str, checkpoint: str, mask: bool = True, max_files: int = 500, today: str | None = None) -> StreamingQuery:
+    """Files below a folder to documents, as ``ingest_stream``; names are remembered beside the ledger."""
+    today = today or datetime.date.today().isoformat()
+    return ingest_stream(file_stream(spark, root, max_files), root, ledger_path, f"{ledger_path}-names", out_path, checkpoint, today, mask)
 
 
 def dedup_stream(stream: DataFrame, horizon: str = "7 days", ts: str = "ts") -> DataFrame:
@@ -84,14 +113,18 @@ def archive_outcome(results: DataFrame, path: str, batch: int = 0) -> None:
 # --- folds --------------------------------------------------------------------------------------------------------
 
 
-def stable_files(obs: DataFrame, min_age: float = 0.0, locked_max: int = 60) -> DataFrame:
+def stable_files(obs: DataFrame, min_age: float = 0.0, locked_max: int = 60, forget: float | None = None) -> DataFrame:
     """path, status (ready, waiting, locked, given-up) at the last scan of ``obs(path, scan_ts, size, mtime_ns, locked)``.
 
     Ready: size and mtime as at the scan before and old enough (both only if ``min_age`` is positive).  A file that is
-    locked with one signature for ``locked_max`` scans in a row is given up; another signature starts the count anew.
+    locked with one signature for ``locked_max`` scans in a row is given up; another signature starts the count anew, and
+    so does a scan that comes over ``forget`` seconds after the one before.
     """
     order = Window.partitionBy("path").orderBy("scan_ts")
     same = (F.lag("size").over(order) == F.col("size")) & (F.lag("mtime_ns").over(order) == F.col("mtime_ns"))
+    if forget is not None:
+        t = F.unix_micros(F.col("scan_ts").cast("timestamp"))
+        same = same & (t - F.lag(t).over(order) <= round(forget * 1e6))
     run = F.sum((~F.coalesce(same & F.lag("locked").over(order) & F.col("locked"), F.lit(False))).cast("int")).over(order)
     rows = obs.withColumn("same", F.coalesce(same, F.lit(False))).withColumn("run", run)
     rows = rows.withColumn("locks", F.count_if("locked").over(Window.partitionBy("path", "run").orderBy("scan_ts").rowsBetween(Window.unboundedPreceding, 0)))
@@ -140,40 +173,36 @@ def _fold_sorted(rows: DataFrame, key: list[str], order: list, step: Callable, n
 COALESCED = ("login_failed", "read_denied")
 
 
-def coalesce_repeats(audit: DataFrame, actions: tuple[str, ...] = COALESCED, window: float = 60.0) -> DataFrame:
+def coalesce_repeats(audit: DataFrame, actions: tuple[str, ...] = COALESCED, window: float = 60.0, forget: float | None = None) -> DataFrame:
     """id, repeats of the events that are kept of ``audit(id, ts, user_id, action, target)``.
 
     A repeat of one (user, action, target) within ``window`` seconds of the kept event is suppressed; the next kept one
-    reports how many were.  Other actions are all kept.
+    reports how many were, if it comes within ``forget`` seconds of the kept one before.  Other actions are all kept.
     """
     def step(t: int | None, state: tuple | None) -> tuple[tuple, int | None]:
         since, hidden = state or (None, 0)
         if since is not None and t is not None and t - since < window * 1e6:
             return (since, hidden + 1), None
-        return (t, 0), hidden
+        known = since is not None and t is not None and (forget is None or t - since <= forget * 1e6)
+        return (t, 0), hidden if known or forget is None else 0
 
     some = audit.where(F.col("action").isin(*actions)).select("user_id", "action", "target", F.col("id").cast("long").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     some = _fold_sorted(some, ["user_id", "action", "target"], [F.col("t").asc_nulls_last(), "id"], step, "repeats").where("repeats is not null").select("id", "repeats")
     return audit.where(~F.col("action").isin(*actions)).select("id", F.lit(0).cast("long").alias("repeats")).unionByName(some)
 
 
-def coalesce_repeats_stream(audit: DataFrame, window: float = 60.0) -> DataFrame:
-    """The same as a stream over events in order: state is the kept event's time and the number suppressed since."""
-    def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, hidden = state.get if state.exists else (None, 0)
-        kept = []
-        for pdf in parts:
-            for r in pdf.sort_values(["ts", "id"]).itertuples():
-                at = r.ts.timestamp()
-                if since is not None and at - since < window:
-                    hidden += 1
-                    continue
-                kept.append((r.id, hidden))
-                since, hidden = at, 0
-        state.update((since, hidden))
-        yield pd.DataFrame(kept, columns=["id", "repeats"])
-
-    return audit.groupBy("user_id", "action", "target").applyInPandasWithState(fold, "id long, repeats long", "since double, hidden long", "append", GroupStateTimeout.NoTimeout)
+def coalesced_audit(audit: DataFrame, actions: tuple[str, ...] = COALESCED, window: float = 60.0, forget: float | None = None) -> DataFrame:
+    """id, ts, user_id, action, target, detail, repeats of the rows that are kept: strings cut (and compared as cut), the
+    number of suppressed repeats at the end of the detail."""
+    rows = stateful.audit_rows(audit)
+    kept = coalesce_repeats(rows, actions, window, forget)
+    return rows.join(kept, "id").withColumn("detail", stateful.noted()).select(*rows.columns, "repeats")
+
+
+def coalesce_repeats_stream(audit: DataFrame, window: float = 60.0, forget: float = stateful.FORGET, delay: str = "10 minutes") -> DataFrame:
+    """id, repeats as a stream of the coalesced actions: see ``stateful.coalesced_audit_stream``."""
+    audit = audit if "detail" in audit.columns else audit.withColumn("detail", F.lit(""))
+    return stateful.coalesced_audit_stream(audit.where(F.col("action").isin(*COALESCED)), COALESCED, window, forget, delay).select("id", "repeats")
 
 
 def sessionize(events: DataFrame, idle: int = 1800, absolute: int | None = 28800) -> DataFrame:

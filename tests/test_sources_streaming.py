@@ -126,8 +126,10 @@ def test_repeats_batch_is_stream(spark, tmp_path):
     schema = "id long, ts timestamp, user_id long, action string, target string"
     want = [(0, 0), (3, 2), (5, 1), (6, 0), (7, 0)]
     assert sorted(map(tuple, sj.coalesce_repeats(spark.createDataFrame(EVENTS, schema)).collect())) == want
+    # a later event moves the clock past the others
+    beat = (99, datetime.datetime(2026, 1, 2), 9, "login_failed", "t")
     for i in range(0, 8, 3):
-        spark.createDataFrame(EVENTS[i : i + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+        spark.createDataFrame(EVENTS[i : i + 3] + [beat] * (i == 6), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev"))
     got = sj.run_to_memory(sj.coalesce_repeats_stream(stream), "repeats", str(tmp_path / "cp"))
     assert sorted(map(tuple, got.collect())) == want
