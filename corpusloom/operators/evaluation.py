@@ -14,6 +14,7 @@ from corpusloom.functions import vectors as vx
 from corpusloom.operators import reports
 from corpusloom.operators import search as sx
 from corpusloom.operators.access import attachments_of
+from corpusloom.operators.postings import Index, bm25_lists, build_index
 
 
 def gold_map(files: DataFrame, ledger: DataFrame, sources: DataFrame) -> DataFrame:
@@ -152,30 +153,11 @@ def detect_leaks(answers: DataFrame, hits: DataFrame, spaces: DataFrame, foreign
 
 # --- sweeps -------------------------------------------------------------------------------------------------------
 
-_BROADCAST_CONFIGS = 10_000
-
-
-def sweep_scores(questions: DataFrame, docs: DataFrame, readable: DataFrame, configs: DataFrame, digits: int | None = None) -> DataFrame:
-    """hash, qid, path, score, rank: BM25 for every row of ``configs(hash, bm25_k1, bm25_b, top_k)`` in one job.
-
-    Term and document frequencies are gathered once; the configurations meet them only before the sum.  Up to
-    ``_BROADCAST_CONFIGS`` of them are broadcast; of more, Spark picks the join.
-    """
-    postings, lengths = sx.postings_of(docs)
-    asked = questions.select("qid", "acl_key", F.explode(F.array_distinct(tx.tokenize("text"))).alias("term"))
-    few = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    size, terms = sx.corpus_stats(few, lengths, readable)
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = terms.join(size, "acl_key").select("acl_key", "term", idf.alias("idf"), "avgdl")
-    seen = few.join(lengths, "path").join(readable.select("acl_key", "path"), "path")
-    hits = asked.join(terms, ["acl_key", "term"]).join(seen, ["acl_key", "term"]).groupBy("qid", "path", "dl", "avgdl").agg(F.array_sort(F.collect_list(F.struct("term", "idf", "tf"))).alias("parts"))
-    settings = configs.select("hash", "bm25_k1", "bm25_b", "top_k")
-    sizes = settings.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("top_k"), F.lit(0)).alias("most")).first()
-    rows = hits.crossJoin(F.broadcast(settings) if sizes.n <= _BROADCAST_CONFIGS else settings)
-    k1, b = F.col("bm25_k1"), F.col("bm25_b")
-    score = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["idf"] * x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    rows = rows.select("hash", "qid", "path", "top_k", (F.round(score, digits) if digits else score).alias("score")).where("score > 0")
-    return _first_of(rows, int(sizes.most)).drop("top_k")
+def sweep_scores(questions: DataFrame, docs: DataFrame, readable: DataFrame, configs: DataFrame, digits: int | None = None, index: Index | None = None) -> DataFrame:
+    """hash, qid, path, score, rank: BM25 for every row of ``configs(hash, bm25_k1, bm25_b, top_k)`` in one job, over a
+    saved index (of ``docs``, if none is given; of a larger one ``docs`` alone count)."""
+    seen = readable if index is None else readable.join(docs.select("path"), "path", "left_semi")
+    return bm25_lists(questions, index or build_index(docs), seen, configs, digits)
 
 
 def _first_of(rows: DataFrame, most: int) -> DataFrame:
@@ -187,7 +169,7 @@ def _first_of(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).where("rank <= top_k")
 
 
-def sweep_retrieval(questions: DataFrame, docs: DataFrame, readable: DataFrame, configs: DataFrame, qvecs: DataFrame, emb: DataFrame, digits: int | None = None) -> DataFrame:
+def sweep_retrieval(questions: DataFrame, docs: DataFrame, readable: DataFrame, configs: DataFrame, qvecs: DataFrame, emb: DataFrame, digits: int | None = None, index: Index | None = None) -> DataFrame:
     """hash, qid, path, score, rank for every row of ``configs(hash, retrieval_mode, top_k, pool, rrf_k, w_bm25, w_dense,
     bm25_k1, bm25_b, min_cosine)``, each as ``search.retrieve`` gives it, in one job.
 
@@ -199,7 +181,7 @@ def sweep_retrieval(questions: DataFrame, docs: DataFrame, readable: DataFrame,
         return questions.limit(0).select(F.lit("").alias("hash"), "qid", F.lit("").alias("path"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     knobs = F.concat_ws("/", "bm25_k1", "bm25_b")
     lists = configs.where("retrieval_mode <> 'dense'").select(knobs.alias("hash"), "bm25_k1", "bm25_b").distinct().withColumn("top_k", F.lit(ends.pool))
-    bm = sweep_scores(questions, docs, readable, lists, digits).withColumnRenamed("hash", "list")
+    bm = sweep_scores(questions, docs, readable, lists, digits, index).withColumnRenamed("hash", "list")
     dn = sx.dense_topk(qvecs, emb, readable, 1.0 if ends.low is None else ends.low, ends.pool, digits)
     single = F.col("retrieval_mode") != "hybrid"
     part = lambda weight: F.when(single, F.col("score")).otherwise(F.col(weight).cast("double") / (F.col("rrf_k") + F.col("rank")))

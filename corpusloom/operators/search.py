@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vx
+from corpusloom.operators.postings import Index, bm25_topk, build_index
 
 
 def postings_of(docs: DataFrame, doc: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -78,17 +79,19 @@ def rrf_fuse(bm: DataFrame, dn: DataFrame, rrf_k: int = 60, w_bm25: float = 1.0,
     return candidate_pool(fused, top_k)
 
 
-def retrieve(questions: DataFrame, docs: DataFrame, readable: DataFrame, mode: str = "hybrid", qvecs: DataFrame | None = None, emb: DataFrame | None = None, top_k: int = 8, pool: int = 20, rrf_k: int = 60, w_bm25: float = 1.0, w_dense: float = 1.0, min_cosine: float = 0.0, k1: float = 1.5, b: float = 0.75, digits: int | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, docs: DataFrame, readable: DataFrame, mode: str = "hybrid", qvecs: DataFrame | None = None, emb: DataFrame | None = None, top_k: int = 8, pool: int = 20, rrf_k: int = 60, w_bm25: float = 1.0, w_dense: float = 1.0, min_cosine: float = 0.0, k1: float = 1.5, b: float = 0.75, digits: int | None = None, index: Index | None = None) -> DataFrame:
     """qid, path, score, rank for ``questions(qid, acl_key, text)``; access is applied before any statistic.
 
-    Hybrid without vectors is BM25 alone; dense without vectors is empty.
+    Hybrid without vectors is BM25 alone; dense without vectors is empty.  BM25 reads ``index`` (of ``docs`` or more), or one
+    made of ``docs``.
     """
     has = qvecs is not None and emb is not None
     if mode == "dense" and not has:
         return questions.limit(0).select("qid", F.lit("").alias("path"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     if mode == "dense":
         return dense_topk(qvecs, emb, readable, min_cosine, min(pool, top_k), digits).withColumnRenamed("cos", "score")
-    bm = candidate_pool(bm25_scores(questions, *postings_of(docs), readable, k1, b, digits), pool if mode == "hybrid" and has else min(pool, top_k))
+    seen = readable if index is None else readable.join(docs.select("path"), "path", "left_semi")
+    bm = bm25_topk(questions, index or build_index(docs), seen, pool if mode == "hybrid" and has else min(pool, top_k), k1, b, digits)
     if mode == "bm25" or not has:
         return bm
     return rrf_fuse(bm, dense_topk(qvecs, emb, readable, min_cosine, pool, digits), rrf_k, w_bm25, w_dense, top_k, digits)

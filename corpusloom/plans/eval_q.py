@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as vx
+from corpusloom.operators.postings import bm25_topk
 from corpusloom.operators import evaluation as ex
 from corpusloom.operators import reports as rx
 from corpusloom.operators import search as sx
 from corpusloom.plans.search_q import STATS, _bm25
-from corpusloom.plans.tables import docs, questions, readable, table
+from corpusloom.plans.tables import docs, index, questions, readable, table
 
 K = 5
 
 
 def _hits(spark, d):
     """The five best documents of a question, as (qid, path, rank, docs): an article's document is itself."""
-    found = sx.candidate_pool(sx.bm25_scores(questions(spark, d), *sx.postings_of(docs(spark, d)), readable(spark, d), digits=6), K)
+    found = bm25_topk(questions(spark, d), index(spark, d), readable(spark, d), K, digits=6)
     return found.select("qid", F.col("path").cast("string").alias("path"), "rank", F.array(F.col("path").cast("string")).alias("docs"))
 
 
@@ -123,7 +124,7 @@ x AS (SELECT f.*, EXISTS (SELECT 1 FROM documents WHERE lang = f.space AND conta
 def e12(spark, d):
     """Four BM25 settings over all questions in one job: the best document of each."""
     cfg = ex.grid(spark, {"retrieval_mode": ["bm25"], "bm25_k1": [0.9, 1.5], "bm25_b": [0.4, 0.75], "top_k": [1], "rrf_k": [30, 60]})
-    out = ex.sweep_scores(questions(spark, d), docs(spark, d), readable(spark, d), cfg, 6)
+    out = ex.sweep_scores(questions(spark, d), docs(spark, d), readable(spark, d), cfg, 6, index(spark, d))
     named = out.join(cfg.select("hash", "bm25_k1", "bm25_b"), "hash")
     return named.select("bm25_k1", "bm25_b", "qid", "path", "score")
 

@@ -10,7 +10,7 @@ from corpusloom.operators import decisions as dx
 from corpusloom.operators import evaluation as ex
 from corpusloom.plans.eval_q import K, _qa, _r
 from corpusloom.plans.search_q import _DENSE, STATS, _qvecs, _seen, _vectors
-from corpusloom.plans.tables import docs, questions, readable, scratch, table
+from corpusloom.plans.tables import docs, index, questions, readable, scratch, table
 from corpusloom.sources import files as src
 from corpusloom.streaming import jobs as sj
 
@@ -21,7 +21,7 @@ def e11(spark, d):
     """Two BM25 settings, retrieved and graded: every fifty documents are the articles of one gold document, two by two
     from one raw file."""
     cfg = ex.grid(spark, {"retrieval_mode": ["bm25"], "bm25_k1": [0.9, 1.5], "bm25_b": [0.75], "top_k": [K]})
-    hits = ex.sweep_scores(questions(spark, d), docs(spark, d), readable(spark, d), cfg, 6).withColumn("path", F.col("path").cast("string"))
+    hits = ex.sweep_scores(questions(spark, d), docs(spark, d), readable(spark, d), cfg, 6, index(spark, d)).withColumn("path", F.col("path").cast("string"))
     k = F.col("doc_id")
     raw = F.floor(k / 2).cast("string")
     made = table(spark, d, "documents").select(F.floor(k / 50).cast("string").alias("doc"), k.cast("string").alias("article_path"), raw.alias("raw_path"))
@@ -51,7 +51,7 @@ def e12_knobs(spark, d):
     seen = _vectors(spark, d).join(_seen(spark, d).select("path"), "path", "left_semi")
     texts = docs(spark, d).where("space in ('en', 'fr')")
     # the vectors' access decides for vectors, the documents' for texts
-    out = ex.sweep_retrieval(questions(spark, d), texts.join(readable(spark, d).select("path"), "path", "left_semi"), both, cfg, _qvecs(spark, d), seen, 5)
+    out = ex.sweep_retrieval(questions(spark, d), texts.join(readable(spark, d).select("path"), "path", "left_semi"), both, cfg, _qvecs(spark, d), seen, 5, index(spark, d))
     return out.join(cfg.select("hash", "retrieval_mode", "bm25_k1", "rrf_k", "min_cosine"), "hash").drop("hash")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import search as sx
-from corpusloom.plans.tables import TOKENS_SQL, docs, questions, readable, table
+from corpusloom.operators.postings import bm25_topk
+from corpusloom.plans.tables import TOKENS_SQL, docs, index, questions, readable, table
 
 STATS = f"""d AS (SELECT doc_id AS path, lang AS space, {TOKENS_SQL} AS t FROM documents WHERE lang IN ('en', 'fr')),
 p AS (SELECT path, term, count(*) AS tf FROM (SELECT path, unnest(t) AS term FROM d) GROUP BY 1, 2), l AS (SELECT path, len(t) AS dl FROM d), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
@@ -28,7 +29,7 @@ R1 = f"WITH {STATS} SELECT 'en+fr' AS acl_key, term, df, n, round(avgdl, 6) AS a
 
 def r2(spark, d):
     """The eight best readable documents of each question."""
-    return sx.candidate_pool(sx.bm25_scores(questions(spark, d), *sx.postings_of(docs(spark, d)), readable(spark, d), digits=6), 8)
+    return bm25_topk(questions(spark, d), index(spark, d), readable(spark, d), 8, digits=6)
 
 
 R2 = f"WITH {STATS}, {_bm25()} SELECT qid, path, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8"
@@ -66,7 +67,7 @@ R5 = f"WITH {_DENSE} SELECT qid, path, cos, CAST(rank AS INT) AS rank FROM dr WH
 def r7(spark, d):
     """Hybrid: BM25 over readable documents and cosines over readable vectors, fused."""
     both = readable(spark, d).unionByName(_seen(spark, d)).distinct()
-    out = sx.retrieve(questions(spark, d), docs(spark, d).where("space in ('en', 'fr')"), readable(spark, d), "bm25", top_k=20, digits=6)
+    out = sx.retrieve(questions(spark, d), docs(spark, d).where("space in ('en', 'fr')"), readable(spark, d), "bm25", top_k=20, digits=6, index=index(spark, d))
     dense = sx.dense_topk(_qvecs(spark, d), _vectors(spark, d), both.join(_seen(spark, d), ["acl_key", "path"], "left_semi"), 0.05, 20, 5)
     return sx.rrf_fuse(out, dense, 30, 1.0, 0.5, 8, 9)
 
