@@ -202,9 +202,10 @@ def identify(docs: DataFrame, model: Model | None, step: int = 256) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long, n_switched long")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, step: int = 256, least: float = 0.6, words: int = 3) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, step: int = 256, least: float = 0.6, words: int = 20) -> DataFrame:
     """The rows of ``docs`` but those without a language: null texts, texts without letters, and texts of ``words`` words
-    and more whose words are of no learned language (mean certainty under ``least``; without a model nothing is)."""
+    and more whose words are of no learned language (mean certainty under ``least``; fewer words say too little, and without
+    a model nothing is)."""
     small_batches(docs.sparkSession)
     known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 

@@ -246,7 +246,7 @@ def test_language_stage_follows_the_model(spark):
     model = langid.fit(docs)
     long = {r.lang: r.text for r in docs.where("length(text) between 800 and 4000").orderBy("doc_id").collect()}
     mixed = " ".join(w for t in zip(*(long[x].split()[:60] for x in sorted(long))) for w in t)
-    rows = [(1, "Это русский текст, он написан кириллицей и ни на одном из языков"), (2, "这是一个 中文句子 没有空格 也没有字母"), (3, mixed), (4, "De."), (5, None), (6, "12 34"), *((10 + i, t) for i, t in enumerate(long.values()))]
+    rows = [(1, "Это русский текст, он написан кириллицей и ни на одном из языков. " * 2), (2, "这是一个 中文句子 没有空格 也没有字母 " * 6), (3, mixed), (4, "De. Это русский текст"), (5, None), (6, "12 34"), *((10 + i, t) for i, t in enumerate(long.values()))]
     kept = {r.doc_id for r in langid.keep_identified(docs_of(spark, rows), model).collect()}
     assert kept == {3, 4, *range(10, 10 + len(long))}
     assert {r.doc_id for r in langid.keep_identified(docs_of(spark, rows), None).collect()} == {i for i, _ in rows} - {5, 6}
