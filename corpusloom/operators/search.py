@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vx
+from corpusloom.operators.dense import nearest
 from corpusloom.operators.postings import Index, bm25_topk, build_index
 
 
@@ -62,11 +63,13 @@ def valid_vectors(emb: DataFrame, model: str | None = None, dim: int | None = No
 
 
 def dense_topk(qvecs: DataFrame, emb: DataFrame, readable: DataFrame, min_cosine: float = 0.0, n: int = 50, digits: int | None = None) -> DataFrame:
-    """qid, path, cos, rank of ``qvecs(qid, acl_key, qv)`` over the vectors that the asker's key may read."""
-    seen = emb.select("path", "embedding").join(readable.select("acl_key", "path"), "path")
-    c = vx.cosine("qv", "embedding")
-    pairs = qvecs.join(seen, "acl_key").select("qid", "path", (F.round(c, digits) if digits else c).alias("cos")).where(F.col("cos") > min_cosine)
-    return candidate_pool(pairs, n, "cos")
+    """qid, path, cos, rank of ``qvecs(qid, acl_key, qv)`` over the vectors that the asker's key may read.
+
+    Products are made block by block; n rows of each question and block are shuffled.
+    """
+    keys = readable.select("acl_key", "path").join(qvecs.select("acl_key").distinct(), "acl_key", "left_semi")
+    seen = emb.select("path", "embedding").join(keys, "path")
+    return candidate_pool(nearest(qvecs, seen, min_cosine, n, digits), n, "cos")
 
 
 def rrf_fuse(bm: DataFrame, dn: DataFrame, rrf_k: int = 60, w_bm25: float = 1.0, w_dense: float = 1.0, top_k: int = 8, digits: int | None = None) -> DataFrame:
