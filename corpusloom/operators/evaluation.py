@@ -14,6 +14,7 @@ from corpusloom.functions import vectors as vx
 from corpusloom.operators import reports
 from corpusloom.operators import search as sx
 from corpusloom.operators.access import attachments_of
+from corpusloom.operators.matching import occurring
 from corpusloom.operators.postings import Index, bm25_lists, build_index
 
 
@@ -125,17 +126,18 @@ def foreign_facts(qa: DataFrame, readable_text: DataFrame) -> DataFrame:
     """space, fact, ambiguous of ``readable_text(space, text)``: facts of other spaces (declared ones from one character
     on, others' from three) that the space's own texts lack; those they hold are ambiguous if declared.
 
-    Facts meet the texts of their space one document at a time; a space's texts are never put together.
+    All facts are one automaton, and each text is read once; a space's texts are never put together.
     """
     own = qa.select("space", F.explode("leak_facts").alias("fact"), F.lit(True).alias("declared"))
-    others = qa.select(F.col("space").alias("home"), F.explode(F.concat("gold_facts", "leak_facts")).alias("fact")).distinct()
-    spaces = qa.select("space").distinct()
-    far = others.join(spaces, F.col("home") != F.col("space")).select("space", "fact", F.lit(False).alias("declared"))
+    homes = qa.select("space", F.explode(F.concat("gold_facts", "leak_facts")).alias("fact")).groupBy("fact").agg(F.collect_set("space").alias("homes"))
+    spaces = qa.agg(F.collect_set("space").alias("spaces"))  # one row of all spaces
+    others = F.when(F.size("homes") > 1, F.col("spaces")).otherwise(F.array_except("spaces", "homes"))
+    far = homes.crossJoin(F.broadcast(spaces)).select(F.explode(others).alias("space"), "fact", F.lit(False).alias("declared"))
     facts = own.unionByName(far).groupBy("space", "fact").agg(F.max("declared").alias("declared")).withColumn("norm", fx.fact_normalize("fact"))
     facts = facts.where(F.length("norm") >= F.when(F.col("declared"), 1).otherwise(3))
-    texts = readable_text.select("space", fx.fact_normalize("text").alias("text"))
-    found = facts.join(texts, "space").where(fx.contains_fact(F.col("norm"), F.col("text"))).select("space", "fact").distinct().withColumn("in", F.lit(True))
-    return facts.join(found, ["space", "fact"], "left").select("space", "fact", "declared", F.coalesce("in", F.lit(False)).alias("in")).where("not `in` or declared").select("space", "fact", F.col("in").alias("ambiguous"))
+    found = occurring(readable_text, facts.select(F.col("norm").alias("pattern")), ["space"], fx.fact_normalize("text"), whole_numbers=True)
+    found = found.select("space", F.col("pattern").alias("norm"), F.lit(True).alias("in"))
+    return facts.join(found, ["space", "norm"], "left").select("space", "fact", "declared", F.coalesce("in", F.lit(False)).alias("in")).where("not `in` or declared").select("space", "fact", F.col("in").alias("ambiguous"))
 
 
 def detect_leaks(answers: DataFrame, hits: DataFrame, spaces: DataFrame, foreign: DataFrame) -> DataFrame:
@@ -144,10 +146,10 @@ def detect_leaks(answers: DataFrame, hits: DataFrame, spaces: DataFrame, foreign
     ask = answers.select("qid", "space", fx.fact_normalize("answer").alias("norm"))
     seen = hits.join(ask.select("qid", "space"), "qid").join(spaces, "path", "left")
     outside = seen.where(~F.coalesce((F.size("spaces") > 0) & F.forall("spaces", lambda s: s == F.col("space")), F.lit(False))).select("qid", F.concat(F.lit("outside: "), "path").alias("reason"))
-    facts = foreign.where("not ambiguous").select("space", "fact").withColumn("f", fx.fact_normalize("fact"))
-    said = ask.join(facts, "space").where(fx.contains_fact(F.col("f"), F.col("norm"))).select("qid", F.concat(F.lit("answer: "), "fact").alias("reason"))
-    cited = seen.select("qid", "space", fx.fact_normalize("body").alias("body")).join(facts, "space").where(fx.contains_fact(F.col("f"), F.col("body"))).select("qid", F.concat(F.lit("text: "), "fact").alias("reason"))
-    reasons = outside.unionByName(said).unionByName(cited).groupBy("qid").agg(F.array_sort(F.collect_set("reason")).alias("leak"))
+    facts = foreign.where("not ambiguous").select("space", "fact").withColumn("pattern", fx.fact_normalize("fact"))
+    read = ask.select("qid", "space", F.lit("answer: ").alias("where"), "norm").unionByName(seen.select("qid", "space", F.lit("text: ").alias("where"), fx.fact_normalize("body").alias("norm")))
+    said = occurring(read, facts.select("pattern"), ["qid", "space", "where"], "norm", whole_numbers=True).join(facts, ["space", "pattern"]).select("qid", F.concat("where", "fact").alias("reason"))
+    reasons = outside.unionByName(said).groupBy("qid").agg(F.array_sort(F.collect_set("reason")).alias("leak"))
     return answers.select("qid").join(reasons, "qid", "left").select("qid", F.coalesce("leak", F.array().cast("array<string>")).alias("leak"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.grounding import ungrounded_claims
+from corpusloom.operators.matching import occurring
 
 RAW, WIKI, OUT = "10_raw_data", "20_ai_wiki", "30_outputs"
 SPECIAL = ("_index", "_log")
@@ -187,8 +188,13 @@ def verify_qa(qa: DataFrame, docs: DataFrame) -> DataFrame:
 def absent_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc, line_no, term of lines of ``docs(doc, text)`` that hold a forbidden term or all words of a combination.
 
-    ``terms(term, words ARRAY<STRING>)`` is a written list of rules; it meets the lines by its first word.
+    The words of ``terms(term, words ARRAY<STRING>)`` are one automaton, and each line is read once.  Empty words are always
+    held; a rule without others matches nothing.
     """
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rules = F.broadcast(terms) if terms.count() <= 10_000 else terms
-    return lines.join(rules, F.contains("line", F.get("words", F.lit(0))) & F.forall("words", lambda w: F.contains(F.col("line"), w))).select("doc", "line_no", "term")
+    words = F.array_distinct(F.filter("words", lambda w: w != ""))
+    rules = terms.select("term", words.alias("words")).where(F.size("words") > 0).distinct()
+    rules = rules.select("term", "words", F.size("words").alias("need"), F.explode("words").alias("pattern"))
+    held = occurring(lines, rules.select("pattern"), ["doc", "line_no"], "line").join(rules, "pattern")
+    full = held.groupBy("doc", "line_no", "term", "words").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n = need")
+    return full.select("doc", "line_no", "term")

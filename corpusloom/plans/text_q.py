@@ -9,6 +9,7 @@ from corpusloom.functions import pii
 from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vx
 from corpusloom.operators import search as sx
+from corpusloom.operators.matching import occurring
 from corpusloom.plans.tables import TOKENS_SQL, docs, table, turns
 
 T, N = "text", "path"
@@ -245,15 +246,14 @@ F35 = "SELECT doc_id AS path, CAST(greatest(1500, trunc((length(text) - 1500) *
 
 
 def f18(spark, d):
-    """Whether a benchmark item occurs in documents that share its first word."""
-    b = table(spark, d, "benchmark").select("item_id", F.get(tx.tokenize("text"), F.lit(0)).alias("term"), fx.fact_normalize("text").alias("fact"))
-    read = docs(spark, d).select(N, fx.fact_normalize(T).alias("norm"), tx.tokenize(T).alias("tokens"))
-    terms = read.select(N, F.explode(F.array_distinct("tokens")).alias("term")).join(b, "term").select("item_id", "fact", N)
-    return terms.join(read.select(N, "norm"), N).where(fx.contains_fact(F.col("fact"), F.col("norm"))).select("item_id", N)
+    """Which benchmark items occur in which documents, as facts."""
+    b = table(spark, d, "benchmark").select("item_id", fx.fact_normalize("text").alias("pattern"))
+    found = occurring(docs(spark, d), b, [N], fx.fact_normalize(T), whole_numbers=True)
+    return found.join(b, "pattern").select("item_id", N)
 
 
-F18 = f"""WITH b AS (SELECT item_id, text AS fact, {TOKENS_SQL}[1] AS term FROM benchmark), t AS (SELECT doc_id AS path, text, list_distinct({TOKENS_SQL}) AS ts FROM documents)
-SELECT item_id, path FROM b JOIN t ON list_contains(ts, term) AND contains(regexp_replace(lower(text), '\\s+', '', 'g'), regexp_replace(lower(fact), '\\s+', '', 'g'))"""
+F18 = """WITH b AS (SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS fact FROM benchmark), t AS (SELECT doc_id AS path, regexp_replace(lower(text), '\\s+', '', 'g') AS norm FROM documents)
+SELECT item_id, path FROM b JOIN t ON fact <> '' AND contains(norm, fact)"""
 
 
 def s5(spark, d):
