@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from corpusloom.operators import search as sx
 from corpusloom.operators.access import attachments_of
 from corpusloom.operators.matching import occurring
 from corpusloom.operators.postings import Index, bm25_lists, build_index
+from corpusloom.storage import exists, saved
 
 
 def gold_map(files: DataFrame, ledger: DataFrame, sources: DataFrame) -> DataFrame:
@@ -274,6 +277,38 @@ def refine(best: dict, score: float, space: dict[str, list | tuple], evaluate_ma
     return best, score
 
 
+def refine_job(spark: SparkSession, log: str, start: dict, space: dict[str, list | tuple], score: Callable[[DataFrame], DataFrame], rounds: int = 10, bounds: dict[str, tuple] | None = None) -> DataFrame:
+    """hash, score, cfg, trial of all trials: hill climbing whose rounds are rows of a trial log, best first.
+
+    A round scores the configurations one step from the best of the log that the log does not hold yet: ``score`` makes
+    ``(hash, score)`` of a table of configurations, one sweep.  A round without a better one is the last.  Everything is
+    read from the log, so a driver that starts anew goes on where the one before ended, and repeats no trial.
+    """
+    schema = "hash string, score double, cfg map<string,string>, trial long"
+    read = lambda: spark.read.schema(schema).json(log) if exists(spark, log) else spark.createDataFrame([], schema)
+    order = (F.desc("score"), "trial", "hash")
+
+    def run(configs: list[dict], number: int) -> int:
+        asked = vx.canonical_config(spark.createDataFrame([{k: c[k] for k in space} for c in configs]))
+        fresh = saved(resume_trials(asked, read()), "round")
+        if not fresh.limit(1).count():
+            return 0
+        cfg = F.create_map(*(x for k in space for x in (F.lit(k), F.to_json(F.struct(F.col(k).alias("v"))))))
+        fresh.join(score(fresh), "hash").select("hash", "score", cfg.alias("cfg"), F.lit(number).cast("long").alias("trial")).write.mode("append").json(log)
+        return 1
+
+    done = read().agg(F.max("trial").alias("n")).first().n
+    if done is None:
+        run([start], 0)
+        done = 0
+    for number in range(done + 1, done + 1 + rounds):
+        best = read().orderBy(*order).first()
+        here = {k: json.loads(v)["v"] for k, v in best.cfg.items()}
+        if not run(neighbours(here, space, bounds), number) or read().orderBy(*order).first().hash == best.hash:
+            break
+    return read().orderBy(*order)
+
+
 def resume_trials(configs: DataFrame, log: DataFrame) -> DataFrame:
     return configs.join(log.select("hash"), "hash", "left_anti")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators.grounding import ungrounded_claims
 from corpusloom.operators.matching import occurring
+from corpusloom.operators.ordering import positions
 
 RAW, WIKI, OUT = "10_raw_data", "20_ai_wiki", "30_outputs"
 SPECIAL = ("_index", "_log")
@@ -34,9 +35,16 @@ def _targets(key: str) -> Column:
     return F.transform(values, lambda v: F.coalesce(F.get(tx.wiki_links(v), F.lit(0)), tx.link_target(F.trim(v))))
 
 
+def ambiguous_pages(pages: DataFrame) -> DataFrame:
+    """name, position, path, n: the pages of each name that several have, in order; a name's pages are rows of any number."""
+    many = pages.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return positions(pages.select("name", "path").join(many, "name"), ["name"], ["path"]).select("name", "position", "path", "n")
+
+
 def ambiguous_names(pages: DataFrame) -> DataFrame:
-    per = pages.groupBy("name").agg(F.array_sort(F.collect_list("path")).alias("paths")).where(F.size("paths") > 1)
-    return _finding(per.withColumn("path", F.get("paths", F.lit(0))), "E", "ambiguous-name", F.concat("name", F.lit(": "), F.array_join("paths", ", ")))
+    """A finding for each name of several pages, at the first of them; ``ambiguous_pages`` has all."""
+    per = pages.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n > 1")
+    return _finding(per, "E", "ambiguous-name", F.concat("name", F.lit(": "), "n", F.lit(" pages")))
 
 
 def broken_links(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordering import positions
+
 ANSWERABLE = ("lookup", "numeric", "latest", "multi_doc", "paraphrase", "conflict")
 REFUSAL = ("unanswerable", "cross_space")
 
@@ -129,10 +131,18 @@ def thread_rollup(mails: DataFrame) -> DataFrame:
 
 
 def round_robin(jobs: DataFrame, max_jobs: int | None = None) -> DataFrame:
-    """Jobs ``(id, space)`` interleaved: the first of every space, then the second, …; spaces by first appearance."""
-    turn = F.row_number().over(Window.partitionBy("space").orderBy("id"))
-    rows = jobs.withColumn("turn", turn).join(jobs.groupBy("space").agg(F.min("id").alias("first_id")), "space").orderBy("turn", "first_id")
-    return rows.limit(max_jobs) if max_jobs else rows
+    """Jobs ``(id, space)`` with ``turn`` and ``position``, interleaved: the first of every space, then the second, …; spaces
+    by first appearance.  A space of any size is numbered in many tasks; ``max_jobs`` keeps the first positions."""
+    first = jobs.groupBy("space").agg(F.min("id").alias("first_id"))
+    if max_jobs:  # no more than so many of a space can be among them
+        turn = F.row_number().over(Window.partitionBy("space").orderBy("id")).cast("long")
+        rows = jobs.withColumn("turn", turn).where(F.col("turn") <= max_jobs)
+    else:
+        rows = positions(jobs, ["space"], ["id"], "turn")
+    rows = rows.join(first.withColumnRenamed("space", "_space"), F.col("space").eqNullSafe(F.col("_space"))).drop("_space")
+    if max_jobs:
+        rows = rows.orderBy("turn", "first_id").limit(max_jobs)
+    return positions(rows, [], ["turn", "first_id"]).withColumn("turn", F.col("turn").cast("int")).orderBy("position")
 
 
 def unique_paths(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -202,10 +202,11 @@ SELECT o_orderkey * 2 AS path, ok.article_path IS NOT NULL AS allowed FROM order
 
 def w1(spark, d):
     rows = rx.round_robin(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("space")))
-    return rows.select("id", "space", "turn")
+    return rows.select("id", "space", "turn", "position")
 
 
-W1 = "SELECT doc_id AS id, source AS space, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS turn FROM documents"
+W1 = """WITH t AS (SELECT doc_id AS id, source AS space, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS turn, min(doc_id) OVER (PARTITION BY source) AS first FROM documents)
+SELECT id, space, turn, row_number() OVER (ORDER BY turn, first) AS position FROM t"""
 
 
 def w2(spark, d):
@@ -272,7 +273,7 @@ def s14(spark, d):
     return src.space_index(o, spaces)
 
 
-S14 = f"WITH {LABELS_SQL} SELECT space, string_agg('- [[' || s_suppkey || '|' || s_name || ']]', chr(10) ORDER BY '- [[' || s_suppkey || '|' || s_name || ']]') AS index_md FROM supplier JOIN lab ON s_suppkey = raw_path GROUP BY 1"
+S14 = f"WITH {LABELS_SQL}, r AS (SELECT space, '- [[' || s_suppkey || '|' || s_name || ']]' AS line FROM supplier JOIN lab ON s_suppkey = raw_path) SELECT space, row_number() OVER (PARTITION BY space ORDER BY line) AS position, line FROM r"
 
 
 def s15(spark, d):
@@ -283,10 +284,13 @@ S15 = "SELECT doc_id AS path, sha256(text) AS sha256 FROM documents"
 
 
 def s16(spark, d):
-    return src.dataset_digest(s15(spark, d).withColumn("path", F.col("path").cast("string"))).select("n", (F.length("digest") == 64).alias("ok"))
+    """The digest of all documents, from a tree of three levels."""
+    return src.dataset_digest(s15(spark, d).withColumn("path", F.col("path").cast("string")), 3)
 
 
-S16 = "SELECT count(*) AS n, true AS ok FROM documents"
+S16 = """WITH f AS (SELECT sha256(doc_id::VARCHAR) AS spot, doc_id || chr(10) || sha256(text) AS line FROM documents), l3 AS (SELECT left(spot, 3) AS p, sha256(string_agg(line, chr(10) ORDER BY line)) AS d, count(*) AS n FROM f GROUP BY 1),
+l2 AS (SELECT left(p, 2) AS p, sha256(string_agg(p || ' ' || d, chr(10) ORDER BY p)) AS d, sum(n) AS n FROM l3 GROUP BY left(p, 2)), l1 AS (SELECT left(p, 1) AS p, sha256(string_agg(p || ' ' || d, chr(10) ORDER BY p)) AS d, sum(n) AS n FROM l2 GROUP BY left(p, 1))
+SELECT sha256(string_agg(p || ' ' || d, chr(10) ORDER BY p)) AS digest, sum(n)::BIGINT AS n FROM l1"""
 
 
 def s11(spark, d):

@@ -36,10 +36,14 @@ def _short(df):
 
 
 def q4(spark, d):
-    return _short(qx.ambiguous_names(pages(spark, d)))
+    """Names of several pages: each of these pages with its place, and the finding at the first."""
+    p = pages(spark, d)
+    found = _short(qx.ambiguous_names(p)).select(F.col("file").alias("path"), "level", "kind", "detail")
+    return qx.ambiguous_pages(p).join(found, "path", "left").select("name", "position", "path", "n", "level", "kind", "detail")
 
 
-Q4 = f"WITH {WIKI_SQL} SELECT 'E' AS level, 'ambiguous-name' AS kind, min(file) AS file, name || ': ' || string_agg(file, ', ' ORDER BY file) AS detail FROM w GROUP BY name HAVING count(*) > 1"
+Q4 = f"""WITH {WIKI_SQL}, r AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY file) AS position, file AS path, count(*) OVER (PARTITION BY name) AS n FROM w)
+SELECT name, position, path, n, CASE WHEN position = 1 THEN 'E' END AS level, CASE WHEN position = 1 THEN 'ambiguous-name' END AS kind, CASE WHEN position = 1 THEN name || ': ' || n || ' pages' END AS detail FROM r WHERE n > 1"""
 
 
 def q5(spark, d):

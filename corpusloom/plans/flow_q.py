@@ -17,18 +17,27 @@ from corpusloom.streaming import jobs as sj
 _TYPES_SQL = "['lookup','numeric','latest','multi_doc','paraphrase','conflict','cross_space','unanswerable']"
 
 
-def e11(spark, d):
-    """Two BM25 settings, retrieved and graded: every fifty documents are the articles of one gold document, two by two
-    from one raw file."""
-    cfg = ex.grid(spark, {"retrieval_mode": ["bm25"], "bm25_k1": [0.9, 1.5], "bm25_b": [0.75], "top_k": [K]})
-    hits = ex.sweep_scores(questions(spark, d), docs(spark, d), readable(spark, d), cfg, 6, index(spark, d)).withColumn("path", F.col("path").cast("string"))
+def _graded(spark, d):
+    """Sources, gold documents and questions: every fifty documents are the articles of one gold document, two by two from
+    one raw file."""
     k = F.col("doc_id")
     raw = F.floor(k / 2).cast("string")
     made = table(spark, d, "documents").select(F.floor(k / 50).cast("string").alias("doc"), k.cast("string").alias("article_path"), raw.alias("raw_path"))
     gold = made.groupBy("doc").agg(F.array_sort(F.collect_set("raw_path")).alias("raw_paths"), F.array_sort(F.collect_set("article_path")).alias("articles"))
     i = F.col("id")
     qa = _qa(spark, d).withColumn("gold_docs", F.when(F.size("gold_docs") > 0, F.array_distinct(F.array((i * 7 % 20).cast("string"), (i * 11 % 20).cast("string")))).otherwise(F.col("gold_docs")))
-    out = ex.evaluate(hits, made.select("article_path", "raw_path"), gold, qa, K, ["hash"], cfg).join(cfg.select("hash", "bm25_k1"), "hash")
+    return made.select("article_path", "raw_path"), gold, qa
+
+
+def _evaluated(spark, d, cfg):
+    hits = ex.sweep_scores(questions(spark, d), docs(spark, d), readable(spark, d), cfg, 6, index(spark, d)).withColumn("path", F.col("path").cast("string"))
+    return ex.evaluate(hits, *_graded(spark, d), K, ["hash"], cfg)
+
+
+def e11(spark, d):
+    """Two BM25 settings, retrieved and graded."""
+    cfg = ex.grid(spark, {"retrieval_mode": ["bm25"], "bm25_k1": [0.9, 1.5], "bm25_b": [0.75], "top_k": [K]})
+    out = _evaluated(spark, d, cfg).join(cfg.select("hash", "bm25_k1"), "hash")
     return _r(out.select("bm25_k1", "qid", "type", "split", "recall", "hit1", "mrr", "ndcg", "empty"), "recall", "mrr", "ndcg")
 
 
@@ -43,6 +52,30 @@ SELECT k1 AS bm25_k1, qid, type, split, round(CASE WHEN len(gold) > 0 THEN coale
 round(CASE WHEN best > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(best AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6)::DOUBLE AS ndcg, empty FROM x"""
 
 
+def e13(spark, d):
+    """Hill climbing over nine BM25 settings whose first driver ends after one round: the best score of the trial log."""
+    space = {"retrieval_mode": ["bm25"], "bm25_k1": ["0.5", "0.9", "1.5"], "bm25_b": ["0.2", "0.5", "0.75"], "top_k": [K]}
+    log = scratch(spark, "trials")
+
+    def score(cfg):
+        rows = _evaluated(spark, d, cfg.select("hash", F.col("bm25_k1").cast("double"), F.col("bm25_b").cast("double"), "top_k"))
+        return rows.groupBy("hash").agg(F.round(F.avg(F.col("mrr") + F.col("ndcg")), 6).alias("score"))
+
+    start = {"retrieval_mode": "bm25", "bm25_k1": "1.5", "bm25_b": "0.75", "top_k": K}
+    ex.refine_job(spark, log, start, space, score, rounds=1)
+    return ex.refine_job(spark, log, start, space, score).limit(1).select("score")
+
+
+E13 = f"""WITH {STATS}, c AS (SELECT k1, unnest([0.2, 0.5, 0.75])::DOUBLE AS b FROM (SELECT unnest([0.5, 0.9, 1.5])::DOUBLE AS k1)), w AS (SELECT k1, b, qid, path, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) AS w FROM q JOIN p USING (term) JOIN df USING (term) JOIN l USING (path), n, c),
+s AS (SELECT k1, b, qid, path, round(sum(w), 6) AS score FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k1, b, qid ORDER BY score DESC, CAST(path AS BIGINT)) AS rank FROM s WHERE score > 0),
+qa AS (SELECT item_id AS qid, CASE WHEN item_id % 8 = 7 THEN [] ELSE list_distinct([item_id * 7 % 20, item_id * 11 % 20]) END AS gold, {_TYPES_SQL}[item_id % 8 + 1] AS type, CASE WHEN item_id % 10 < 7 THEN 'tune' ELSE 'heldout' END AS split FROM benchmark),
+a AS (SELECT doc_id // 50 AS doc, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1), g AS (SELECT qid, unnest(gold) AS doc FROM qa), nr AS (SELECT qid, sum(n) AS n FROM g JOIN a USING (doc) GROUP BY 1),
+h AS (SELECT k1, b, qid, rank, path // 50 AS doc, list_contains(gold, path // 50) AS rel FROM r JOIN qa USING (qid) WHERE rank <= {K}),
+m AS (SELECT k1, b, qid, count(DISTINCT doc) FILTER (WHERE rel) AS covered, min(rank) FILTER (WHERE rel) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel), 0) AS dcg FROM h GROUP BY 1, 2, 3),
+x AS (SELECT c.k1, c.b, qa.*, covered, first, dcg, m.qid IS NULL AS empty, least({K}, coalesce(nr.n, len(gold))) AS best FROM qa CROSS JOIN c LEFT JOIN m ON m.qid = qa.qid AND m.k1 = c.k1 AND m.b = c.b LEFT JOIN nr ON nr.qid = qa.qid)
+SELECT max(score) AS score FROM (SELECT k1, b, round(avg(coalesce(1.0 / first, 0) + CASE WHEN best > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(best AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END), 6)::DOUBLE AS score FROM x GROUP BY 1, 2)"""
+
+
 def e12_knobs(spark, d):
     """All knobs of retrieval in one job: three modes with their BM25, fusion and cosine settings."""
     space = {"retrieval_mode": ["bm25", "dense", "hybrid"], "top_k": [4], "pool": [12], "rrf_k": [30, 60], "w_bm25": [1.0], "w_dense": [0.5], "bm25_k1": [0.9, 1.5], "bm25_b": [0.75], "min_cosine": [0.05, 0.2]}
@@ -218,6 +251,6 @@ def t9(spark, d):
 T9 = "SELECT * FROM (SELECT date_trunc('hour', ts) AS start, event_type AS action, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS no_evidence FROM events GROUP BY 1, 2) WHERE start + INTERVAL 70 MINUTE <= (SELECT max(ts) FROM events)"
 
 QUERIES = {
-    "e11_evaluate": (e11, E11), "e12_sweep_knobs": (e12_knobs, E12_KNOBS), "e15_used_heldout": (e15, E15), "c2_apply_decisions": (c2, C2), "f15_raw_fallback": (f15, F15), "f29_magic_ok": (f29, F29),
+    "e11_evaluate": (e11, E11), "e13_refine_job": (e13, E13), "e12_sweep_knobs": (e12_knobs, E12_KNOBS), "e15_used_heldout": (e15, E15), "c2_apply_decisions": (c2, C2), "f15_raw_fallback": (f15, F15), "f29_magic_ok": (f29, F29),
     "s12_render_articles": (s12, S12), "s7_parse_vault": (s7, S7), "s8_read_qa": (s8, S8), "s9_read_trials": (s9, S9), "t3_dedup_stream": (t3, T3), "t9_audit_stream": (t9, T9),
 }

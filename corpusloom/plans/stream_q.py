@@ -182,4 +182,26 @@ UNION ALL SELECT path, 1, 0, 'note.txt', 'Role ' || role, sha256(regexp_replace(
 UNION ALL SELECT path, 2, 0, 'note.exe', NULL, NULL, NULL, NULL, 'unsupported' FROM c WHERE NOT lost AND odd
 UNION ALL SELECT path, 0, NULL, NULL, NULL, NULL, NULL, NULL, 'no-content' FROM c WHERE lost"""
 
-QUERIES = {"t1_stream_ingest": (t1, T1), "t2_admission": (t2, T2), "t3_once_for_ever": (t3_ever, T3_EVER), "s4_mail_parts": (s4, S4), "t6_coalesce_repeats": (t6, T6), "t6_coalesce_stream": (t6_stream, T6), "t4_stable_stream": (t4_stream, T4_STREAM)}
+def t9_running(spark, d):
+    """Votes, gaps and usage of the audit log as running totals over six files, started three times."""
+    rows = audit(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, root, state = (scratch(spark, f"reports-{x}") for x in ("in", "out", "state"))
+    for i in arrivals(rows, path, 6, F.lit(False)):
+        if i in (1, 3, 5):
+            sj.running_reports(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), root, state).awaitTermination()
+    _replay(spark, state, 5)
+    sj.running_reports(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), root, state).awaitTermination()
+    t = sj.running_totals(spark, root)
+    none = F.lit(None).cast("string")
+    a = sj.running_feedback(t).select(F.lit("A1").alias("report"), F.col("target").alias("key"), "down", "up", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("users"))
+    b = sj.running_gaps(t, 20).select(F.lit("A2").alias("report"), F.col("question").alias("key"), F.lit(0).cast("long").alias("down"), F.lit(0).cast("long").alias("up"), "n", F.lit(0).cast("long").alias("users"))
+    c = sj.running_usage(t).select(F.lit("A3").alias("report"), none.alias("key"), "down", "up", (F.col("queries") * 1_000_000 + F.col("no_evidence")).alias("n"), "users")
+    return a.unionByName(b).unionByName(c)
+
+
+T9_RUNNING = f"""WITH {AUDIT_SQL}, a2 AS (SELECT count(*) AS n, trim(target) AS question FROM audit WHERE action = 'query' AND detail = 'no-evidence' GROUP BY 2 ORDER BY 1 DESC, 2 LIMIT 20)
+SELECT 'A1' AS report, target AS key, count(*) FILTER (WHERE action = 'feedback_down') AS down, count(*) FILTER (WHERE action = 'feedback_up') AS up, 0 AS n, 0 AS users FROM audit WHERE action IN ('feedback_up', 'feedback_down') AND target <> '-' GROUP BY 2
+UNION ALL SELECT 'A2', question, 0, 0, n, 0 FROM a2
+UNION ALL SELECT 'A3', NULL, count(*) FILTER (WHERE action = 'feedback_down'), count(*) FILTER (WHERE action = 'feedback_up'), count(*) FILTER (WHERE action = 'query') * 1000000 + count(*) FILTER (WHERE action = 'query' AND detail = 'no-evidence'), count(DISTINCT CASE WHEN action = 'query' THEN user_id END) FROM audit"""
+
+QUERIES = {"t9_running_reports": (t9_running, T9_RUNNING), "t1_stream_ingest": (t1, T1), "t2_admission": (t2, T2), "t3_once_for_ever": (t3_ever, T3_EVER), "s4_mail_parts": (s4, S4), "t6_coalesce_repeats": (t6, T6), "t6_coalesce_stream": (t6_stream, T6), "t4_stable_stream": (t4_stream, T4_STREAM)}

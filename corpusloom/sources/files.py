@@ -302,18 +302,64 @@ def export_audit(audit: DataFrame, since: str, out: str | None = None) -> DataFr
 
 
 def space_index(articles: DataFrame, article_spaces: DataFrame) -> DataFrame:
-    """space, index_md: ordered links to the articles of each space."""
+    """space, position, line: ordered links to the articles of each space, a row a line; a space of any size is many tasks."""
     rows = articles.select("path", "title").join(article_spaces.select("path", F.explode("spaces").alias("space")), "path")
     link = F.concat(F.lit("- [["), tx.link_target("path"), F.lit("|"), tx.label("title"), F.lit("]]"))
-    return rows.groupBy("space").agg(F.array_join(F.array_sort(F.collect_list(link)), "\n").alias("index_md"))
+    return positions(rows.select("space", link.alias("line")).distinct(), ["space"], ["line"]).select("space", "position", "line")
+
+
+def write_space_index(index: DataFrame, root: str) -> None:
+    """Text files of ``space_index``'s lines, in order within and over the files of each space's folder."""
+    index.repartitionByRange("space", "position").sortWithinPartitions("space", "position").select("space", "line").write.mode("overwrite").partitionBy("space").text(root)
 
 
 def raw_manifest(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def dataset_digest(manifest: DataFrame) -> DataFrame:
-    """digest, n: one fingerprint of a file set, from 256 digests over the sorted paths and hashes of a part each."""
-    part = F.pmod(F.xxhash64("path"), F.lit(256))
-    parts = manifest.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit("\n"), "sha256"))), "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("n"))
+def digest_tree(manifest: DataFrame, depth: int | None = None) -> DataFrame:
+    """level, prefix, digest, n of every node of a tree over ``manifest(path, sha256)``.
+
+    A node of level L holds the files whose path's hash begins with its L hexadecimal digits.  The lowest level, ``depth``
+    (without it: so that a node has about 64 files), hashes its files' sorted lines; a node above hashes the digests of its
+    16 children at most.  No level gathers more than that in one row.
+    """
+    lines = manifest.select("path", F.concat("path", F.lit("\n"), "sha256").alias("line"), F.sha2(F.col("path").cast("string"), 256).alias("at"))
+    if depth is None:
+        n, depth = manifest.count(), 1
+        while n > 64 * 16**depth:
+            depth += 1
+    node = lines.groupBy(F.substring("at", 1, depth).alias("prefix")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    node = saved(node, "digests")
+    tree = node.select(F.lit(depth).alias("level"), "prefix", "digest", "n")
+    for level in range(depth - 1, -1, -1):
+        children = F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda x: F.concat(x["prefix"], F.lit(" "), x["digest"]))
+        node = node.groupBy(F.substring("prefix", 1, level).alias("prefix")).agg(F.sha2(F.array_join(children, "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+        tree = tree.unionByName(node.select(F.lit(level).alias("level"), "prefix", "digest", "n"))
+    return tree
+
+
+def dataset_digest(manifest: DataFrame, depth: int | None = None) -> DataFrame:
+    """digest, n: one fingerprint of a file set, the root of its tree (no row for an empty one)."""
+    return digest_tree(manifest, depth).where("level = 0").select("digest", "n")
+
+
+def changed_files(old: DataFrame, new: DataFrame, depth: int) -> tuple[list[tuple[int, str]], DataFrame]:
+    """The branches (level, prefix) in which two file sets differ (the first 1,000 of a level), and their files: path, change
+    (added, removed, changed).
+
+    Descends from the root, asking for the children of differing nodes alone; files are compared in the last branches only.
+    """
+    spark = old.sparkSession
+    trees = [saved(digest_tree(m, depth), "tree") for m in (old, new)]
+    branches: list[tuple[int, str]] = []
+    at = spark.createDataFrame([("",)], "prefix string")
+    for level in range(depth + 1):
+        a, b = (t.where(F.col("level") == level).join(at, F.substring(t["prefix"], 1, max(level - 1, 0)) == at["prefix"], "left_semi") for t in trees)
+        differ = saved(a.select("prefix", F.col("digest").alias("d0")).join(b.select("prefix", F.col("digest").alias("d1")), "prefix", "full_outer").where(~F.col("d0").eqNullSafe(F.col("d1"))).select("prefix"), "branches")
+        branches += [(level, r.prefix) for r in differ.orderBy("prefix").limit(1000).collect()]
+        at = differ
+    inside = lambda m: m.join(at, F.substring(F.sha2(m["path"].cast("string"), 256), 1, depth) == at["prefix"], "left_semi")
+    pairs = inside(old).select("path", F.col("sha256").alias("h0")).join(inside(new).select("path", F.col("sha256").alias("h1")), "path", "full_outer")
+    change = F.when(F.col("h0").isNull(), "added").when(F.col("h1").isNull(), "removed").otherwise("changed")
+    return branches, pairs.where(~F.col("h0").eqNullSafe(F.col("h1"))).select("path", change.alias("change"))

@@ -243,6 +243,54 @@ def audit_stream(stream: DataFrame, delay: str = "10 minutes", window: str = "1
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", window), "action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("detail") == "no-evidence").alias("no_evidence"))
 
 
+COUNTERS = ("queries", "no_evidence", "up", "down")
+
+
+def report_rows(audit: DataFrame) -> DataFrame:
+    """report, key, counters: what an audit row adds to the usage, its user, its target's votes and its question's gaps."""
+    action, hit = F.col("action"), lambda c: c.cast("long")
+    query, none = action == "query", (action == "query") & (F.col("detail") == "no-evidence")
+    up, down = action == "feedback_up", action == "feedback_down"
+    entry = lambda when, report, key: F.when(when, F.struct(F.lit(report).alias("report"), key.cast("string").alias("key")))
+    entries = F.array(entry(query | up | down, "usage", F.lit("")), entry(query, "user", F.col("user_id")), entry((up | down) & (F.col("target") != "-"), "vote", F.col("target")), entry(none, "gap", F.trim("target")))
+    rows = audit.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"), hit(query).alias("queries"), hit(none).alias("no_evidence"), hit(up).alias("up"), hit(down).alias("down"))
+    return rows.select("e.*", *COUNTERS)
+
+
+def running_reports(audit: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Totals of ``report_rows`` as a stream in update mode: a batch writes the keys that it changed with their new totals, in
+    a folder of its own that is replaced if the batch is repeated; of a key the row of the latest batch holds."""
+
+    def upsert(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    totals = report_rows(audit).groupBy("report", "key").agg(*(F.sum(c).alias(c) for c in COUNTERS))
+    return totals.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_totals(spark: SparkSession, root: str) -> DataFrame:
+    """report, key, counters as of the last batch."""
+    schema = "report string, key string, " + ", ".join(f"{c} long" for c in COUNTERS) + ", batch long"
+    rows = spark.read.schema(schema).option("basePath", root).parquet(root)
+    return rows.groupBy("report", "key").agg(F.max_by(F.struct(*COUNTERS), "batch").alias("t")).select("report", "key", "t.*")
+
+
+def running_feedback(totals: DataFrame) -> DataFrame:
+    """A1's rows of running totals."""
+    return totals.where("report = 'vote'").select(F.col("key").alias("target"), "down", "up").orderBy(F.desc("down"), "up", "target")
+
+
+def running_gaps(totals: DataFrame, limit: int = 50) -> DataFrame:
+    """A2's rows."""
+    return totals.where("report = 'gap'").select(F.col("no_evidence").alias("n"), F.col("key").alias("question")).orderBy(F.desc("n"), "question").limit(limit)
+
+
+def running_usage(totals: DataFrame) -> DataFrame:
+    """A3's row."""
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("report") == "usage", F.col(c))), F.lit(0)).alias(c)
+    return totals.agg(of("queries"), of("no_evidence"), F.count_if((F.col("report") == "user") & F.col("key").isNotNull()).alias("users"), of("up"), of("down"))
+
+
 def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now; for tests and small results."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
