@@ -1,8 +1,8 @@
 """A saved inverted index, and exact BM25 lists from it without scoring what cannot reach them.
 
-``build_index`` tokenizes every text once.  A term's postings lie in blocks of about ``block`` documents, dealt by document
-hash, so a term that every document holds is many rows and no task of its own; the table is partitioned by a hash of the
-term, and a question reads its terms' partitions.
+``build_index`` tokenizes every text once and counts it where it lies; its postings are shuffled once.  A term's postings
+lie in blocks that are dealt by document hash, so a term that every document holds is many rows and no task of its own; the
+table is partitioned by a hash of the term, and a question reads its terms' partitions.
 
 A list of k comes in four steps, for all questions and settings at once.  (1) Statistics over readable documents.  (2) The
 rarest terms of a question, until 4 k documents hold one, give partial scores; weights are not negative, so the k-th of them
@@ -15,8 +15,12 @@ are scored in full, in the order of their terms, so a score is the same whatever
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ BUCKETS = 64
 
 @dataclass
 class Index:
-    """blocks(bucket, term, block, docs ARRAY<STRUCT<path, tf, dl>>) and lengths(path, dl)."""
+    """blocks(bucket, term, block, docs ARRAY<STRUCT<path, tf, dl>>) and lengths(path, dl), a row for each document."""
 
     blocks: DataFrame
     lengths: DataFrame
@@ -38,35 +42,52 @@ def _bucket(term: str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build_index(docs: DataFrame, root: str | None = None, doc: str = "path", text: str = "text", block: int = 128, salts: int = 64) -> Index:
-    """The index of ``docs``, in a folder; documents without tokens have length 0."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, dl, terms, tfs of (path, tokens): a document's tokens are in one row, so nothing is shuffled to count them."""
+    for batch in batches:
+        tokens = batch.column(1)
+        dl = pc.fill_null(pc.list_value_length(tokens), 0)
+        of = np.repeat(np.arange(batch.num_rows), dl.to_numpy(zero_copy_only=False))
+        words = pc.dictionary_encode(tokens.flatten())
+        kinds = max(1, len(words.dictionary))
+        pairs, tf = np.unique(of * kinds + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        offsets = pa.array(np.searchsorted(pairs // kinds, np.arange(batch.num_rows + 1)).astype(np.int32))
+        terms = pa.ListArray.from_arrays(offsets, words.dictionary.take(pa.array(pairs % kinds)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), dl.cast(pa.int32()), terms, pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))], names=["path", "dl", "terms", "tfs"])
+
+
+def build_index(docs: DataFrame, root: str | None = None, doc: str = "path", text: str = "text", block: int = 1024) -> Index:
+    """The index of ``docs``, in a folder; documents without tokens have length 0.
+
+    ``block`` is how many documents of the corpus a block is dealt; it holds those of them that have its term.
+    """
     spark = docs.sparkSession
     root = root or scratch(spark, "index")
+    kind = docs.schema[doc].dataType.simpleString()
     tokens = docs.select(F.col(doc).alias("path"), tx.tokenize(text).alias("tokens"))
-    size = F.coalesce(F.size("tokens"), F.lit(0))
-    tokens.select("path", size.alias("dl")).write.parquet(f"{root}/lengths")
-    rows = tokens.select("path", size.alias("dl"), F.explode("tokens").alias("term")).groupBy("path", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    rows = saved(rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int")), "postings")
-    parts = rows.groupBy("term", "salt").agg(F.count(F.lit(1)).alias("n"))
-    df = parts.groupBy("term").agg(F.sum("n").alias("df"))
-    rows = rows.join(parts.join(df, "term").select("term", "salt", "df"), ["term", "salt"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("path", F.lit("block")), F.ceil(F.col("df") / block)).cast("int"))
-    blocks = rows.groupBy("term", "block").agg(F.collect_list(F.struct("path", "tf", "dl")).alias("docs")).withColumn("bucket", _bucket("term"))
-    blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/blocks")
+    tokens.mapInArrow(_counted, f"path {kind}, dl int, terms array<string>, tfs array<int>").write.parquet(f"{root}/documents")
+    counted = spark.read.parquet(f"{root}/documents")
+    n = counted.count()
+    rows = counted.select("path", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("path", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("path"), F.lit(max(1, -(-n // block)))).cast("int")).withColumn("bucket", _bucket("term"))
+    # one shuffle: of a bucket's blocks as many go together as a million documents make
+    rows = rows.withColumn("part", F.pmod("block", F.lit(max(1, -(-n // 1_000_000))))).repartition("bucket", "part")
+    blocks = rows.groupBy("bucket", "part", "term", "block").agg(F.collect_list(F.struct("path", "tf", "dl")).alias("docs")).drop("part")
+    blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/blocks")
     return open_index(spark, root)
 
 
 def open_index(spark: SparkSession, root: str) -> Index:
-    lengths = spark.read.parquet(f"{root}/lengths")
+    lengths = spark.read.parquet(f"{root}/documents").select("path", "dl")
     kind = lengths.schema["path"].dataType.simpleString()
     blocks = spark.read.schema(f"term string, block int, docs array<struct<path: {kind}, tf: int, dl: int>>, bucket int")
     return Index(blocks.parquet(f"{root}/blocks"), lengths)
 
 
 def index_of(docs: DataFrame, name: str) -> Index:
-    """The index of documents that come from files: built once for their present state, found again after that."""
+    """The index of documents that come from files: built once by an application for their present state."""
     spark = docs.sparkSession
-    state = []
+    state = [spark.sparkContext.applicationId]
     for f in sorted(docs.inputFiles()):
         p = spark._jvm.org.apache.hadoop.fs.Path(f)
         s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)

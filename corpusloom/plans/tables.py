@@ -39,7 +39,7 @@ def users(spark, d) -> DataFrame:
 
 
 def index(spark, d):
-    """The documents' inverted index: the first query over a folder builds it, others over the same files read it."""
+    """The documents' inverted index: an application's first query over a folder builds it, its others read it."""
     return index_of(docs(spark, d), "documents")
 
 
