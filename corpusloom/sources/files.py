@@ -259,7 +259,7 @@ def save_raw(parsed: DataFrame, existing: DataFrame, today: str) -> DataFrame:
     """
     rows = parsed.withColumn("content", raw_content(today)).withColumn("sha256", F.sha2("content", 256))
     rows = rows.withColumn("base", raw_base(today))
-    rows = saved(rows.select("base", "sha256", "space", "content").dropDuplicates(["base", "sha256"]), "raw")
+    whole, rows = rows.select("base", "sha256", "space", "content").dropDuplicates(["base", "sha256"]), saved(rows.select("base", "sha256").distinct(), "raw")
     bases = rows.select("base").distinct()
     old = _numbered(existing.select("sha256", F.regexp_replace("raw_path", r"\.md$", "").alias("stem")))
     kept_names = _numbered(bases.select(F.col("base").alias("stem"), F.lit(None).cast("string").alias("sha256"))).where("n > 1")
@@ -274,7 +274,8 @@ def save_raw(parsed: DataFrame, existing: DataFrame, today: str) -> DataFrame:
     new = both.where("j is not null").select("base", "sha256", (F.col("j") + F.col("before")).alias("n"), F.lit(True).alias("is_new"))
     done = new.unionByName(found.where("held is not null").select("base", "sha256", F.col("held").alias("n"), F.lit(False).alias("is_new")))
     path = F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(""), F.lit(".md"))
-    return rows.join(done, ["base", "sha256"]).select(path.alias("raw_path"), "space", "sha256", "content", "is_new")
+    # texts join last, and only where they are asked for
+    return whole.join(done, ["base", "sha256"]).select(path.alias("raw_path"), "space", "sha256", "content", "is_new")
 
 
 def render_articles(articles: DataFrame, titles: DataFrame) -> DataFrame:

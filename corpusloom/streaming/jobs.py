@@ -69,7 +69,7 @@ def ingest_batch(batch: DataFrame, number: int, root: str, ledger: str, names: s
     good = parts.where("error is null").withColumn("base", src.raw_base(today))
     held = good.select(ledgers.prefix(F.sha2(src.raw_root("base"), 256)).alias("prefix"))
     taken = ledgers.remembered(spark, names, "raw_path string, space string, sha256 string", held, number)
-    records = saved(src.save_raw(good.select("title", "text", "source_name", "published", "space"), taken, today), "batch-records")
+    records = saved(src.save_raw(good.select("title", "text", "source_name", "published", "space"), taken, today).drop("content"), "batch-records")
     # a record's name is made of what its content holds, so space and content tell records apart
     kept = records.select("raw_path", "space", F.col("sha256").alias("record"))
     placed = good.withColumn("record", F.sha2(src.raw_content(today), 256)).join(kept, ["space", "record"])
