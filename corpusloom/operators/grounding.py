@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import facts as fx
 from corpusloom.functions import text as tx
+from corpusloom.storage import saved
 
 
 def _claims(bodies: DataFrame) -> DataFrame:
-    """id, kind, key, value of the dates and numbers of ``bodies(id, body)``."""
+    """id, kind, key, value of the quotes, dates and numbers of ``bodies(id, body)``; each text is taken apart once."""
     read = fx.claim_text("body")
-    dates = F.transform(fx.extract_dates(read["date"]), lambda d: F.struct(F.lit("date").alias("kind"), F.concat_ws("-", d["y"], d["m"], d["d"]).alias("key"), d["text"].alias("value")))
+    claim = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+    quotes = F.transform(fx.extract_quotes(read["quote"]), lambda q: claim("quote", fx.squeeze(q), q))
+    dates = F.transform(fx.extract_dates(read["date"]), lambda d: claim("date", F.concat_ws("-", d["y"], d["m"], d["d"]), d["text"]))
     wanted = F.filter(fx.extract_numbers(read["number"]), lambda n: (F.length(F.rtrim(F.regexp_replace(n["text"], ",+$", ""))) >= 2) | n["text"].contains("."))
-    numbers = F.transform(wanted, lambda n: F.struct(F.lit("number").alias("kind"), n["canon"].alias("key"), F.regexp_replace(n["text"], ",+$", "").alias("value")))
-    return bodies.select("id", F.explode(F.concat(dates, numbers)).alias("c")).select("id", "c.kind", "c.key", "c.value")
+    numbers = F.transform(wanted, lambda n: claim("number", n["canon"], F.regexp_replace(n["text"], ",+$", "")))
+    return bodies.select("id", F.explode(F.concat(quotes, dates, numbers)).alias("c")).select("id", "c.kind", "c.key", "c.value")
 
 
 def _source_keys(sources: DataFrame) -> DataFrame:
@@ -27,12 +30,14 @@ def _source_keys(sources: DataFrame) -> DataFrame:
 def ungrounded_claims(bodies: DataFrame, sources: DataFrame) -> DataFrame:
     """id, kind, value of quotes, dates and numbers of ``bodies(id, body)`` that no text of ``sources(id, text)`` has.
 
-    Dates and numbers meet by key; quotes are looked for in the id's own source texts only.
+    Dates and numbers meet by key; quotes are looked for in the id's own source texts only, each by itself: a quote that
+    begins in one source and ends in the next is not grounded.
     """
-    loose = _claims(bodies).join(_source_keys(sources), ["id", "kind", "key"], "left_anti").select("id", "kind", "value")
-    quotes = bodies.select("id", F.explode(fx.extract_quotes(fx.claim_text("body")["quote"])).alias("value"))
-    texts = sources.select("id", fx.squeeze("text").alias("text"))
-    missing = quotes.join(texts, "id", "left").groupBy("id", "value").agg(F.coalesce(F.bool_or(F.contains("text", fx.squeeze("value"))), F.lit(False)).alias("found")).where("not found")
+    claims = saved(_claims(bodies), "claims")
+    loose = claims.where("kind <> 'quote'").join(_source_keys(sources), ["id", "kind", "key"], "left_anti").select("id", "kind", "value")
+    quotes = claims.where("kind = 'quote'").select("id", "key", "value")
+    texts = sources.join(quotes.select("id").distinct(), "id", "left_semi").select("id", fx.squeeze("text").alias("text"))
+    missing = quotes.join(texts, "id", "left").groupBy("id", "value").agg(F.coalesce(F.bool_or(F.contains("text", "key")), F.lit(False)).alias("found")).where("not found")
     return loose.unionByName(missing.select("id", F.lit("quote").alias("kind"), "value"))
 
 
