@@ -163,10 +163,10 @@ SELECT doc_id AS raw_path, (led.s IS NOT NULL) OR row_number() OVER (PARTITION B
 
 def j15(spark, d):
     failed = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("raw_path"))
-    return ax.undo_orphans(raw_files(spark, d), sources(spark, d).where("article_path > 100"), failed).select("raw_path", "space")
+    return ax.undo_orphans(raw_files(spark, d), sources(spark, d), failed).select("raw_path", "space")
 
 
-J15 = f"WITH {LABELS_SQL} SELECT raw_path, space FROM lab WHERE raw_path NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0 AND s_suppkey NOT IN (SELECT raw_path FROM src WHERE article_path > 100))"
+J15 = f"WITH {LABELS_SQL} SELECT raw_path, space FROM lab WHERE raw_path NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0 AND s_suppkey NOT IN (SELECT raw_path FROM src))"
 
 
 def j16(spark, d):
@@ -344,7 +344,7 @@ FROM documents WHERE lang IN ('es', 'de') OR source = 'src2'"""
 def e1(spark, d):
     """Parts as documents, order lines as their ingested files, orders as articles."""
     files = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc"), F.lit("s").alias("space"), F.col("p_partkey").cast("string").alias("sha256"))
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     ledger = li.select(F.lit("s").alias("space"), F.col("l_partkey").cast("string").alias("sha256"), F.concat(F.lit("raw/"), "l_orderkey").alias("raw_path"), F.lit("").alias("parent_raw"))
     edges = li.select(F.col("l_orderkey").cast("string").alias("article_path"), F.concat(F.lit("raw/"), "l_orderkey").alias("raw_path"))
     out = ex.gold_map(files, ledger, edges)
@@ -352,7 +352,7 @@ def e1(spark, d):
 
 
 E1 = """SELECT CAST(p_partkey AS VARCHAR) AS doc, CAST(count(DISTINCT l_orderkey) AS INT) AS raws, coalesce(string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR)), '') AS articles
-FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_linenumber = 1 GROUP BY 1"""
+FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1"""
 
 QUERIES = {
     "j1_readable_articles": (j1, J1), "j2_article_spaces": (j2, J2), "j3_filter_readable": (j3, J3), "j4_articles_with_spaces": (j4, J4), "j5_related_same_space": (j5, J5),

@@ -33,21 +33,56 @@ def _qa(spark, d):
     )
 
 
+_TYPES_SQL = "['lookup','numeric','latest','multi_doc','paraphrase','conflict','cross_space','unanswerable']"
+
+#: x: the graded questions of two BM25 settings, before their metrics.
+GRADED_SQL = f"""{STATS}, c AS (SELECT unnest([0.9, 1.5])::DOUBLE AS k1), w AS (SELECT k1, qid, path, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (0.25 + 0.75 * dl / avgdl)) AS w FROM q JOIN p USING (term) JOIN df USING (term) JOIN l USING (path), n, c),
+bm AS (SELECT k1, qid, path, round(sum(w), 6) AS score FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k1, qid ORDER BY score DESC, CAST(path AS BIGINT)) AS rank FROM bm WHERE score > 0),
+qa AS (SELECT item_id AS qid, CASE WHEN item_id % 8 = 7 THEN [] ELSE list_distinct([item_id * 7 % 20, item_id * 11 % 20]) END AS gold, {_TYPES_SQL}[item_id % 8 + 1] AS type, CASE WHEN item_id % 10 < 7 THEN 'tune' ELSE 'heldout' END AS split FROM benchmark),
+a AS (SELECT doc_id // 50 AS doc, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1), g AS (SELECT qid, unnest(gold) AS doc FROM qa), nr AS (SELECT qid, sum(n) AS n FROM g JOIN a USING (doc) GROUP BY 1),
+h AS (SELECT k1, qid, rank, path // 50 AS doc, list_contains(gold, path // 50) AS rel FROM r JOIN qa USING (qid) WHERE rank <= {K}),
+m AS (SELECT k1, qid, count(DISTINCT doc) FILTER (WHERE rel) AS covered, min(rank) FILTER (WHERE rel) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel), 0) AS dcg FROM h GROUP BY 1, 2),
+x AS (SELECT c.k1, qa.*, covered, first, dcg, m.qid IS NULL AS empty, least({K}, coalesce(nr.n, len(gold))) AS best FROM qa CROSS JOIN c LEFT JOIN m ON m.qid = qa.qid AND m.k1 = c.k1 LEFT JOIN nr ON nr.qid = qa.qid)"""
+
+
+def _graded(spark, d):
+    """Sources, gold documents and questions: every fifty documents are the articles of one gold document, two by two from
+    one raw file."""
+    k = F.col("doc_id")
+    raw = F.floor(k / 2).cast("string")
+    made = table(spark, d, "documents").select(F.floor(k / 50).cast("string").alias("doc"), k.cast("string").alias("article_path"), raw.alias("raw_path"))
+    gold = made.groupBy("doc").agg(F.array_sort(F.collect_set("raw_path")).alias("raw_paths"), F.array_sort(F.collect_set("article_path")).alias("articles"))
+    i = F.col("id")
+    qa = _qa(spark, d).withColumn("gold_docs", F.when(F.size("gold_docs") > 0, F.array_distinct(F.array((i * 7 % 20).cast("string"), (i * 11 % 20).cast("string")))).otherwise(F.col("gold_docs")))
+    return made.select("article_path", "raw_path"), gold, qa
+
+
+def _swept(spark, d, cfg):
+    return ex.sweep_scores(questions(spark, d), docs(spark, d), readable(spark, d), cfg, 6, index(spark, d)).withColumn("path", F.col("path").cast("string"))
+
+
+def _evaluated(spark, d, cfg):
+    return ex.evaluate(_swept(spark, d, cfg), *_graded(spark, d), K, ["hash"], cfg)
+
+
 def _rows(spark, d):
-    """A row per question with the planned columns of an evaluation, made of numbers alone."""
-    e = table(spark, d, "orders")
-    k = F.col("o_orderkey")
-    types = F.array(*map(F.lit, ("lookup", "numeric", "latest", "multi_doc", "paraphrase", "conflict", "cross_space", "unanswerable")))
-    return e.select(
-        k.alias("qid"), F.get(types, (k % 8).cast("int")).alias("type"), F.when(k % 10 < 7, "tune").otherwise("heldout").alias("split"), ((k % 5) / 4).alias("recall"), (k % 2).cast("double").alias("hit"), (k % 3 == 0).cast("double").alias("hit1"),
-        (1.0 / (1 + k % 4)).alias("mrr"), ((k % 7) / 6).alias("ndcg"), (k % 6 == 0).alias("empty"), (k % 3 == 1).alias("correct"), (F.col("o_totalprice") % 1000).alias("latency_ms"),
-        F.when(k % 1000 == 5, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("leak"), (k % 9).cast("string").alias("hash"),
-    )
+    """Evaluated questions of two BM25 settings: right is a first hit that is gold (nothing found, where nothing is to be
+    found); a first hit in another language than the asker's leaks."""
+    cfg = ex.grid(spark, {"retrieval_mode": ["bm25"], "bm25_k1": [0.9, 1.5], "bm25_b": [0.75], "top_k": [K]})
+    hits = _swept(spark, d, cfg)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.length("text").cast("double").alias("latency_ms"))
+    first = hits.where("rank = 1").join(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "lang"), "path").select("hash", "qid", "lang")
+    rows = ex.evaluate(hits, *_graded(spark, d), K, ["hash"], cfg).join(first, ["hash", "qid"], "left").join(asked, "qid")
+    outside = F.coalesce(F.col("lang") != F.when(F.col("qid") % 2 == 0, "en").otherwise("fr"), F.lit(False))
+    correct = F.when(F.col("type").isin(*rx.REFUSAL), F.col("empty")).otherwise(F.col("hit1") == 1)
+    rows = rows.withColumn("leak", F.when(outside, F.array(F.lit("outside"))).otherwise(F.array().cast("array<string>"))).withColumn("correct", correct)
+    return rows.join(cfg.select("hash", F.col("bm25_k1").cast("string").alias("k1")), "hash").drop("hash", "lang").withColumnRenamed("k1", "hash")
 
 
-_ROWS_SQL = """rows AS (SELECT o_orderkey AS k, ['lookup','numeric','latest','multi_doc','paraphrase','conflict','cross_space','unanswerable'][o_orderkey % 8 + 1] AS type, CASE WHEN o_orderkey % 10 < 7 THEN 'tune' ELSE 'heldout' END AS split,
-(o_orderkey % 5) / 4.0 AS recall, CAST(o_orderkey % 2 AS DOUBLE) AS hit, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END AS hit1, 1.0 / (1 + o_orderkey % 4) AS mrr, (o_orderkey % 7) / 6.0 AS ndcg, o_orderkey % 6 = 0 AS empty, o_orderkey % 3 = 1 AS correct,
-fmod(o_totalprice, 1000) AS latency_ms, o_orderkey % 1000 = 5 AS leak, CAST(o_orderkey % 9 AS VARCHAR) AS hash FROM orders), s AS (SELECT *, type NOT IN ('cross_space', 'unanswerable') AS ans, 0.5 * recall + 0.3 * mrr + 0.2 * ndcg AS rs, CASE WHEN empty THEN 1.0 ELSE 0.0 END AS em FROM rows)"""
+_ROWS_SQL = f"""{GRADED_SQL}, top AS (SELECT k1, qid, lang FROM r JOIN documents ON doc_id = path WHERE rank = 1),
+rows AS (SELECT x.qid AS k, type, split, CASE WHEN len(gold) > 0 THEN coalesce(covered, 0) / len(gold) ELSE 0 END AS recall, coalesce(1.0::DOUBLE / first, 0) AS mrr,
+CASE WHEN best > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(best AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg, empty, CASE WHEN type IN ('cross_space', 'unanswerable') THEN empty ELSE coalesce(first = 1, false) END AS correct,
+coalesce(lang <> CASE WHEN x.qid % 2 = 0 THEN 'en' ELSE 'fr' END, false) AS leak, CAST(x.k1 AS VARCHAR) AS hash FROM x LEFT JOIN top ON top.k1 = x.k1 AND top.qid = x.qid), s AS (SELECT *, type NOT IN ('cross_space', 'unanswerable') AS ans, 0.5 * recall + 0.3 * mrr + 0.2 * ndcg AS rs, CASE WHEN empty THEN 1.0 ELSE 0.0 END AS em FROM rows)"""
 
 
 def _r(df, *cols):
@@ -154,8 +189,8 @@ def e16(spark, d):
     return _r(ex.gap_table(_rows(spark, d)), "tune", "heldout", "gap")
 
 
-E16 = f"""WITH {_ROWS_SQL}, g AS (SELECT type, avg(CASE WHEN ans THEN rs ELSE em END) FILTER (WHERE split = 'tune') AS t, avg(CASE WHEN ans THEN rs ELSE em END) FILTER (WHERE split = 'heldout') AS h FROM s GROUP BY 1)
-SELECT type, round(t, 6)::DOUBLE AS tune, round(h, 6)::DOUBLE AS heldout, round(t - h, 6)::DOUBLE AS gap FROM g"""
+E16 = f"""WITH {_ROWS_SQL}, gg AS (SELECT type, avg(CASE WHEN ans THEN rs ELSE em END) FILTER (WHERE split = 'tune') AS t, avg(CASE WHEN ans THEN rs ELSE em END) FILTER (WHERE split = 'heldout') AS h FROM s GROUP BY 1)
+SELECT type, round(t, 6)::DOUBLE AS tune, round(h, 6)::DOUBLE AS heldout, round(t - h, 6)::DOUBLE AS gap FROM gg"""
 
 
 def e17(spark, d):
@@ -194,7 +229,7 @@ def a12(spark, d):
     return _r(rx.objective(_rows(spark, d), "answer", ["split"]), "objective")
 
 
-A12 = f"WITH {_ROWS_SQL}, c AS (SELECT split, ans, CASE WHEN correct THEN 1.0 ELSE 0.0 END AS c FROM s) SELECT split, round(0.7 * avg(c) FILTER (WHERE ans) + 0.3 * avg(c) FILTER (WHERE NOT ans), 6)::DOUBLE AS objective FROM c GROUP BY 1"
+A12 = f"WITH {_ROWS_SQL}, cc AS (SELECT split, ans, CASE WHEN correct THEN 1.0 ELSE 0.0 END AS c FROM s) SELECT split, round(0.7 * avg(c) FILTER (WHERE ans) + 0.3 * avg(c) FILTER (WHERE NOT ans), 6)::DOUBLE AS objective FROM cc GROUP BY 1"
 
 
 def e18(spark, d):

@@ -8,7 +8,7 @@ from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vx
 from corpusloom.operators import decisions as dx
 from corpusloom.operators import evaluation as ex
-from corpusloom.plans.eval_q import K, _qa, _r
+from corpusloom.plans.eval_q import GRADED_SQL, K, _evaluated, _r
 from corpusloom.plans.search_q import _DENSE, STATS, _qvecs, _seen, _vectors
 from corpusloom.plans.tables import docs, index, questions, readable, scratch, table
 from corpusloom.sources import files as src
@@ -17,23 +17,6 @@ from corpusloom.streaming import jobs as sj
 _TYPES_SQL = "['lookup','numeric','latest','multi_doc','paraphrase','conflict','cross_space','unanswerable']"
 
 
-def _graded(spark, d):
-    """Sources, gold documents and questions: every fifty documents are the articles of one gold document, two by two from
-    one raw file."""
-    k = F.col("doc_id")
-    raw = F.floor(k / 2).cast("string")
-    made = table(spark, d, "documents").select(F.floor(k / 50).cast("string").alias("doc"), k.cast("string").alias("article_path"), raw.alias("raw_path"))
-    gold = made.groupBy("doc").agg(F.array_sort(F.collect_set("raw_path")).alias("raw_paths"), F.array_sort(F.collect_set("article_path")).alias("articles"))
-    i = F.col("id")
-    qa = _qa(spark, d).withColumn("gold_docs", F.when(F.size("gold_docs") > 0, F.array_distinct(F.array((i * 7 % 20).cast("string"), (i * 11 % 20).cast("string")))).otherwise(F.col("gold_docs")))
-    return made.select("article_path", "raw_path"), gold, qa
-
-
-def _evaluated(spark, d, cfg):
-    hits = ex.sweep_scores(questions(spark, d), docs(spark, d), readable(spark, d), cfg, 6, index(spark, d)).withColumn("path", F.col("path").cast("string"))
-    return ex.evaluate(hits, *_graded(spark, d), K, ["hash"], cfg)
-
-
 def e11(spark, d):
     """Two BM25 settings, retrieved and graded."""
     cfg = ex.grid(spark, {"retrieval_mode": ["bm25"], "bm25_k1": [0.9, 1.5], "bm25_b": [0.75], "top_k": [K]})
@@ -41,13 +24,7 @@ def e11(spark, d):
     return _r(out.select("bm25_k1", "qid", "type", "split", "recall", "hit1", "mrr", "ndcg", "empty"), "recall", "mrr", "ndcg")
 
 
-E11 = f"""WITH {STATS}, c AS (SELECT unnest([0.9, 1.5])::DOUBLE AS k1), w AS (SELECT k1, qid, path, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (0.25 + 0.75 * dl / avgdl)) AS w FROM q JOIN p USING (term) JOIN df USING (term) JOIN l USING (path), n, c),
-s AS (SELECT k1, qid, path, round(sum(w), 6) AS score FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k1, qid ORDER BY score DESC, CAST(path AS BIGINT)) AS rank FROM s WHERE score > 0),
-qa AS (SELECT item_id AS qid, CASE WHEN item_id % 8 = 7 THEN [] ELSE list_distinct([item_id * 7 % 20, item_id * 11 % 20]) END AS gold, {_TYPES_SQL}[item_id % 8 + 1] AS type, CASE WHEN item_id % 10 < 7 THEN 'tune' ELSE 'heldout' END AS split FROM benchmark),
-a AS (SELECT doc_id // 50 AS doc, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1), g AS (SELECT qid, unnest(gold) AS doc FROM qa), nr AS (SELECT qid, sum(n) AS n FROM g JOIN a USING (doc) GROUP BY 1),
-h AS (SELECT k1, qid, rank, path // 50 AS doc, list_contains(gold, path // 50) AS rel FROM r JOIN qa USING (qid) WHERE rank <= {K}),
-m AS (SELECT k1, qid, count(DISTINCT doc) FILTER (WHERE rel) AS covered, min(rank) FILTER (WHERE rel) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel), 0) AS dcg FROM h GROUP BY 1, 2),
-x AS (SELECT c.k1, qa.*, covered, first, dcg, m.qid IS NULL AS empty, least({K}, coalesce(nr.n, len(gold))) AS best FROM qa CROSS JOIN c LEFT JOIN m ON m.qid = qa.qid AND m.k1 = c.k1 LEFT JOIN nr ON nr.qid = qa.qid)
+E11 = f"""WITH {GRADED_SQL}
 SELECT k1 AS bm25_k1, qid, type, split, round(CASE WHEN len(gold) > 0 THEN coalesce(covered, 0) / len(gold) ELSE 0 END, 6) AS recall, CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit1, round(coalesce(1.0 / first, 0), 6)::DOUBLE AS mrr,
 round(CASE WHEN best > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(best AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6)::DOUBLE AS ndcg, empty FROM x"""
 

@@ -50,7 +50,7 @@ def a6(spark, d):
     """Orders as ingest results, their lines as sources."""
     o = table(spark, d, "orders")
     results = o.select(F.col("o_orderkey").alias("raw_path"), F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "failed").otherwise("duplicate").alias("status"))
-    edges = table(spark, d, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("raw_path"), F.col("l_suppkey").alias("article_path"))
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("raw_path"), F.col("l_suppkey").alias("article_path"))
     emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("path"))
     failures = rx.ingest_failures(results).agg(F.count(F.lit(1)).alias("failures"))
     out = rx.ingest_summary(results, edges, emb).crossJoin(failures)
@@ -58,8 +58,8 @@ def a6(spark, d):
 
 
 A6 = """SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS done, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS failed, (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')) AS duplicate,
-(SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS failures, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_linenumber > 2) AS articles, (SELECT count(DISTINCT vec_id) FROM embeddings) AS embedded,
-(SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2)) AS without_article"""
+(SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS failures, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS articles, (SELECT count(DISTINCT vec_id) FROM embeddings) AS embedded,
+(SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS without_article"""
 
 
 def a7(spark, d):
