@@ -32,7 +32,7 @@ BUCKETS = 64
 
 @dataclass
 class Index:
-    """blocks(bucket, term, block, docs ARRAY<STRUCT<path, tf, dl>>) and lengths(path, dl), a row for each document."""
+    """blocks(bucket, term, block, chunks ARRAY<STRUCT<paths, tfs, dls>>) and lengths(path, dl), a row for each document."""
 
     blocks: DataFrame
     lengths: DataFrame
@@ -42,18 +42,29 @@ def _bucket(term: str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, dl, terms, tfs of (path, tokens): a document's tokens are in one row, so nothing is shuffled to count them."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, block, paths, tfs, dls of (path, block, tokens): the postings of a batch of documents, packed by term and block,
+    and a row without a term that has the lengths of all of them."""
+    names = ["term", "block", "paths", "tfs", "dls"]
     for batch in batches:
-        tokens = batch.column(1)
-        dl = pc.fill_null(pc.list_value_length(tokens), 0)
-        of = np.repeat(np.arange(batch.num_rows), dl.to_numpy(zero_copy_only=False))
+        paths, blocks, tokens = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+        dl = pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32())
+        whole = pa.array([0, batch.num_rows], pa.int32())
+        lists = lambda at, values: pa.ListArray.from_arrays(at, values)
+        none = pa.array(np.zeros(batch.num_rows, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([-1], pa.int32()), lists(whole, paths), lists(whole, none), lists(whole, dl)], names=names)
         words = pc.dictionary_encode(tokens.flatten())
         kinds = max(1, len(words.dictionary))
+        of = np.repeat(np.arange(batch.num_rows), dl.to_numpy())
         pairs, tf = np.unique(of * kinds + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        offsets = pa.array(np.searchsorted(pairs // kinds, np.arange(batch.num_rows + 1)).astype(np.int32))
-        terms = pa.ListArray.from_arrays(offsets, words.dictionary.take(pa.array(pairs % kinds)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), dl.cast(pa.int32()), terms, pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))], names=["path", "dl", "terms", "tfs"])
+        doc = pairs // kinds
+        key = blocks[doc] * np.int64(kinds) + pairs % kinds
+        order = np.argsort(key, kind="stable")
+        key, doc, tf = key[order], doc[order], tf[order].astype(np.int32)
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        at = pa.array(np.append(heads, len(key)).astype(np.int32))
+        doc = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(key[heads] % kinds)), pa.array((key[heads] // kinds).astype(np.int32)), lists(at, paths.take(doc)), lists(at, pa.array(tf)), lists(at, dl.take(doc))], names=names)
 
 
 def build_index(docs: DataFrame, root: str | None = None, doc: str = "path", text: str = "text", block: int = 1024) -> Index:
@@ -64,23 +75,23 @@ def build_index(docs: DataFrame, root: str | None = None, doc: str = "path", tex
     spark = docs.sparkSession
     root = root or scratch(spark, "index")
     kind = docs.schema[doc].dataType.simpleString()
-    tokens = docs.select(F.col(doc).alias("path"), tx.tokenize(text).alias("tokens"))
-    tokens.mapInArrow(_counted, f"path {kind}, dl int, terms array<string>, tfs array<int>").write.parquet(f"{root}/documents")
-    counted = spark.read.parquet(f"{root}/documents")
-    n = counted.count()
-    rows = counted.select("path", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("path", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("path"), F.lit(max(1, -(-n // block)))).cast("int")).withColumn("bucket", _bucket("term"))
-    # one shuffle: of a bucket's blocks as many go together as a million documents make
+    n = docs.count()
+    at = F.pmod(F.xxhash64(doc), F.lit(max(1, -(-n // block)))).cast("int")
+    tokens = docs.select(F.col(doc).alias("path"), at.alias("block"), tx.tokenize(text).alias("tokens"))
+    tokens.mapInArrow(_packed, f"term string, block int, paths array<{kind}>, tfs array<int>, dls array<int>").write.parquet(f"{root}/documents")
+    rows = spark.read.parquet(f"{root}/documents").where("term is not null").withColumn("bucket", _bucket("term"))
+    # one shuffle of packed postings: of a bucket's blocks as many go together as a million documents make
     rows = rows.withColumn("part", F.pmod("block", F.lit(max(1, -(-n // 1_000_000))))).repartition("bucket", "part")
-    blocks = rows.groupBy("bucket", "part", "term", "block").agg(F.collect_list(F.struct("path", "tf", "dl")).alias("docs")).drop("part")
+    blocks = rows.groupBy("bucket", "part", "term", "block").agg(F.collect_list(F.struct("paths", "tfs", "dls")).alias("chunks")).drop("part")
     blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/blocks")
     return open_index(spark, root)
 
 
 def open_index(spark: SparkSession, root: str) -> Index:
-    lengths = spark.read.parquet(f"{root}/documents").select("path", "dl")
-    kind = lengths.schema["path"].dataType.simpleString()
-    blocks = spark.read.schema(f"term string, block int, docs array<struct<path: {kind}, tf: int, dl: int>>, bucket int")
+    packed = spark.read.parquet(f"{root}/documents")
+    lengths = packed.where("term is null").select(F.explode(F.arrays_zip("paths", "dls")).alias("x")).select(F.col("x.paths").alias("path"), F.col("x.dls").alias("dl"))
+    kind = packed.schema["paths"].dataType.elementType.simpleString()
+    blocks = spark.read.schema(f"term string, block int, chunks array<struct<paths: array<{kind}>, tfs: array<int>, dls: array<int>>>, bucket int")
     return Index(blocks.parquet(f"{root}/blocks"), lengths)
 
 
@@ -111,23 +122,25 @@ def bm25_lists(questions: DataFrame, index: Index, readable: DataFrame, configs:
     ``configs(hash, bm25_k1, bm25_b, top_k)``, by score (rounded to ``digits``), then path."""
     margin = 2 * 10.0**-digits if digits else 1e-9
     asked = questions.select("qid", "acl_key", F.explode(F.array_distinct(tx.tokenize("text"))).alias("term"))
-    terms = asked.select("term").distinct().withColumn("bucket", _bucket("term"))
-    few = index.blocks.join(terms, ["bucket", "term"], "left_semi").select("term", "block", F.explode("docs").alias("d")).select("term", "block", "d.path", "d.tf", "d.dl")
+    terms = saved(asked.select("term").distinct().withColumn("bucket", _bucket("term")).withColumn("tid", F.monotonically_increasing_id()), "asked")
+    few = index.blocks.join(terms, ["bucket", "term"]).select("tid", "block", F.explode("chunks").alias("c"))
+    few = few.select("tid", "block", F.explode(F.arrays_zip("c.paths", "c.tfs", "c.dls")).alias("d")).select("tid", "block", F.col("d.paths").alias("path"), F.col("d.tfs").alias("tf"), F.col("d.dls").alias("dl"))
+    asked = asked.join(terms.select("term", "tid"), "term")
     keys = readable.select("acl_key", "path").distinct().join(questions.select("acl_key").distinct(), "acl_key", "left_semi")
-    seen = saved(few.join(keys, "path").select("acl_key", "term", "block", "path", "tf", "dl"), "seen")
+    seen = saved(few.join(keys, "path").select("acl_key", "tid", "block", "path", "tf", "dl"), "seen")
     size = keys.join(index.lengths, "path").groupBy("acl_key").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    bounds = saved(seen.groupBy("acl_key", "term", "block").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least")), "blocks")
-    stats = bounds.groupBy("acl_key", "term").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.min("least").alias("least")).join(size, "acl_key")
+    bounds = saved(seen.groupBy("acl_key", "tid", "block").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least")), "blocks")
+    stats = bounds.groupBy("acl_key", "tid").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.min("least").alias("least")).join(size, "acl_key")
     stats = stats.withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("n")
 
     # a row for each setting, question and term that a readable document holds
-    each = asked.join(stats, ["acl_key", "term"]).crossJoin(_settings(configs)).where("idf > 0").withColumn("top", _weight("most", "least"))
+    each = asked.join(stats, ["acl_key", "tid"]).crossJoin(_settings(configs)).where("idf > 0").withColumn("top", _weight("most", "least"))
     of = Window.partitionBy("hash", "qid")
     rarest = of.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     each = saved(each.withColumn("docs_before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).withColumn("all_tops", F.sum("top").over(of)), "terms")
 
     key = ["hash", "qid", "path"]
-    first = each.where("docs_before < 4 * k").select("hash", "qid", "acl_key", "term", "idf", "avgdl", "k1", "b", "k").join(seen, ["acl_key", "term"])
+    first = each.where("docs_before < 4 * k").select("hash", "qid", "acl_key", "tid", "idf", "avgdl", "k1", "b", "k").join(seen, ["acl_key", "tid"])
     partial = first.groupBy(*key).agg(F.sum(_weight("tf", "dl")).alias("s"), F.first("k").alias("k"))
     most = configs.agg(F.coalesce(F.max("top_k"), F.lit(0)).alias("k")).first().k
     nth = F.row_number().over(of.orderBy(F.desc("s"), "path"))
@@ -136,12 +149,12 @@ def bm25_lists(questions: DataFrame, index: Index, readable: DataFrame, configs:
     each = each.withColumn("low", F.sum("top").over(of.orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)))
     each = saved(each.withColumn("needed", F.col("low") >= F.col("reach")).withColumn("left_out", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("top"))).over(of), F.lit(0.0))), "terms")
 
-    blocks = each.where("needed").join(bounds.select("acl_key", "term", "block", F.col("most").alias("m"), F.col("least").alias("l")), ["acl_key", "term"])
-    blocks = blocks.where(_weight("m", "l") + F.col("all_tops") - F.col("top") >= F.col("reach")).select("hash", "qid", "acl_key", "term", "block", "idf", "avgdl", "k1", "b", "reach", "left_out")
-    found = blocks.join(seen, ["acl_key", "term", "block"]).groupBy(*key, "acl_key", "reach", "left_out").agg(F.sum(_weight("tf", "dl")).alias("s"))
+    blocks = each.where("needed").join(bounds.select("acl_key", "tid", "block", F.col("most").alias("m"), F.col("least").alias("l")), ["acl_key", "tid"])
+    blocks = blocks.where(_weight("m", "l") + F.col("all_tops") - F.col("top") >= F.col("reach")).select("hash", "qid", "acl_key", "tid", "block", "idf", "avgdl", "k1", "b", "reach", "left_out")
+    found = blocks.join(seen, ["acl_key", "tid", "block"]).groupBy(*key, "acl_key", "reach", "left_out").agg(F.sum(_weight("tf", "dl")).alias("s"))
     candidates = saved(found.where("s + left_out >= reach").select(*key, "acl_key"), "candidates")
     near = seen.join(candidates.select("acl_key", "path").distinct(), ["acl_key", "path"], "left_semi")
-    parts = candidates.join(near, ["acl_key", "path"]).join(each.select("hash", "qid", "term", "idf", "avgdl", "k1", "b", "k"), ["hash", "qid", "term"])
+    parts = candidates.join(near, ["acl_key", "path"]).join(each.select("hash", "qid", "tid", "term", "idf", "avgdl", "k1", "b", "k"), ["hash", "qid", "tid"])
     lists = parts.select(*key, "k", "term", _weight("tf", "dl").alias("w")).groupBy(*key, "k").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("parts"))
     score = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["w"])
     rows = lists.select(*key, "k", (F.round(score, digits) if digits else score).alias("score")).where("score > 0")

@@ -61,6 +61,6 @@ def test_index_is_found_again_for_the_same_files(spark, tmp_path):
     docs.limit(3).write.mode("append").parquet(path)
     again = px.index_of(read(), "t")
     assert sorted(again.blocks.inputFiles()) != sorted(first.blocks.inputFiles()) and again.lengths.count() == docs.count() + 3
-    sizes = first.blocks.select(F.size("docs").alias("n")).agg(F.max("n")).first()[0]
+    sizes = first.blocks.select(F.size(F.flatten(F.transform("chunks", lambda c: c["paths"]))).alias("n")).agg(F.max("n")).first()[0]
     assert sizes <= docs.count()
     assert px.build_index(docs.limit(0)).lengths.count() == 0
