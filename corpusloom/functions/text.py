@@ -194,7 +194,7 @@ def magic_ok(extension: Column | str, content: Column | str) -> Column:
     )
 
 
-#: Error categories by ordered tests on the lower-cased message.
+# Error categories by ordered tests on the lower-cased message.
 ERROR_RULES = [
     ("unsupported", ["unsupported"]),
     ("too-large", ["too large"]),
@@ -227,6 +227,7 @@ def clean_note(title: Column | str, text: Column | str, url: Column | str) -> Co
 
 def is_refusal(answer: Column | str, marker: str = "근거 없음") -> Column:
     """Only the refusal marker, apart from white space and punctuation around it."""
+    # Fixed value: the characters that may surround the marker.
     trimmed = F.btrim(F.coalesce(col(answer), F.lit("")), F.lit(" \t\r\n.!?。'\"`“”‘’[]()"))
     return F.regexp_replace(trimmed, r"(?U)\s+", " ") == marker
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -111,22 +111,33 @@ CUT = "[... truncated ...]"
 MIN_TAIL = 300
 
 
-def pack_context(hits: DataFrame, bodies: DataFrame, budget: int, cap: int | None = None) -> DataFrame:
-    """qid, included, context, truncated: bodies in rank order into ``budget`` characters.
+def retry_budget(budget: Column | int, n_ctx: Column | None = None) -> Column:
+    """Characters for a second try: half, and no more than 0.8 of what the size (in tokens) that the model reported leaves;
+    300 at least."""
+    half = F.floor((budget if isinstance(budget, Column) else F.lit(budget)) / 2)
+    if n_ctx is not None:
+        half = F.least(half, F.when(n_ctx > 0, F.floor(F.lit(0.8) * tx.context_budget(n_ctx))))  # null: half alone
+    return F.greatest(F.lit(MIN_TAIL), half).cast("int")
+
+
+def pack_context(hits: DataFrame, bodies: DataFrame, budget: int | None = None, cap: int | None = None) -> DataFrame:
+    """qid, included, context, truncated: bodies in rank order into ``budget`` characters (without it: those that the
+    column ``budget`` of ``hits`` gives each question).
 
     One running sum decides: the first row that overflows is cut to what is left (dropped, if something is included and
     under 300 characters are left), and everything after it is dropped.
     """
     body = F.col("body")
-    rows = hits.select("qid", "path", "rank").join(bodies.select("path", "body"), "path")
+    budget = F.col("budget") if budget is None else F.lit(budget)
+    rows = hits.select("qid", "path", "rank", budget.alias("budget")).join(bodies.select("path", "body"), "path")
     rows = rows.withColumn("capped", F.length(body) > cap if cap else F.lit(False)).withColumn("body", F.substring(body, 1, cap) if cap else body)
     order = Window.partitionBy("qid").orderBy("rank")
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("head", F.concat(F.lit("["), F.col("n"), F.lit("] "), F.col("path"), F.lit("\n")))
     size = F.length("head") + F.length("body") + F.when(F.col("n") > 1, 2).otherwise(0)
     rows = rows.withColumn("size", size).withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("over", F.col("before") + F.col("size") > budget)
+    rows = rows.withColumn("over", F.col("before") + F.col("size") > F.col("budget"))
     rows = rows.withColumn("first_over", F.min(F.when(F.col("over"), F.col("n"))).over(Window.partitionBy("qid")))
-    left = budget - F.col("before") - F.when(F.col("n") > 1, 2).otherwise(0) - F.length("head")
+    left = F.col("budget") - F.col("before") - F.when(F.col("n") > 1, 2).otherwise(0) - F.length("head")
     keep = F.col("first_over").isNull() | (F.col("n") < F.col("first_over")) | ((F.col("n") == F.col("first_over")) & ((F.col("n") == 1) | (left >= MIN_TAIL)))
     cut = F.col("n") == F.col("first_over")
     short = F.concat(F.substring(body, F.lit(1), F.greatest(left - len(CUT) - 1, F.lit(0)).cast("int")), F.lit("\n" + CUT))
@@ -138,18 +149,20 @@ def pack_context(hits: DataFrame, bodies: DataFrame, budget: int, cap: int | Non
     return out.select("qid", F.transform("k", lambda x: x["path"]).alias("included"), F.array_join(F.transform("k", lambda x: x["entry"]), "\n\n").alias("context"), "truncated")
 
 
-def answer(questions: DataFrame, packed: DataFrame, fn: Callable, repack: Callable[[DataFrame], DataFrame] | None = None, marker: str = "근거 없음") -> DataFrame:
+def answer(questions: DataFrame, packed: DataFrame, fn: Callable, repack: Callable[[DataFrame], DataFrame] | None = None, marker: str = "근거 없음", budget: int | None = None) -> DataFrame:
     """qid, answer, status (answered, refused, no-evidence, too-long) by a caller's vectorised function.
 
     ``fn`` is a ``mapInPandas`` function from (qid, text, context) to (qid, answer, too_long); rows that were too long
-    are tried once more with the contexts that ``repack`` makes for them (half the budget).
+    are tried once more with the contexts that ``repack`` makes for them.  With ``budget``, that of the first contexts,
+    ``fn`` gives n_ctx as well (the size in tokens that the model reported, or null), and ``repack`` gets (qid, budget) by
+    ``retry_budget``, ready to be joined with hits for ``pack_context``; without it, qid alone.
     """
     asked = questions.select("qid", "text")
     ready = asked.join(packed.where("context <> ''").select("qid", "context"), "qid")
-    schema = f"qid {questions.schema['qid'].dataType.simpleString()}, answer string, too_long boolean"
+    schema = f"qid {questions.schema['qid'].dataType.simpleString()}, answer string, too_long boolean" + (", n_ctx int" if budget is not None else "")
     first = ready.mapInPandas(fn, schema)
     if repack is not None:
-        again = first.where("too_long").select("qid")
+        again = first.where("too_long").select("qid", *([retry_budget(budget, F.col("n_ctx")).alias("budget")] if budget is not None else []))
         second = asked.join(repack(again).select("qid", "context"), "qid").mapInPandas(fn, schema)
         first = first.where("not too_long").unionByName(second).unionByName(first.where("too_long").join(second.select("qid"), "qid", "left_anti"))
     status = F.when(F.col("too_long"), "too-long").when(tx.is_refusal("answer", marker), "refused").otherwise("answered")

@@ -91,3 +91,27 @@ def test_a_repeated_batch_is_archived_once(spark, tmp_path):
     for batch in (0, 1, 1, 0):
         sj.archive_outcome(rows, str(tmp_path / "arch"), batch)
     assert spark.read.parquet(str(tmp_path / "arch")).groupBy("status").count().orderBy("status").collect() == [("done", 2), ("failed", 2)]
+
+
+def test_second_tries_get_their_budget(spark):
+    from corpusloom.operators import search as sx
+
+    sizes = spark.createDataFrame([(1, None), (2, 8192), (3, 1600), (4, 0)], "qid int, n_ctx int")
+    got = {r.qid: r.b for r in sizes.select("qid", sx.retry_budget(6000, F.col("n_ctx")).alias("b")).collect()}
+    assert got == {1: 3000, 2: 3000, 3: 1200, 4: 3000}
+    assert sizes.select(sx.retry_budget(400).alias("b")).first().b == 300
+
+    questions = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "qid int, text string")
+    hits = spark.createDataFrame([(q, "p", 1) for q in (1, 2, 3)], "qid int, path string, rank int")
+    bodies = spark.createDataFrame([("p", "x" * 9000)], "path string, body string")
+
+    def model(parts):  # a question's model takes 700 characters and says so in its own way
+        for pdf in parts:
+            pdf["too_long"] = (pdf["context"].str.len() > 3000) | ((pdf["qid"] == 3) & (pdf["context"].str.len() > 100))
+            pdf["answer"] = pdf["context"].str.len().astype(str)
+            pdf["n_ctx"] = pdf["qid"].map({1: None, 2: 1700, 3: 1700}).astype("Int32")
+            yield pdf[["qid", "answer", "too_long", "n_ctx"]]
+
+    again = lambda few: sx.pack_context(hits.join(few, "qid"), bodies)
+    out = {r.qid: (r.answer, r.status) for r in sx.answer(questions, sx.pack_context(hits, bodies, 6000), model, again, budget=6000).collect()}
+    assert out == {1: ("3000", "answered"), 2: ("1200", "answered"), 3: ("1200", "too-long")}
