@@ -67,7 +67,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(key[heads] % kinds)), pa.array((key[heads] // kinds).astype(np.int32)), lists(at, paths.take(doc)), lists(at, pa.array(tf)), lists(at, dl.take(doc))], names=names)
 
 
-def build_index(docs: DataFrame, root: str | None = None, doc: str = "path", text: str = "text", block: int = 1024) -> Index:
+def build_index(docs: DataFrame, root: str | None = None, doc: str = "path", text: str = "text", block: int = 16_384) -> Index:
     """The index of ``docs``, in a folder; documents without tokens have length 0.
 
     ``block`` is how many documents of the corpus a block is dealt; it holds those of them that have its term.
