@@ -83,3 +83,14 @@ def test_refine_goes_on_where_a_driver_ended(spark, tmp_path):
     assert len(asked) > before > 1 and len(asked) == len(set(asked))  # no trial twice
     n = len(asked)
     assert ex.refine_job(spark, log, start, space, score).first().score == 0.5 and len(asked) == n
+
+
+def test_registered_queries_import_without_a_session():
+    """The driver's functions are read before a session is there, and every query with SQL is registered."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q), len(o))"], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    assert int(said.stdout.split()[0]) >= 140
