@@ -1,8 +1,9 @@
 """A saved inverted index, and exact BM25 lists from it without scoring what cannot reach them.
 
-``build_index`` tokenizes every text once and counts it where it lies; its postings are shuffled once.  A term's postings
-lie in blocks that are dealt by document hash, so a term that every document holds is many rows and no task of its own; the
-table is partitioned by a hash of the term, and a question reads its terms' partitions.
+``build_index`` tokenizes every text once, counts it where it lies and packs the postings of a batch of documents by term;
+nothing is shuffled.  A term's postings belong to blocks that are dealt by document hash, so a term that every document holds
+is many rows and no task of its own; the table is partitioned by a hash of the term and sorted by it within a file, and a
+question reads its terms' partitions.
 
 A list of k comes in four steps, for all questions and settings at once.  (1) Statistics over readable documents.  (2) The
 rarest terms of a question, until 4 k documents hold one, give partial scores; weights are not negative, so the k-th of them
@@ -27,19 +28,20 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.storage import exists, saved, scratch
 
-BUCKETS = 64
+BUCKETS = 16
 
 
 @dataclass
 class Index:
-    """blocks(bucket, term, block, chunks ARRAY<STRUCT<paths, tfs, dls>>) and lengths(path, dl), a row for each document."""
+    """postings(bucket, term, block, paths, tfs, dls): arrays of one length, several rows a block; and lengths(path, dl), a row
+    for each document."""
 
-    blocks: DataFrame
+    postings: DataFrame
     lengths: DataFrame
 
 
 def _bucket(term: str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.when(F.col(term).isNotNull(), F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,21 +80,17 @@ def build_index(docs: DataFrame, root: str | None = None, doc: str = "path", tex
     n = docs.count()
     at = F.pmod(F.xxhash64(doc), F.lit(max(1, -(-n // block)))).cast("int")
     tokens = docs.select(F.col(doc).alias("path"), at.alias("block"), tx.tokenize(text).alias("tokens"))
-    tokens.mapInArrow(_packed, f"term string, block int, paths array<{kind}>, tfs array<int>, dls array<int>").write.parquet(f"{root}/documents")
-    rows = spark.read.parquet(f"{root}/documents").where("term is not null").withColumn("bucket", _bucket("term"))
-    # one shuffle of packed postings: of a bucket's blocks as many go together as a million documents make
-    rows = rows.withColumn("part", F.pmod("block", F.lit(max(1, -(-n // 1_000_000))))).repartition("bucket", "part")
-    blocks = rows.groupBy("bucket", "part", "term", "block").agg(F.collect_list(F.struct("paths", "tfs", "dls")).alias("chunks")).drop("part")
-    blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/blocks")
-    return open_index(spark, root)
+    rows = tokens.mapInArrow(_packed, f"term string, block int, paths array<{kind}>, tfs array<int>, dls array<int>")
+    # nothing is shuffled: a task writes a sorted file a bucket
+    rows.withColumn("bucket", F.coalesce(_bucket("term"), F.lit(-1))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/postings")
+    return open_index(spark, root, kind)
 
 
-def open_index(spark: SparkSession, root: str) -> Index:
-    packed = spark.read.parquet(f"{root}/documents")
-    lengths = packed.where("term is null").select(F.explode(F.arrays_zip("paths", "dls")).alias("x")).select(F.col("x.paths").alias("path"), F.col("x.dls").alias("dl"))
-    kind = packed.schema["paths"].dataType.elementType.simpleString()
-    blocks = spark.read.schema(f"term string, block int, chunks array<struct<paths: array<{kind}>, tfs: array<int>, dls: array<int>>>, bucket int")
-    return Index(blocks.parquet(f"{root}/blocks"), lengths)
+def open_index(spark: SparkSession, root: str, kind: str) -> Index:
+    """The index in a folder; ``kind`` is the type of its paths."""
+    rows = spark.read.schema(f"term string, block int, paths array<{kind}>, tfs array<int>, dls array<int>, bucket int").parquet(f"{root}/postings")
+    lengths = rows.where("bucket = -1").select(F.explode(F.arrays_zip("paths", "dls")).alias("x")).select(F.col("x.paths").alias("path"), F.col("x.dls").alias("dl"))
+    return Index(rows.where("bucket >= 0"), lengths)
 
 
 def index_of(docs: DataFrame, name: str) -> Index:
@@ -105,7 +103,9 @@ def index_of(docs: DataFrame, name: str) -> Index:
         state.append(f"{f} {s.getLen()} {s.getModificationTime()}")
     base = scratch(spark, "x").rsplit("/", 1)[0]
     root = f"{base}/index-{name}-{hashlib.sha256('|'.join(state).encode()).hexdigest()[:24]}"
-    return open_index(spark, root) if exists(spark, f"{root}/blocks/_SUCCESS") else build_index(docs, root if not exists(spark, root) else None)
+    if exists(spark, f"{root}/postings/_SUCCESS"):
+        return open_index(spark, root, docs.schema["path"].dataType.simpleString())
+    return build_index(docs, root if not exists(spark, root) else None)
 
 
 def _settings(configs: DataFrame) -> DataFrame:
@@ -123,8 +123,7 @@ def bm25_lists(questions: DataFrame, index: Index, readable: DataFrame, configs:
     margin = 2 * 10.0**-digits if digits else 1e-9
     asked = questions.select("qid", "acl_key", F.explode(F.array_distinct(tx.tokenize("text"))).alias("term"))
     terms = saved(asked.select("term").distinct().withColumn("bucket", _bucket("term")).withColumn("tid", F.monotonically_increasing_id()), "asked")
-    few = index.blocks.join(terms, ["bucket", "term"]).select("tid", "block", F.explode("chunks").alias("c"))
-    few = few.select("tid", "block", F.explode(F.arrays_zip("c.paths", "c.tfs", "c.dls")).alias("d")).select("tid", "block", F.col("d.paths").alias("path"), F.col("d.tfs").alias("tf"), F.col("d.dls").alias("dl"))
+    few = index.postings.join(terms, ["bucket", "term"]).select("tid", "block", F.explode(F.arrays_zip("paths", "tfs", "dls")).alias("d")).select("tid", "block", F.col("d.paths").alias("path"), F.col("d.tfs").alias("tf"), F.col("d.dls").alias("dl"))
     asked = asked.join(terms.select("term", "tid"), "term")
     keys = readable.select("acl_key", "path").distinct().join(questions.select("acl_key").distinct(), "acl_key", "left_semi")
     seen = saved(few.join(keys, "path").select("acl_key", "tid", "block", "path", "tf", "dl"), "seen")

@@ -57,10 +57,10 @@ def test_index_is_found_again_for_the_same_files(spark, tmp_path):
     docs.write.parquet(path)
     read = lambda: spark.read.parquet(path)
     first = px.index_of(read(), "t")
-    assert sorted(px.index_of(read(), "t").blocks.inputFiles()) == sorted(first.blocks.inputFiles())
+    assert sorted(px.index_of(read(), "t").postings.inputFiles()) == sorted(first.postings.inputFiles())
     docs.limit(3).write.mode("append").parquet(path)
     again = px.index_of(read(), "t")
-    assert sorted(again.blocks.inputFiles()) != sorted(first.blocks.inputFiles()) and again.lengths.count() == docs.count() + 3
-    sizes = first.blocks.select(F.size(F.flatten(F.transform("chunks", lambda c: c["paths"]))).alias("n")).agg(F.max("n")).first()[0]
-    assert sizes <= docs.count()
+    assert sorted(again.postings.inputFiles()) != sorted(first.postings.inputFiles()) and again.lengths.count() == docs.count() + 3
+    term = first.postings.where("term = 'w0'").select(F.explode("paths").alias("path"))
+    assert term.count() == term.distinct().count() == docs.where("text rlike '\\\\bw0\\\\b'").count()
     assert px.build_index(docs.limit(0)).lengths.count() == 0
