@@ -9,7 +9,8 @@ A list of k comes in four steps, for all questions and settings at once.  (1) St
 rarest terms of a question, until 4 k documents hold one, give partial scores; weights are not negative, so the k-th of them
 is a score that the list's last row reaches.  (3) Terms whose greatest weights together stay below it cannot bring a document
 into the list alone; of the other terms' blocks, those are read whose greatest weight, with those of the question's other
-terms, reaches it.  The documents found there, with what the terms left out could add, are the candidates.  (4) Candidates
+terms, reaches it.  Their sums reach further, and the documents that, with what the terms left out could add, come up to that are the
+candidates.  (4) Candidates
 are scored in full, in the order of their terms, so a score is the same whatever was skipped.
 """
 
@@ -138,27 +139,38 @@ def bm25_lists(questions: DataFrame, index: Index, readable: DataFrame, configs:
     rarest = of.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     each = saved(each.withColumn("docs_before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).withColumn("all_tops", F.sum("top").over(of)), "terms")
 
-    key = ["hash", "qid", "path"]
-    first = each.where("docs_before < 4 * k").select("hash", "qid", "acl_key", "tid", "idf", "avgdl", "k1", "b", "k").join(seen, ["acl_key", "tid"])
-    partial = first.groupBy(*key).agg(F.sum(_weight("tf", "dl")).alias("s"), F.first("k").alias("k"))
+    # from here on a number stands for a setting and question: rows of it and a path are what is shuffled
+    pairs = saved(each.select("hash", "qid", "k").distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    each = each.join(pairs.drop("k"), ["hash", "qid"])
+    of, key = Window.partitionBy("pair"), ["pair", "path"]
     most = configs.agg(F.coalesce(F.max("top_k"), F.lit(0)).alias("k")).first().k
-    nth = F.row_number().over(of.orderBy(F.desc("s"), "path"))
-    reach = partial.withColumn("nth", nth).where(F.col("nth") <= int(most)).where("nth = k").select("hash", "qid", (F.col("s") - margin).alias("reach"))
-    each = each.join(reach, ["hash", "qid"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf"))))
+
+    def reached(partial: DataFrame) -> DataFrame:
+        """pair, reach: the k-th of partial scores, a score that the list's last row has at least."""
+        nth = F.row_number().over(of.orderBy(F.desc("s"), "path"))
+        best = partial.withColumn("nth", nth).where(F.col("nth") <= int(most)).join(pairs.select("pair", "k"), "pair")
+        return best.where("nth = k").select("pair", (F.col("s") - margin).alias("reach"))
+
+    first = each.where("docs_before < 4 * k").select("pair", "acl_key", "tid", "idf", "avgdl", "k1", "b").join(seen, ["acl_key", "tid"])
+    reach = reached(first.groupBy(*key).agg(F.sum(_weight("tf", "dl")).alias("s")))
+    each = each.join(reach, "pair", "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf"))))
     each = each.withColumn("low", F.sum("top").over(of.orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)))
     each = saved(each.withColumn("needed", F.col("low") >= F.col("reach")).withColumn("left_out", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("top"))).over(of), F.lit(0.0))), "terms")
 
     blocks = each.where("needed").join(bounds.select("acl_key", "tid", "block", F.col("most").alias("m"), F.col("least").alias("l")), ["acl_key", "tid"])
-    blocks = blocks.where(_weight("m", "l") + F.col("all_tops") - F.col("top") >= F.col("reach")).select("hash", "qid", "acl_key", "tid", "block", "idf", "avgdl", "k1", "b", "reach", "left_out")
-    found = blocks.join(seen, ["acl_key", "tid", "block"]).groupBy(*key, "acl_key", "reach", "left_out").agg(F.sum(_weight("tf", "dl")).alias("s"))
-    candidates = saved(found.where("s + left_out >= reach").select(*key, "acl_key"), "candidates")
+    blocks = blocks.where(_weight("m", "l") + F.col("all_tops") - F.col("top") >= F.col("reach")).select("pair", "acl_key", "tid", "block", "idf", "avgdl", "k1", "b")
+    found = saved(blocks.join(seen, ["acl_key", "tid", "block"]).groupBy(*key).agg(F.sum(_weight("tf", "dl")).alias("s")), "found")
+    # what is read by now reaches further than the rarest terms did
+    bar = each.select("pair", "acl_key", "left_out", F.col("reach").alias("r0")).distinct().join(reached(found), "pair", "left")
+    bar = bar.select("pair", "acl_key", (F.greatest("r0", F.coalesce("reach", F.lit(float("-inf")))) - F.col("left_out")).alias("bar"))
+    candidates = saved(found.join(bar, "pair").where("s >= bar").select(*key, "acl_key"), "candidates")
     near = seen.join(candidates.select("acl_key", "path").distinct(), ["acl_key", "path"], "left_semi")
-    parts = candidates.join(near, ["acl_key", "path"]).join(each.select("hash", "qid", "tid", "term", "idf", "avgdl", "k1", "b", "k"), ["hash", "qid", "tid"])
-    lists = parts.select(*key, "k", "term", _weight("tf", "dl").alias("w")).groupBy(*key, "k").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("parts"))
+    parts = candidates.join(near, ["acl_key", "path"]).join(each.select("pair", "tid", "term", "idf", "avgdl", "k1", "b"), ["pair", "tid"])
+    lists = parts.select(*key, "term", _weight("tf", "dl").alias("w")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("parts"))
     score = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["w"])
-    rows = lists.select(*key, "k", (F.round(score, digits) if digits else score).alias("score")).where("score > 0")
+    rows = lists.select(*key, (F.round(score, digits) if digits else score).alias("score")).where("score > 0")
     rank = F.row_number().over(of.orderBy(F.desc("score"), "path"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= int(most)).where("rank <= k").drop("k")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= int(most)).join(pairs, "pair").where("rank <= k").select("hash", "qid", "path", "score", "rank")
 
 
 def bm25_topk(questions: DataFrame, index: Index, readable: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, digits: int | None = None) -> DataFrame:
