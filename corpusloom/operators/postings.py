@@ -8,19 +8,20 @@ question reads its terms' partitions.
 A list of k comes in four steps, for all questions and settings at once.  (1) Statistics over readable documents.  (2) The
 rarest terms of a question, until 4 k documents hold one, give partial scores; weights are not negative, so the k-th of them
 is a score that the list's last row reaches.  (3) Terms whose greatest weights together stay below it cannot bring a document
-into the list alone; of the other terms' blocks, those are read whose greatest weight, with those of the question's other
-terms, reaches it.  Their sums reach further, and the documents that, with what the terms left out could add, come up to that are the
-candidates.  (4) Candidates
-are scored in full, in the order of their terms, so a score is the same whatever was skipped.
+into the list alone; a question reads the blocks in which another of its terms has a greatest weight that, with those of its
+other terms, reaches it.  (4) A part of a block and a slice of the questions meet in a task, where documents are scored in full,
+in the order of their terms, so a score is the same whatever was skipped; what is shuffled then is about k rows a question
+and part.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,8 @@ from corpusloom.functions import text as tx
 from corpusloom.storage import exists, saved, scratch
 
 BUCKETS = 16
+PARTS = 4  # a block's documents are scored in so many parts
+SLICE = 2_000  # questions, times settings, that a task scores
 
 
 @dataclass
@@ -118,6 +121,42 @@ def _weight(tf: str, dl: str) -> Column:
     return F.col("idf") * tf * (F.col("k1") + 1) / (tf + F.col("k1") * (1 - F.col("b") + F.col("b") * dl / F.col("avgdl")))
 
 
+def _scorer(margin: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """(postings of a part of a block, terms of a slice of questions) to pair, path, s: of each question the k best documents
+    of the part, and those within ``margin`` of the k-th, which rounding could put before it."""
+
+    def score(held: pd.DataFrame, reads: pd.DataFrame) -> pd.DataFrame:
+        if held.empty or reads.empty:
+            return pd.DataFrame({"pair": np.array([], np.int64), "path": held["path"].iloc[:0], "s": np.array([], float)})
+        held, reads = held.sort_values("tid"), reads.sort_values(["pair", "term"])
+        doc, paths = pd.factorize(held["path"], sort=True)
+        tf, dl = held["tf"].to_numpy(float), held["dl"].to_numpy(float)
+        tid = held["tid"].to_numpy()
+        head, end = (np.searchsorted(tid, reads["tid"].to_numpy(), side) for side in ("left", "right"))
+        idf, avgdl, k1, b, reach = (reads[c].to_numpy(float) for c in ("idf", "avgdl", "k1", "b", "reach"))
+        pair, k = reads["pair"].to_numpy(), reads["k"].fillna(0).to_numpy(int)
+        bounds = np.append(np.flatnonzero(np.diff(pair, prepend=pair[0] - 1)), len(pair))
+        out = []
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            n = end[lo:hi] - head[lo:hi]
+            at = np.arange(n.sum()) + np.repeat(head[lo:hi] - np.cumsum(n) + n, n)
+            q = np.repeat(np.arange(lo, hi), n)
+            w = idf[q] * tf[at] * (k1[q] + 1) / (tf[at] + k1[q] * (1 - b[q] + b[q] * dl[at] / avgdl[q]))
+            s = np.bincount(doc[at], w, len(paths))  # adds in the order of terms
+            hit = np.flatnonzero((s > 0) & (s >= reach[lo]))
+            hit = hit[np.lexsort((hit, -s[hit]))]  # numbers of documents are in the order of paths
+            if len(hit) > k[lo] > 0:
+                hit = hit[s[hit] >= s[hit[k[lo] - 1]] - margin]
+                first = np.flatnonzero(np.diff(s[hit], prepend=np.inf))
+                nth = np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))
+                hit = hit[nth < k[lo]]  # of equal scores the first k paths are enough
+            out.append((np.full(len(hit), pair[lo]), hit, s[hit]))
+        pair, hit, s = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"pair": pair, "path": paths.take(hit), "s": s})
+
+    return score
+
+
 def bm25_lists(questions: DataFrame, index: Index, readable: DataFrame, configs: DataFrame, digits: int | None = None) -> DataFrame:
     """hash, qid, path, score > 0, rank: the first ``top_k`` documents of ``questions(qid, acl_key, text)`` for each of
     ``configs(hash, bm25_k1, bm25_b, top_k)``, by score (rounded to ``digits``), then path."""
@@ -155,20 +194,20 @@ def bm25_lists(questions: DataFrame, index: Index, readable: DataFrame, configs:
     reach = reached(first.groupBy(*key).agg(F.sum(_weight("tf", "dl")).alias("s")))
     each = each.join(reach, "pair", "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf"))))
     each = each.withColumn("low", F.sum("top").over(of.orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)))
-    each = saved(each.withColumn("needed", F.col("low") >= F.col("reach")).withColumn("left_out", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("top"))).over(of), F.lit(0.0))), "terms")
+    each = saved(each.withColumn("needed", F.col("low") >= F.col("reach")), "terms")
 
     blocks = each.where("needed").join(bounds.select("acl_key", "tid", "block", F.col("most").alias("m"), F.col("least").alias("l")), ["acl_key", "tid"])
-    blocks = blocks.where(_weight("m", "l") + F.col("all_tops") - F.col("top") >= F.col("reach")).select("pair", "acl_key", "tid", "block", "idf", "avgdl", "k1", "b")
-    found = saved(blocks.join(seen, ["acl_key", "tid", "block"]).groupBy(*key).agg(F.sum(_weight("tf", "dl")).alias("s")), "found")
-    # what is read by now reaches further than the rarest terms did
-    bar = each.select("pair", "acl_key", "left_out", F.col("reach").alias("r0")).distinct().join(reached(found), "pair", "left")
-    bar = bar.select("pair", "acl_key", (F.greatest("r0", F.coalesce("reach", F.lit(float("-inf")))) - F.col("left_out")).alias("bar"))
-    candidates = saved(found.join(bar, "pair").where("s >= bar").select(*key, "acl_key"), "candidates")
-    near = seen.join(candidates.select("acl_key", "path").distinct(), ["acl_key", "path"], "left_semi")
-    parts = candidates.join(near, ["acl_key", "path"]).join(each.select("pair", "tid", "term", "idf", "avgdl", "k1", "b"), ["pair", "tid"])
-    lists = parts.select(*key, "term", _weight("tf", "dl").alias("w")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("parts"))
-    score = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["w"])
-    rows = lists.select(*key, (F.round(score, digits) if digits else score).alias("score")).where("score > 0")
+    blocks = blocks.where(_weight("m", "l") + F.col("all_tops") - F.col("top") >= F.col("reach")).select("pair", "block").distinct()
+    slices = max(1, -(-pairs.count() // SLICE))
+    places = ["acl_key", "block", "part", "slice"]
+    reads = each.join(blocks, "pair").select(
+        "acl_key", "block", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.pmod(F.xxhash64("pair"), F.lit(slices)).cast("int").alias("slice"),
+        "pair", "term", "tid", "idf", "avgdl", "k1", "b", "k", "reach")
+    part = F.pmod(F.xxhash64("path", F.lit("part")), F.lit(PARTS)).cast("int")
+    held = seen.select("acl_key", "block", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "tid", "path", "tf", "dl")
+    kind = seen.schema["path"].dataType.simpleString()
+    scored = held.groupBy(*places).cogroup(reads.groupBy(*places)).applyInPandas(_scorer(margin), f"pair long, path {kind}, s double")
+    rows = scored.select(*key, (F.round("s", digits) if digits else F.col("s")).alias("score")).where("score > 0")
     rank = F.row_number().over(of.orderBy(F.desc("score"), "path"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= int(most)).join(pairs, "pair").where("rank <= k").select("hash", "qid", "path", "score", "rank")
 
