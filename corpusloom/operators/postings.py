@@ -1,8 +1,8 @@
 """A saved inverted index, and exact BM25 lists from it without scoring what cannot reach them.
 
 ``build_index`` tokenizes every text once, counts it where it lies and packs the postings of a batch of documents by term;
-nothing is shuffled.  A term's postings belong to blocks that are dealt by document hash, so a term that every document holds
-is many rows and no task of its own; the table is partitioned by a hash of the term and sorted by it within a file, and a
+nothing is shuffled.  A block is the documents of a batch, so a term that every document holds is many rows and no task of its
+own, and packed rows grow with the documents; the table is partitioned by a hash of the term and sorted by it within a file, and a
 question reads its terms' partitions.
 
 A list of k comes in four steps, for all questions and settings at once.  (1) Statistics over readable documents.  (2) The
@@ -48,17 +48,21 @@ def _bucket(term: str) -> Column:
     return F.when(F.col(term).isNotNull(), F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, block, paths, tfs, dls of (path, block, tokens): the postings of a batch of documents, packed by term and block,
-    and a row without a term that has the lengths of all of them."""
+def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """term, block, paths, tfs, dls of (path, task, tokens): the postings of a batch of documents, packed by term and block
+    (``size`` of its documents at most), and a row without a term that has the lengths of all of them."""
     names = ["term", "block", "paths", "tfs", "dls"]
+    base = 0
     for batch in batches:
-        paths, blocks, tokens = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+        if not batch.num_rows:
+            continue
+        paths, tokens, blocks = batch.column(0), batch.column(2), np.arange(batch.num_rows) // size
+        base = base or int(batch.column(1)[0].as_py()) << 32
         dl = pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32())
         whole = pa.array([0, batch.num_rows], pa.int32())
         lists = lambda at, values: pa.ListArray.from_arrays(at, values)
         none = pa.array(np.zeros(batch.num_rows, np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([-1], pa.int32()), lists(whole, paths), lists(whole, none), lists(whole, dl)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([-1], pa.int64()), lists(whole, paths), lists(whole, none), lists(whole, dl)], names=names)
         words = pc.dictionary_encode(tokens.flatten())
         kinds = max(1, len(words.dictionary))
         of = np.repeat(np.arange(batch.num_rows), dl.to_numpy())
@@ -70,21 +74,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(np.diff(key, prepend=-1))
         at = pa.array(np.append(heads, len(key)).astype(np.int32))
         doc = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(key[heads] % kinds)), pa.array((key[heads] // kinds).astype(np.int32)), lists(at, paths.take(doc)), lists(at, pa.array(tf)), lists(at, dl.take(doc))], names=names)
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(key[heads] % kinds)), pa.array(base + key[heads] // kinds), lists(at, paths.take(doc)), lists(at, pa.array(tf)), lists(at, dl.take(doc))], names=names)
+        base += int(blocks[-1]) + 1
 
 
 def build_index(docs: DataFrame, root: str | None = None, doc: str = "path", text: str = "text", block: int = 16_384) -> Index:
     """The index of ``docs``, in a folder; documents without tokens have length 0.
 
-    ``block`` is how many documents of the corpus a block is dealt; it holds those of them that have its term.
+    ``block`` is how many documents a block has at most; a block ends with its Arrow batch.
     """
     spark = docs.sparkSession
     root = root or scratch(spark, "index")
     kind = docs.schema[doc].dataType.simpleString()
-    n = docs.count()
-    at = F.pmod(F.xxhash64(doc), F.lit(max(1, -(-n // block)))).cast("int")
-    tokens = docs.select(F.col(doc).alias("path"), at.alias("block"), tx.tokenize(text).alias("tokens"))
-    rows = tokens.mapInArrow(_packed, f"term string, block int, paths array<{kind}>, tfs array<int>, dls array<int>")
+    tokens = docs.select(F.col(doc).alias("path"), F.spark_partition_id().alias("task"), tx.tokenize(text).alias("tokens"))
+    rows = tokens.mapInArrow(lambda batches: _packed(batches, block), f"term string, block long, paths array<{kind}>, tfs array<int>, dls array<int>")
     # nothing is shuffled: a task writes a sorted file a bucket
     rows.withColumn("bucket", F.coalesce(_bucket("term"), F.lit(-1))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/postings")
     return open_index(spark, root, kind)
@@ -92,7 +95,7 @@ def build_index(docs: DataFrame, root: str | None = None, doc: str = "path", tex
 
 def open_index(spark: SparkSession, root: str, kind: str) -> Index:
     """The index in a folder; ``kind`` is the type of its paths."""
-    rows = spark.read.schema(f"term string, block int, paths array<{kind}>, tfs array<int>, dls array<int>, bucket int").parquet(f"{root}/postings")
+    rows = spark.read.schema(f"term string, block long, paths array<{kind}>, tfs array<int>, dls array<int>, bucket int").parquet(f"{root}/postings")
     lengths = rows.where("bucket = -1").select(F.explode(F.arrays_zip("paths", "dls")).alias("x")).select(F.col("x.paths").alias("path"), F.col("x.dls").alias("dl"))
     return Index(rows.where("bucket >= 0"), lengths)
 
