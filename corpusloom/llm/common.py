@@ -64,11 +64,15 @@ def drop_worker_cache() -> None:
         release_memory()
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """At most ``rows`` rows an Arrow batch in this session: whole texts are long, and both sides hold a batch at a time."""
+def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "4m") -> None:
+    """At most ``rows`` rows and, unless the session says otherwise, about ``size`` bytes an Arrow batch in this session:
+    whole texts are long, and both sides hold a batch at a time.  A longer row is a batch of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
 
 
 def release_memory() -> None:

@@ -46,8 +46,8 @@ class PieceEncoder:
     The pre-tokenizer of byte-level vocabularies never joins characters across ``non-space, space``, so the ids of a
     text are those of its pieces in order.  A piece is what follows a space, or a line feed and what follows it; a text
     starts as if behind a line feed.  Arrow splits a slice of texts and numbers its distinct pieces; those not met
-    before go through the tokenizers library together, and the ids of all pieces are laid out by one gather.  A worker
-    keeps the pieces used last.  Texts with runs of white space, other white space than single spaces and line feeds,
+    before go through the tokenizers library together, and the ids of the pieces are laid out by gathers, a part of the
+    slice at a time.  A worker keeps the pieces used last.  Texts with runs of white space, other white space than single spaces and line feeds,
     or special tokens go through the tokenizer whole.
     """
 
@@ -92,6 +92,12 @@ class PieceEncoder:
         begin = feeds + ~feed  # a piece with a line feed has its id as well
         return self._add(words, self._store(ids) + begin, np.append(feeds[1:], len(ids))[: len(feed)] - begin)
 
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The rows of these distinct pieces, -1 for those not met before.  Theirs is the table of hashes, as they are fewer."""
+        place, rows = pc.index_in(self.words, value_set=words), np.full(len(words), -1)
+        rows[place.drop_null().to_numpy()] = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        return rows
+
     def _meet(self, new: pa.Array) -> np.ndarray:
         """The rows of pieces not met before; letters before ASCII marks are two pre-tokens: their ids are joined from both."""
         body, base = pc.utf8_ltrim(new, "\n"), pc.utf8_rtrim(new, _MARKS)
@@ -99,9 +105,8 @@ class PieceEncoder:
         joined = pc.and_not(pc.and_(pc.not_equal(base, new), pc.match_substring_regex(base, f"^\n?{_LETTERS}$")), unfit)
         base, plain = base.filter(joined), pc.invert(pc.or_(unfit, joined))
         fresh = pa.concat_arrays([new.filter(plain), base]).unique()
-        row = pc.index_in(fresh, value_set=self.words)
-        row_of = pc.fill_null(row, -1).to_numpy().astype(np.int64)
-        row_of[row_of < 0] = self._learn(fresh.filter(pc.is_null(row)))
+        row_of = self._known(fresh)
+        row_of[row_of < 0] = self._learn(fresh.filter(pa.array(row_of < 0)))
         rows = np.zeros(len(new), np.int64)
         rows[plain.to_numpy(zero_copy_only=False)] = row_of[: pc.sum(plain).as_py()]  # they lead ``fresh``
         bad = new.filter(unfit)
@@ -132,25 +137,19 @@ class PieceEncoder:
         self.words, self.start, self.count, self.used = self.words.take(pa.array(kept)), start, self.count[kept], self.used[kept]
         self.ids, self.marks = ids, {}
 
-    def encode_array(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, offsets), each text's followed by ``end`` if given."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not len(texts):
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        if len(self.newline) != 1:  # a vocabulary without a lone line feed
-            return self._lay([np.append(self._ids(t), [] if end is None else end) for t in texts.to_pylist()])
-        self._keep_recent()
-        self.slices += 1
+    def _rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the row of each piece of all texts, where each text's begin and the last one's end)."""
         lists = pc.split_pattern(pc.binary_join_element_wise(*_large("\n"), pc.replace_substring(texts, "\n", " \n"), *_large("")), " ")
-        heads = lists.offsets.to_numpy()[:-1].astype(np.int64)
-        heads = heads - heads[0]
+        heads = lists.offsets.to_numpy().astype(np.int64)
         pieces = lists.flatten().dictionary_encode()
-        where = pc.index_in(pieces.dictionary, value_set=self.words)
-        rows = pc.fill_null(where, -1).to_numpy().astype(np.int64)
-        if where.null_count:
-            rows[rows < 0] = self._meet(pieces.dictionary.filter(pc.is_null(where)))
+        del lists
+        rows = self._known(pieces.dictionary)
+        if rows.min() < 0:
+            rows[rows < 0] = self._meet(pieces.dictionary.filter(pa.array(rows < 0)))
         self.used[rows] = self.slices
-        at = rows[pieces.indices.to_numpy()]
+        return rows.astype(np.int32)[pieces.indices.to_numpy()], heads - heads[0]
+
+    def _part(self, texts: pa.Array, at: np.ndarray, heads: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         start, count = self.start[at], self.count[at]
         start[heads] += 1  # the line feed before a text is none of its own
         whole = np.flatnonzero(np.minimum.reduceat(count, heads) < 0)
@@ -169,14 +168,30 @@ class PieceEncoder:
             heads, pool = heads + np.arange(len(heads)), np.append(pool, np.int32(end))
         return pool[_gather(start, count)], np.concatenate([[0], np.cumsum(np.add.reduceat(count, heads))])
 
+    def encode_parts(self, texts: pa.Array, end: int | None = None, pieces: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of texts, their ids in a row, offsets), for texts of about so many pieces at a time, in order; ``end``, if
+        given, follows each text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return
+        if len(self.newline) != 1:  # a vocabulary without a lone line feed
+            yield len(texts), *self._lay([np.append(self._ids(t), [] if end is None else end) for t in texts.to_pylist()])
+            return
+        self._keep_recent()
+        self.slices += 1
+        at, heads = self._rows(texts)
+        cuts = np.flatnonzero(np.diff(heads[:-1] // pieces)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+            yield b - a, *self._part(texts.slice(a, b - a), at[heads[a] : heads[b]], heads[a:b] - heads[a], end)
+
     @staticmethod
     def _lay(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32), np.cumsum([0, *map(len, rows)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        ids, at = self.encode_array(pa.array(texts, pa.string()))
-        return [ids[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:])]
+        parts = self.encode_parts(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<i4").tobytes() for _, ids, at in parts for a, b in zip(at[:-1], at[1:])]
 
 
 def _encoder(path: str) -> PieceEncoder:
@@ -190,7 +205,8 @@ def default_tokenizer() -> str:
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, slice_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, ids: the ids of each text and the end id.  Texts are encoded in slices of about ``slice_bytes``."""
+    """doc_id, ids: the ids of each text and the end id.  Texts are split in slices of about ``slice_bytes`` and their ids
+    laid out in smaller parts, so a worker holds little beside the pieces it keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer_path)
@@ -198,8 +214,9 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, slice_bytes
             before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             cuts = np.flatnonzero(np.diff(before // slice_bytes)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                ids, offsets = enc.encode_array(batch.column(1).slice(a, b - a), end_id)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
+                for n, ids, offsets in enc.encode_parts(batch.column(1).slice(a, b - a), end_id):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
+                    a += n
         release_memory()
 
     small_batches(docs.sparkSession)

@@ -3,7 +3,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, html_extract, langid, minhash, mixing, onebit, pii_lstm, token_count, token_orc, toxicity
 from corpusloom.llm.common import scratch_dir
@@ -306,3 +308,44 @@ def test_keep_identified_drops_only_texts_without_letters(spark):
     for model in (even, None):
         assert sorted(r.doc_id for r in langid.keep_identified(df, model).collect()) == [1, 5]
     assert {r.doc_id for r in langid.identify(df, even).where("lang_pred <> 'und'").collect()} == {1, 5}
+
+
+def test_token_ids_of_a_slice_are_laid_out_in_parts():
+    """What a worker holds beside the pieces it keeps does not grow with the slice."""
+    import random
+    import tracemalloc
+
+    rng, enc = random.Random(6), token_orc.PieceEncoder(token_orc.default_tokenizer())
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)]
+    texts = pa.array([" ".join(rng.choices(words, k=1000)) + "  end" * (i % 50 == 0) for i in range(600)])
+    plain = enc.encode(texts.to_pylist())
+    tracemalloc.start()
+    try:
+        got = [ids[a:b] for _, ids, at in enc.encode_parts(texts.slice(0, 300), 2) for a, b in zip(at[:-1], at[1:])]
+        del got
+        tracemalloc.reset_peak()
+        held, sizes, out = tracemalloc.get_traced_memory()[0], [], []
+        for n, ids, at in enc.encode_parts(texts, 2):
+            sizes.append(n)
+            out += [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
+        peak = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    assert out == [zlib.crc32(ids + (2).to_bytes(4, "little")) for ids in plain]
+    assert sum(sizes) == 600 and max(sizes) < 200
+    assert peak < 24 << 20, peak
+
+
+def test_arrow_batches_of_whole_texts_are_bounded_in_bytes(spark):
+    from corpusloom.llm.common import small_batches
+
+    small_batches(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows], pa.int64()), "size": pa.array([batch.nbytes], pa.int64())})
+
+    docs = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    got = docs.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r["rows"] for r in got) == 2000
+    assert max(r["size"] for r in got) < 5 << 20
