@@ -140,7 +140,8 @@ def mix_plan(docs: DataFrame, block: int = 128, share: float = 1.5, most: float
     slots = _slots(spark, [(i, -(-s // block), *d) for i, (s, d) in enumerate(zip(sizes, drawn)) if d[0]], shards, block, seed)
     # join blocks by index; the last slot of a source is cut to its words
     words = F.least("n", F.greatest(F.col("limit") - F.col("at"), F.lit(0)))
-    pieces = piece.join(slots, ["src", "block"]).select("row_key", "shard", "slot", "word_from", words.alias("words")).where("words > 0")
+    # both sides have a row a block, far more than the sizes of what they are made of say: neither is ever broadcast
+    pieces = piece.join(slots.hint("merge"), ["src", "block"]).select("row_key", "shard", "slot", "word_from", words.alias("words")).where("words > 0")
     return documents, pieces
 
 
@@ -161,7 +162,9 @@ def _slots(spark: SparkSession, sources: list[tuple[int, int, int, int]], shards
     shard = Window.partitionBy("shard")
     before = F.sum("n").over(shard.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     dealt = dealt.withColumn("offset", before).withColumn("in_shard", F.sum("n").over(shard))
-    dealt = dealt.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / (1 << 16))))).repartition("shard", "src", "piece")
+    # few bytes become many slots, so the tasks are by number of slots
+    tasks = max(1, -(-sum(s[2] for s in sources) // (1 << 16)))
+    dealt = dealt.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / (1 << 16))))).repartition(tasks, "shard", "src", "piece")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
