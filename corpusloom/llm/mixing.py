@@ -217,7 +217,8 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     ranges = runs.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("turn", "a", "b"))).alias("ranges"))
     # of rows alike in doc_id, source and text, the k-th takes the ranges of the k-th in the plan
     same = Window.partitionBy("doc_id", "source", "h").orderBy("row_key")
-    ranges = documents.select("row_key", "doc_id", "source", "h", F.row_number().over(same).alias("k")).join(ranges, "row_key").drop("row_key")
+    # the file of all rows is small beside the rows, and would be broadcast by its size
+    ranges = documents.select("row_key", "doc_id", "source", "h", F.row_number().over(same).alias("k")).hint("merge").join(ranges, "row_key").drop("row_key")
     d, s, h, k, r, mine, nth = (new_name(docs, f"mix_{c}") for c in ("d", "s", "h", "k", "ranges", "hash", "nth"))
     ranges = ranges.toDF(d, s, h, k, r)
     others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]

@@ -11,3 +11,9 @@ def test_blocks_and_slots_are_not_broadcast(spark):
     pieces.collect()
     plan = pieces._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin [src" in plan
+
+
+def test_rows_of_the_mix_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * 300, f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
+    plan = mixing.mix_documents(docs)._jdf.queryExecution().optimizedPlan()
+    assert "row_key" in plan.toString() and plan.toString().count("strategy=merge") == 2
