@@ -105,11 +105,14 @@ Q14 = "SELECT doc_id AS path, CASE WHEN lang IN ('es', 'fr') THEN 'raw-new' ELSE
 
 
 def q1(spark, d):
-    """Prices and dates of all lines, said to be from the delivered lines of their orders: which these do not hold."""
-    li = table(spark, d, "lineitem").where("l_linestatus = 'F'")
-    sources = li.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("line of "), F.format_number("l_extendedprice", 2), F.lit(" on "), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("text"))
-    bodies = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("it cost "), F.format_string("%.2f", "l_extendedprice"), F.lit(" in "), F.date_format("l_shipdate", "yyyy/M/d"), F.lit("!")).alias("body"))
-    return gx.ungrounded_claims(bodies, sources)
+    """Prices and dates of all lines, said to be from the delivered lines of their orders: which these do not hold.  Prices
+    are asked of what is said of prices, dates of what is said of dates: a price of 1996.00 is not grounded by a year."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("day"), "l_linestatus")
+    said = lambda rows, text, name: rows.select("id", text.alias(name))
+    done = li.where("l_linestatus = 'F'")
+    prices = gx.ungrounded_claims(said(li, F.concat(F.lit("it cost "), F.format_string("%.2f", "price"), F.lit("!")), "body"), said(done, F.concat(F.lit("line of "), F.format_number("price", 2)), "text"))
+    days = gx.ungrounded_claims(said(li, F.concat(F.lit("came in "), F.date_format("day", "yyyy/M/d"), F.lit("!")), "body"), said(done, F.concat(F.lit("line on "), F.date_format("day", "yyyy-MM-dd")), "text"))
+    return prices.unionByName(days)
 
 
 Q1 = """WITH b AS (SELECT l_orderkey AS id, printf('%.2f', l_extendedprice) AS v, strftime(l_shipdate, '%Y/%-m/%-d') AS dv, l_extendedprice AS p, l_shipdate AS s FROM lineitem),

@@ -1,6 +1,11 @@
 """What grows with the tables is not sent to one place, and large tables give what small ones do."""
 
+import datetime
+
+import duckdb
+
 from corpusloom.llm import mixing
+from corpusloom.plans import corpus_q
 
 
 def test_blocks_and_slots_are_not_broadcast(spark):
@@ -17,3 +22,16 @@ def test_rows_of_the_mix_are_not_broadcast(spark):
     docs = spark.createDataFrame([(i, f"w{i} " * 300, f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
     plan = mixing.mix_documents(docs)._jdf.queryExecution().optimizedPlan()
     assert "row_key" in plan.toString() and plan.toString().count("strategy=merge") == 2
+
+
+def test_a_price_is_not_grounded_by_a_year(spark, tmp_path):
+    """Orders whose price is written like the year (or the day) of a delivered line's date."""
+    day = datetime.datetime(1996, 9, 13)
+    rows = [(1, 1996.0, day, "F"), (2, 1996.0, day, "O"), (2, 1500.0, day, "F"), (3, 13.0, day, "O"), (3, 1500.25, day, "F"), (4, 1996.09, day, "O"), (4, 77.0, datetime.datetime(2001, 11, 4), "F")]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_extendedprice double, l_shipdate timestamp, l_linestatus string")
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(map(tuple, corpus_q.q1(spark, str(tmp_path)).select("id", "kind", "value").collect()))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = duck.execute(f"SELECT id, kind, value FROM ({corpus_q.Q1})").fetchall()
+    assert got == sorted(want) and (2, "number", "1996.00") in got and (3, "number", "13.00") in got
