@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import facts as fx
@@ -10,21 +10,35 @@ from corpusloom.functions import text as tx
 from corpusloom.storage import saved
 
 
+def _matches(rows: DataFrame, found: list[tuple[str, Column]]) -> DataFrame:
+    """id, kind, raw, digits (of dates): a row for each match of ``found(kind, matches)``; what is made of a match is made of
+    rows, as functions over arrays are not compiled."""
+    kinds = F.array(*(F.lit(kind) for kind, _ in found))
+    lists = rows.select("id", F.posexplode(F.array(*(c for _, c in found))).alias("at", "all"))
+    each = lists.select("id", F.get(kinds, F.col("at")).alias("kind"), F.explode("all").alias("raw"))
+    return each.withColumn("digits", F.when(F.col("kind") == "date", fx.date_digits("raw")))
+
+
+def _key() -> Column:
+    """A match's key: equal for what is the same date, number or quote."""
+    date = F.concat_ws("-", *(F.get("digits", F.lit(k)).cast("int") for k in range(3)))
+    return F.when(F.col("kind") == "date", date).when(F.col("kind") == "number", fx.canonical_number(F.col("raw"))).otherwise(fx.squeeze(fx.unquoted("raw")))
+
+
 def _claims(bodies: DataFrame) -> DataFrame:
     """id, kind, key, value of the quotes, dates and numbers of ``bodies(id, body)``; each text is taken apart once."""
-    read = fx.claim_text("body")
-    claim = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
-    quotes = F.transform(fx.extract_quotes(read["quote"]), lambda q: claim("quote", fx.squeeze(q), q))
-    dates = F.transform(fx.extract_dates(read["date"]), lambda d: claim("date", F.concat_ws("-", d["y"], d["m"], d["d"]), d["text"]))
-    wanted = F.filter(fx.extract_numbers(read["number"]), lambda n: (F.length(F.rtrim(F.regexp_replace(n["text"], ",+$", ""))) >= 2) | n["text"].contains("."))
-    numbers = F.transform(wanted, lambda n: claim("number", n["canon"], F.regexp_replace(n["text"], ",+$", "")))
-    return bodies.select("id", F.explode(F.concat(quotes, dates, numbers)).alias("c")).select("id", "c.kind", "c.key", "c.value")
+    read = fx.claim_texts(bodies.select("id", "body"), "body")
+    rows = _matches(read, [("quote", fx.find_quotes("quote")), *(("date", d) for d in fx.find_dates("date")), ("number", fx.find_numbers("number"))])
+    number = F.rtrim("raw", F.lit(","))
+    # single digits are noise
+    rows = rows.where((F.col("kind") != "number") | (F.length(number) >= 2) | F.contains("raw", F.lit(".")))
+    value = F.when(F.col("kind") == "number", number).when(F.col("kind") == "date", F.col("raw")).otherwise(fx.unquoted("raw"))
+    return rows.select("id", "kind", _key().alias("key"), value.alias("value"))
 
 
 def _source_keys(sources: DataFrame) -> DataFrame:
-    dates = F.transform(fx.extract_dates("text"), lambda d: F.struct(F.lit("date").alias("kind"), F.concat_ws("-", d["y"], d["m"], d["d"]).alias("key")))
-    numbers = F.transform(fx.extract_numbers("text"), lambda n: F.struct(F.lit("number").alias("kind"), n["canon"].alias("key")))
-    return sources.select("id", F.explode(F.concat(dates, numbers)).alias("c")).select("id", "c.kind", "c.key").distinct()
+    rows = _matches(sources.select("id", "text"), [*(("date", d) for d in fx.find_dates("text")), ("number", fx.find_numbers("text"))])
+    return rows.select("id", "kind", _key().alias("key")).distinct()
 
 
 def ungrounded_claims(bodies: DataFrame, sources: DataFrame) -> DataFrame:
@@ -34,8 +48,11 @@ def ungrounded_claims(bodies: DataFrame, sources: DataFrame) -> DataFrame:
     begins in one source and ends in the next is not grounded.
     """
     claims = saved(_claims(bodies), "claims")
-    loose = claims.where("kind <> 'quote'").join(_source_keys(sources), ["id", "kind", "key"], "left_anti").select("id", "kind", "value")
+    # a source's keys are many times what its size in files says: never broadcast by that
+    loose = claims.where("kind <> 'quote'").join(_source_keys(sources).hint("merge"), ["id", "kind", "key"], "left_anti").select("id", "kind", "value")
     quotes = claims.where("kind = 'quote'").select("id", "key", "value")
+    if quotes.isEmpty():  # then no source is read once more
+        return loose
     texts = sources.join(quotes.select("id").distinct(), "id", "left_semi").select("id", fx.squeeze("text").alias("text"))
     missing = quotes.join(texts, "id", "left").groupBy("id", "value").agg(F.coalesce(F.bool_or(F.contains("text", "key")), F.lit(False)).alias("found")).where("not found")
     return loose.unionByName(missing.select("id", F.lit("quote").alias("kind"), "value"))

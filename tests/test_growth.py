@@ -4,6 +4,7 @@ import datetime
 
 import duckdb
 
+from corpusloom.functions import facts as fx
 from corpusloom.llm import mixing
 from corpusloom.plans import corpus_q
 
@@ -35,3 +36,11 @@ def test_a_price_is_not_grounded_by_a_year(spark, tmp_path):
     duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     want = duck.execute(f"SELECT id, kind, value FROM ({corpus_q.Q1})").fetchall()
     assert got == sorted(want) and (2, "number", "1996.00") in got and (3, "number", "13.00") in got
+
+
+def test_claim_texts_stay_as_large_as_their_steps(spark):
+    """Nested, the expression of the last step held the ones before some hundred times."""
+    df = spark.createDataFrame([(1, "a 2026-09-30 and [[x]] 3.5 \"0123456789\" 2026.9.30 1/2")], "id long, body string")
+    read = fx.claim_texts(df, "body")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 14
+    assert read.select("number").first()[0].split() == ["a", "and", "3.5", "1/2"]
