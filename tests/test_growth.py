@@ -7,6 +7,9 @@ import duckdb
 from corpusloom.functions import facts as fx
 from corpusloom.llm import mixing
 from corpusloom.plans import corpus_q
+from corpusloom.plans.stream_q import append_run
+from corpusloom.streaming import jobs as sj
+from corpusloom.streaming import stateful
 
 
 def test_blocks_and_slots_are_not_broadcast(spark):
@@ -44,3 +47,18 @@ def test_claim_texts_stay_as_large_as_their_steps(spark):
     read = fx.claim_texts(df, "body")
     assert read._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 14
     assert read.select("number").first()[0].split() == ["a", "and", "3.5", "1/2"]
+
+
+def test_keys_share_the_entries_of_the_store(spark, tmp_path):
+    """However many keys there are, a batch reads and writes a few entries a part."""
+    start = datetime.datetime(2026, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=i), None if i == 7 else i, "login_failed", "t", "") for i in range(6000)]
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "id long, ts timestamp, user_id long, action string, target string, detail string"
+    for part in (rows, [(9999, start + datetime.timedelta(days=2), -1, "login_failed", "t", "")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    append_run(stateful.coalesced_audit_stream(stream, sj.COALESCED, 10 * 86_400.0, 10 * 86_400.0, "1 minute"), out, state)
+    got = spark.read.parquet(out)
+    assert sorted(r.id for r in got.collect()) == [r[0] for r in rows] and got.where("user_id is null").count() == 1
+    assert 0 < spark.read.format("statestore").option("stateVarName", "value").load(state).count() <= stateful.PARTS < len(rows)
