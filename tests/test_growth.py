@@ -62,3 +62,16 @@ def test_keys_share_the_entries_of_the_store(spark, tmp_path):
     got = spark.read.parquet(out)
     assert sorted(r.id for r in got.collect()) == [r[0] for r in rows] and got.where("user_id is null").count() == 1
     assert 0 < spark.read.format("statestore").option("stateVarName", "value").load(state).count() <= stateful.PARTS < len(rows)
+
+
+def test_large_numbers_beside_nulls_stay_exact(spark, tmp_path):
+    """Times in nanoseconds that differ in the last digit, in parts that hold nulls."""
+    start = datetime.datetime(2026, 1, 1)
+    rows = [(p, start + datetime.timedelta(hours=h), 1, 1_700_000_000_000_000_001 + h * (p % 2), False) for p in range(40) for h in range(2)]
+    rows += [(40, start, 1, None, True), (-1, start + datetime.timedelta(days=9), 0, 0, False)]
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "path long, scan_ts timestamp, size long, mtime_ns long, locked boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    append_run(stateful.stable_files_stream(spark.readStream.schema(schema).parquet(src), 1.0, 2, 86_400.0, "1 hour"), out, state)
+    got = {(r.path, r.scan_ts.hour): r.status for r in spark.read.parquet(out).collect()}
+    assert {p: got[p, 1] for p in range(40)} == {p: "waiting" if p % 2 else "ready" for p in range(40)} and got[40, 0] == "locked"
